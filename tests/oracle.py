@@ -1,6 +1,7 @@
 """Compares a query with its SQL on DuckDB, as sorted rows of text."""
 
 import glob
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -16,7 +17,7 @@ def connect(sf_dir: str):
 def _text(v):
     if v is None or v != v:
         return "null"
-    return f"{v:.6g}" if isinstance(v, float) else str(v)
+    return f"{float(v):.6g}" if isinstance(v, float | Decimal) else str(v)
 
 
 def spark_rows(df):
