@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_path
+from lodestone.llm.common import cut, shared_path, small
 
 #: Shorter payloads are stored in a response each: a revisit's headers would be no shorter.
 LEAST_BYTES = 100
@@ -26,7 +26,9 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = DATE)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     firsts = base.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    base = base.join(firsts, "payload_digest", "left")
+    # digests of copied payloads only: unless these are very many, no payload is shuffled here
+    firsts = cut(firsts)
+    base = base.join(small(firsts, firsts.count(), 120), "payload_digest", "left")
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
     base = base.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first")))
     uri = lambda c: F.format_string("<urn:lodestone:page:%s>", F.coalesce(c.cast("string"), F.lit("")))
