@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # The file types that are indexed, and folders that are passed over.
 EXTENSIONS = ("psd", "png", "jpg", "jpeg")
@@ -60,9 +63,6 @@ def import_archive(spark: SparkSession, path: str, names: list[str]) -> dict[str
 
 def nfc(column: Column) -> Column:
     """Unicode NFC, in Arrow batches: there is no built-in for it."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def normalize(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")
@@ -72,10 +72,6 @@ def nfc(column: Column) -> Column:
 
 def decode_vectors(column: Column) -> Column:
     """Base64 of little-endian float32 to an array."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<float>")
     def decode(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
