@@ -84,6 +84,13 @@ def test_word_hashes_agree_with_regex():
     assert [bounds[i + 1] - bounds[i] for i in range(5)] == [len(words(t)) for t in texts] and (h[:2] == h[-2:]).all()
 
 
+def test_neardup_second_text_of_a_repeated_id(spark):
+    """Document 5 has a copy of 3's text and a text of its own; the latter's links count too."""
+    a, b = (" ".join(f"{x}{i}" for i in range(200)) for x in "pq")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b + " r"), (11, None)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {3: 3, 5: 3, 9: 3, 11: 11}
+
+
 def test_neardup_five_words_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sets = {}
