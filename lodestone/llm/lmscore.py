@@ -3,8 +3,10 @@
 Counts of word pairs are quantised to powers of two; a count of level q is stored as q members of a Bloom
 filter, so a probe per level reads it back, and it is never read too low. Tasks get the filter by broadcast, in passes
 of FILTER_BYTES at most: each pass scores the tokens whose pairs its part of the filter would hold. A word's probability
-after another mixes the pair's count with the word's smoothed frequency. The exact unigram base score beside it uses a
-bounded table of the most frequent words and a join for the rest.
+after another mixes the pair's count with the word's smoothed frequency, word counts quantised likewise. Word counts
+come from a bounded table of the most frequent words, a mere cache, and from a join for the rest: tokens that need a
+joined count, for themselves or the word before, are kept by row and scored after it. The exact unigram base score
+beside it uses the same counts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ BITS_PER_PAIR = 9
 TABLE_WORDS = 1 << 18
 PRIOR = 4.0
 SAMPLE = 64
+#: A token kept for later: its pair's level, its word and the one before, as REF_BITS bits each.
+REF_BITS = 28
+#: What stands for the start of a text among references; levels of known words are -1 to -64.
+START_REF = -65
 END, START = np.uint64(0x9D1D45E1A1C2B3F7), np.uint64(0x3C79AC492BA7B653)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,8 +141,24 @@ def held_out():
     return crc32_of("doc_id") % 10 == 0
 
 
+def _log_p(own: np.ndarray, prev: np.ndarray, pair: np.ndarray, denominator: float) -> np.ndarray:
+    return np.log10((pair + PRIOR * (own + 0.1) / denominator) / (np.maximum(prev, pair) + PRIOR))
+
+
+def _value(ref: np.ndarray, texts: float) -> np.ndarray:
+    """The counts that references below 0 stand for."""
+    return np.where(ref == START_REF, texts, VALUE[np.where(ref == START_REF, 0, -1 - ref)])
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int64, copy=False)))
+
+
 def _pass(shared, base, segments: int, first: int, lead: bool) -> Callable:
-    """Adds up log10 P over the tokens whose pair is in this pass's segments; `lead` also does the base score."""
+    """Adds up log10 P over the tokens whose pair is in this pass's segments; `lead` also does the base score.
+
+    refs: the tokens left for _finish, as their word's or the one before's count isn't in the table.
+    """
 
     def run(batches):
         bits = shared.value
@@ -147,41 +169,74 @@ def _pass(shared, base, segments: int, first: int, lead: bool) -> Callable:
                 t, before, bounds = _tokens(part)
                 n = len(bounds) - 1
                 doc = np.repeat(np.arange(n), np.diff(bounds))
-                u, inverse = np.unique(np.append(t, before), return_inverse=True)
+                u, inverse = np.unique(t, return_inverse=True)
                 at = np.searchsorted(table, u)
                 at[at == len(table)] = 0
                 known = table[at] == u if len(table) else np.zeros(len(u), bool)
                 exact = np.where(known, counts[at] if len(table) else 0, 0)
+                tok_known, c, ref = known[inverse], exact[inverse], (-1 - levels(exact))[inverse]
+                # words outside the table: each text's, once, and which of them a token is
+                rare = np.flatnonzero(~tok_known)
+                order = np.lexsort((t[rare], doc[rare]))
+                rare = rare[order]
+                rare_t, rare_doc = t[rare], doc[rare]
+                is_new = np.append(True, (rare_t[1:] != rare_t[:-1]) | (rare_doc[1:] != rare_doc[:-1]))[: len(rare)]
+                new = np.flatnonzero(is_new)
+                offsets = np.searchsorted(rare_doc[new], np.arange(n + 1))
+                ref[rare] = np.cumsum(is_new) - 1 - offsets[rare_doc]
+                prev_ref = np.empty_like(ref)
+                prev_ref[1:] = ref[:-1]
+                prev_ref[bounds[:-1]] = START_REF
+
                 p = pair_hash(before, t)
                 seg = segment_of(p, segments).astype(np.int64) - first
-                mine = (seg >= 0) & (seg < len(bits))
-                pair = VALUE[look_up(bits, seg[mine], p[mine])]
-                # word counts: from the bounded table, quantised as the filter's are; words that it lacks count as rare
-                word = np.where(known, VALUE[levels(exact)], 0.5)
-                word[u == START] = texts
-                own, prev = word[inverse[: len(t)]][mine], word[inverse[len(t) :]][mine]
-                prev = np.maximum(prev, pair)
-                p1 = (own + 0.1) / denominator
-                logs = np.log10((pair + PRIOR * p1) / (prev + PRIOR))
-                out = {"row": part.column("row"), "doc_id": part.column("doc_id"), "score": pa.array(np.bincount(doc[mine], logs, n))}
+                mine = np.flatnonzero((seg >= 0) & (seg < len(bits)))
+                level, own, prev = look_up(bits, seg[mine], p[mine]), ref[mine], prev_ref[mine]
+                late = (own >= 0) | (prev >= 0)
+                now = ~late
+                logs = _log_p(_value(own[now], texts), _value(prev[now], texts), VALUE[level[now]], denominator)
+                packed = (level[late] << 2 * REF_BITS) | ((own[late] - START_REF) << REF_BITS) | (prev[late] - START_REF)
+                out = {"row": part.column("row"), "doc_id": part.column("doc_id"), "score": pa.array(np.bincount(doc[mine[now]], logs, n).astype(float))}
+                out["refs"] = _lists(packed, np.searchsorted(doc[mine[late]], np.arange(n + 1)))
                 if lead:
-                    tok_known = known[inverse[: len(t)]]
-                    c = exact[inverse[: len(t)]]
                     out["n_tokens"] = pa.array(np.diff(bounds))
                     out["n_known"] = pa.array(np.bincount(doc[tok_known], minlength=n))
                     out["base"] = pa.array(np.bincount(doc[tok_known], np.log10(c[tok_known] + 0.1), n) - np.diff(bounds) * np.log10(denominator))
-                    rare_t, rare_doc = t[~tok_known], doc[~tok_known]
-                    order = np.lexsort((rare_t, rare_doc))
-                    rare_t, rare_doc = rare_t[order], rare_doc[order]
-                    new = np.flatnonzero(np.append(True, (rare_t[1:] != rare_t[:-1]) | (rare_doc[1:] != rare_doc[:-1]))) if len(rare_t) else np.zeros(0, np.int64)
-                    offsets = pa.array(np.searchsorted(rare_doc[new], np.arange(n + 1)).astype(np.int32))
-                    out["rare"] = pa.ListArray.from_arrays(offsets, pa.array(rare_t[new].view(np.int64)))
-                    out["times"] = pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(new, len(rare_t))).astype(np.int64)))
+                    out["rare"] = _lists(rare_t[new].view(np.int64), offsets)
+                    out["times"] = _lists(np.diff(np.append(new, len(rare_t))), offsets)
                 yield pa.record_batch(out)
 
     return run
 
 
+def _finish(denominator: float, texts: float) -> Callable:
+    """Adds what waits for joined counts; counts: of each of the row's words outside the table, in order."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            count, times, refs = (batch.column(k) for k in ("counts", "times", "refs"))
+            base = {k: batch.column(k).to_numpy() for k in ("n_known", "base", "score")}
+            doc = [np.repeat(np.arange(n), x.value_lengths().fill_null(0).to_numpy()) for x in (count, refs)]
+            first = np.searchsorted(doc[0], np.arange(n))
+            c, k, r = (x.flatten().to_numpy(zero_copy_only=False) for x in (count, times, refs))
+            level, own, prev = r >> 2 * REF_BITS, ((r >> REF_BITS) & ((1 << REF_BITS) - 1)) + START_REF, (r & ((1 << REF_BITS) - 1)) + START_REF
+            joined = VALUE[levels(c)]
+
+            def value(ref):
+                out, late = np.empty(len(ref)), ref >= 0
+                out[~late] = _value(ref[~late], texts)
+                out[late] = joined[(first[doc[1]] + ref)[late]]
+                return out
+
+            base["n_known"] = base["n_known"] + np.bincount(doc[0], k * (c > 0), n).astype(np.int64)
+            base["base"] = base["base"] + np.bincount(doc[0], k * np.log10(c + 0.1), n)
+            base["score"] = base["score"] + np.bincount(doc[1], _log_p(value(own), value(prev), VALUE[level], denominator), n)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"), **{name: pa.array(x) for name, x in base.items()}})
+
+    return run
+
+
 def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
@@ -222,18 +277,19 @@ def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, table_words:
         bits = np.zeros((min(per_pass, segments - first), SEGMENT_BYTES), np.uint8)
         for r in filled.where((F.col("seg") >= first) & (F.col("seg") < first + per_pass)).toLocalIterator():
             bits[r["seg"] - first] = np.frombuffer(r["bits"], np.uint8)
-        schema = "row long, doc_id long, score double" + ", n_tokens long, n_known long, base double, rare array<long>, times array<long>" * (not first)
+        schema = "row long, doc_id long, score double, refs array<long>" + ", n_tokens long, n_known long, base double, rare array<long>, times array<long>" * (not first)
         parts.append(rows.mapInArrow(_pass(sc.broadcast(bits), base, segments, first, not first), schema))
     lead = cut(parts[0])
     # a word outside the table: look it up among all words
-    rare = lead.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    found = rare.join(words, "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
-    late = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.1)).alias("late"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("late_known"))
-    out = lead.drop("rare", "times").join(late, "row", "left")
+    rare = lead.select("row", F.posexplode("rare").alias("pos", "h"))
+    found = rare.join(words, "h", "left").select("row", F.struct("pos", F.coalesce("c", F.lit(0).cast("long")).alias("c")).alias("x"))
+    counts = found.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]).alias("counts"))
+    out = lead.drop("rare").join(counts, "row", "left")
     if parts[1:]:
         more = parts[1]
         for p in parts[2:]:
             more = more.unionByName(p)
-        out = out.join(more.groupBy("row").agg(F.sum("score").alias("more")), "row").withColumn("score", F.col("score") + F.col("more"))
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("late_known", zero)).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("late", F.lit(0.0))).alias("base_score"), "score")
+        more = more.groupBy("row").agg(F.sum("score").alias("more"), F.flatten(F.collect_list("refs")).alias("more_refs"))
+        out = out.join(more, "row").withColumn("score", F.col("score") + F.col("more")).withColumn("refs", F.concat("refs", "more_refs")).drop("more", "more_refs")
+    done = out.mapInArrow(_finish(n_all + 0.1 * (v_all + 1), float(texts)), "doc_id long, n_tokens long, n_known long, base double, score double")
+    return done.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -169,6 +169,31 @@ def test_lm_base_score_and_passes(spark):
             assert r.score < 0
 
 
+def test_lm_score_by_brute_force_and_any_table(spark):
+    """Rare words count as often as they occur, whatever the table of words holds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, [*words(r.text), None]) for r in docs.collect()]
+    one, two, starts = Counter(), Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            one.update(t)
+            two.update(zip([0, *t[:-1]], t, strict=True))
+            starts += 1
+    size = sum(one.values()) + 0.1 * (len(one) + 1)
+    middle = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+    want = {}
+    for i, t in rows:
+        want[i] = 0.0
+        for a, b in zip([0, *t[:-1]], t, strict=True):
+            pair, prev = middle(two[a, b]), starts if a == 0 else middle(one[a])
+            want[i] += math.log10((pair + 4 * (middle(one[b]) + 0.1) / size) / (max(prev, pair) + 4))
+    got = {n: {r.doc_id: r.score for r in score_texts(docs, table_words=n).collect()} for n in (0, 100, 1 << 18)}
+    near = lambda x, y: abs(x - y) < 1e-6 * max(1, -y)
+    assert all(g.keys() == want.keys() and all(near(g[i], got[100][i]) for i in g) for g in got.values())
+    # the filter reads a pair in about a million too high
+    assert sum(not near(got[100][i], want[i]) for i in want) <= 2
+
+
 def test_html_text(spark):
     import html
 
