@@ -5,11 +5,14 @@ constant text or text slots. It is inferred by aligning a host's pages one after
 side has becomes optional, neighbours with equal tags become a repeated group, unequal texts become a slot. Wrappers
 align with each other as pages do, so partitions infer their own and these are merged, first by host and salt, then
 by host. From a host's wrapper follows its content region: elements that mark it by their tag, role or name, or the
-element that holds most of the varying text. Pages are then read against their host's region.
+element that holds most of the varying text. Pages are then read against their host's wrapper: of the region's text,
+what stands in the same required element on all pages of a host of SEVERAL or more is template and left out, whether
+the element is single or one of a repeated group.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -26,6 +29,8 @@ SALTS = 32
 DEPTH = 40
 #: Hosts that a task keeps wrappers of before it hands them on.
 HELD_HOSTS = 4096
+#: Pages of a host from which on text that all have counts as its template's.
+SEVERAL = 3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|\Z)""", re.I)
@@ -117,12 +122,17 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
 
 # ------------------------------------------------------------------ wrappers
 # A node is [label, modifier, children, text, weight]: modifier "" (required), "?", "+" or "*"; text: its own constant
-# text, "" for none, None for a slot; weight: characters seen in it that were slots or constants.
+# text, "" for none, None for a slot; weight: characters seen in it that were slots or constants. Then digests of the
+# own texts that it has on all pages, pages (of the root), and whether pages differ in its own texts.
+
+
+def _digest(x: str) -> str:
+    return hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def page_wrapper(page: str) -> list:
     """The page itself as a wrapper: noise left out, repeats folded."""
-    root = ["", "", [], "", 0]
+    root = ["", "", [], "", 0, [], 1, 0]
     path, deep, skip = [root], 0, 0
     for what, x, noise in events(page):
         if what == "open":
@@ -131,7 +141,7 @@ def page_wrapper(page: str) -> list:
             elif len(path) > DEPTH:
                 deep += 1
             else:
-                path.append([x, "", [], "", 0])
+                path.append([x, "", [], "", 0, [], 1, 0])
                 path[-2][2].append(path[-1])
         elif what == "close":
             if skip:
@@ -140,19 +150,19 @@ def page_wrapper(page: str) -> list:
                 deep -= 1
             else:
                 node = path.pop()
-                node[2] = fold(node[2])
+                node[2], node[5] = fold(node[2]), [_digest(node[3])] if node[3] else []
         elif what == "text" and not skip and (own := " ".join(x.split())):
             path[-1][3] = f"{path[-1][3]} {own}".strip()
             path[-1][4] += len(own)
     for node in reversed(path):
-        node[2] = fold(node[2])
+        node[2], node[5] = fold(node[2]), [_digest(node[3])] if node[3] else []
     return _short(root)
 
 
 def _short(node: list) -> list:
-    """Long constants by their beginning and length: whether two are equal is all that matters."""
+    """Long constants by their digest: whether two are equal is all that matters."""
     if node[3] and len(node[3]) > 24:
-        node[3] = f"{node[3][:16]}#{len(node[3])}#{node[3][-6:]}"
+        node[3] = f"#{_digest(node[3])}"
     for c in node[2]:
         _short(c)
     return node
@@ -163,9 +173,10 @@ def _either(a: str, b: str) -> str:
     return {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[(a in "?*" and a != "") or (b in "?*" and b != ""), a in ("+", "*") or b in ("+", "*")]
 
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of all that either describes; both have the same label."""
-    return [a[0], _either(a[1], b[1]), align(a[2], b[2]), a[3] if a[3] == b[3] else None, a[4] + b[4]]
+def merge(a: list, b: list, same: bool = False) -> list:
+    """The wrapper of all that either describes; both have the same label. same: they are of one page."""
+    x, y = set(a[5]), set(b[5])
+    return [a[0], _either(a[1], b[1]), align(a[2], b[2], same), a[3] if a[3] == b[3] else None, a[4] + b[4], sorted(x | y if same else x & y), a[6] + b[6], int(a[7] or b[7] or not same and x != y)]
 
 
 def fold(nodes: list) -> list:
@@ -173,7 +184,7 @@ def fold(nodes: list) -> list:
     out: list = []
     for x in nodes:
         if out and out[-1][0] == x[0]:
-            m = merge(out[-1], x)
+            m = merge(out[-1], x, True)
             m[1] = "+"
             out[-1] = m
         else:
@@ -185,11 +196,11 @@ def _optional(x: list) -> list:
     return [x[0], _either(x[1], "?"), *x[2:]]
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, same: bool = False) -> list:
     """Aligns two sequences of elements by their longest common subsequence of labels; the rest is optional."""
     p, q = [x[0] for x in a], [x[0] for x in b]
     if p == q:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y, same) for x, y in zip(a, b, strict=True)]
     best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
     for i in range(len(p) - 1, -1, -1):
         for j in range(len(q) - 1, -1, -1):
@@ -197,7 +208,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(p) or j < len(q):
         if i < len(p) and j < len(q) and p[i] == q[j]:
-            out.append(merge(a[i], b[j]))
+            out.append(merge(a[i], b[j], same))
             i, j = i + 1, j + 1
         elif j == len(q) or i < len(p) and best[i + 1][j] >= best[i][j + 1]:
             out.append(_optional(a[i]))
@@ -209,7 +220,7 @@ def align(a: list, b: list) -> list:
     for x in out:
         if folded and folded[-1][0] == x[0]:
             optional = folded[-1][1] in ("?", "*") and x[1] in ("?", "*")
-            m = merge(folded[-1], x)
+            m = merge(folded[-1], x, same)
             m[1] = "*" if optional else "+"
             folded[-1] = m
         else:
@@ -249,9 +260,33 @@ def region(wrapper: list) -> list[str]:
     return [last] if last.split(".")[0] not in ("", "html", "body") else []
 
 
-def main_text(page: str, labels: frozenset[str]) -> str:
-    """Blocks within the elements so labelled (without any on the page: within the whole page), noise left out."""
+def template(wrapper: list, labels: list[str]) -> list[str]:
+    """Digests of path and own text of what all pages have in elements that all have; none where the pages of a host
+    are few, or don't differ within the region, as copies of one page."""
+    out: set[str] = set()
+    differ = False
+
+    def walk(node: list, path: str, inside: bool) -> None:
+        nonlocal differ
+        inside = inside or node[0] in labels
+        optional = node[1] in ("?", "*")
+        differ |= inside and (optional or bool(node[7]))
+        if not optional:
+            out.update(_digest(path + t) for t in node[5])
+            for c in node[2]:
+                walk(c, f"{path}{c[0]}/", inside)
+
+    walk(wrapper, "/", not labels)
+    return sorted(out) if differ and wrapper[6] >= SEVERAL else []
+
+
+def main_text(page: str, labels: frozenset[str], constant: frozenset[str] = frozenset()) -> str:
+    """Blocks within the elements so labelled (without any on the page: within the whole page), noise and the host's
+    template text (see template) left out."""
     blocks: list[tuple[bool, str]] = []
+    # elements as page_wrapper has them: path, own text, its blocks
+    nodes: list[tuple[str, list[str], list[int]]] = [("/", [], [])]
+    deep, dropped = 0, set()
     now: list[str] = []
     skip, inside, opened, seen = 0, 0, [], False
 
@@ -259,12 +294,20 @@ def main_text(page: str, labels: frozenset[str]) -> str:
         text = " ".join("".join(now).split())
         now.clear()
         if text:
+            nodes[-1][2].append(len(blocks))
             blocks.append((inside > 0, text))
 
+    def leave() -> None:
+        path, own, mine = nodes.pop()
+        if mine and _digest(path + _digest(" ".join(own))) in constant:
+            dropped.update(mine)
+
     for what, x, noise in events(page):
         if what == "text":
             if not skip:
                 now.append(x)
+                if constant and (own := " ".join(x.split())):
+                    nodes[-1][1].append(own)
             continue
         if skip:
             skip += (what == "open") - (what == "close")
@@ -278,10 +321,20 @@ def main_text(page: str, labels: frozenset[str]) -> str:
                 seen |= hit
                 inside += hit
                 opened.append(hit)
+                if constant and len(nodes) <= DEPTH:
+                    nodes.append((f"{nodes[-1][0]}{x}/", [], []))
+                else:
+                    deep += 1
         elif what == "close" and opened:
             inside -= opened.pop()
+            if deep:
+                deep -= 1
+            else:
+                leave()
     flush()
-    return "\n".join(t for within, t in blocks if within or not seen)
+    while nodes:
+        leave()
+    return "\n".join(t for i, (within, t) in enumerate(blocks) if (within or not seen) and i not in dropped)
 
 
 # ------------------------------------------------------------------ distributed
@@ -334,18 +387,22 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def _regions(batches):
     for batch in batches:
-        yield pa.record_batch({"h": batch.column("host"), "region": pa.array([json.dumps(region(json.loads(w))) for w in batch.column("wrapper").to_pylist()], pa.string())})
+        out = []
+        for w in map(json.loads, batch.column("wrapper").to_pylist()):
+            labels = region(w)
+            out.append(json.dumps([labels, template(w, labels)]))
+        yield pa.record_batch({"h": batch.column("host"), "region": pa.array(out, pa.string())})
 
 
 def _extract(batches):
-    known: dict[str, frozenset[str]] = {}
+    known: dict[str, list[frozenset[str]]] = {}
     for batch in batches:
         for part in sub_batches(batch, "html"):
             texts = []
             for page, labels in zip(part.column("html").to_pylist(), part.column("region").to_pylist(), strict=True):
                 if labels not in known:
-                    known[labels] = frozenset(json.loads(labels))
-                texts.append(main_text(page or "", known[labels]))
+                    known[labels] = [frozenset(x) for x in json.loads(labels)]
+                texts.append(main_text(page or "", *known[labels]))
             yield pa.record_batch({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
@@ -358,5 +415,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     thin = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     regions = cut(wrappers(thin).mapInArrow(_regions, "h string, region string"))
-    both = thin.withColumn("host", host_of()).join(small(regions, regions.count(), 200), F.col("host") == F.col("h"))
+    size = regions.agg(F.coalesce(F.sum(F.length("h") + F.length("region") + 32), F.lit(0))).first()[0]
+    both = thin.withColumn("host", host_of()).join(small(regions, 1, size), F.col("host") == F.col("h"))
     return both.select("page_id", "url", "html", "region").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

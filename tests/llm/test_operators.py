@@ -213,6 +213,17 @@ def test_html_text(spark):
     assert sorted(r.n_chars for r in extract_pages(odd).collect()) == [0, 0, 2] and extract_pages(odd.limit(0)).count() == 0
 
 
+def test_html_template_text_without_names(spark):
+    """Text that all pages of a host have is left out: with and without named content, alone and in a repeated group."""
+    named = "<article><div>Read our rules</div><h1>T{0}</h1><p>a{0}</p><p>Join us today</p><p>b{0}</p></article>"
+    plain = "<div><b>All rights kept</b></div><section>x{0}</section><table><tr><td>y{0}</td></tr></table>"
+    rows = [(k * 10 + i, f"http://{h}/{i}", p.format(i)) for k, (h, p) in enumerate({"n": named, "p": plain}.items()) for i in range(4)]
+    copies = [(20 + i, "http://c/", "<article><p>one</p><p>two</p></article>") for i in range(4)]
+    few = [(30 + i, "http://f/", f"<article><div>same</div><p>{i}</p></article>") for i in range(2)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows + copies + few, "page_id long, url string, html string")).collect()}
+    assert got[1] == "T1\na1\nb1" and got[13] == "x3\ny3" and got[20] == "one\ntwo" and got[31] == "same\n1"
+
+
 def test_urls(spark):
     urls = {1: None, 2: "no host", 3: "HTTP://A.Example.COM/en/7/x?q", 4: "http://de.net/de/", 5: "http://net/de/1", 6: "x://com/en/#k", 7: "http://xcom/en/"}
     df = spark.createDataFrame([(*kv, "r") for kv in urls.items()], "page_id long, url string, rule string")
