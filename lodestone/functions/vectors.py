@@ -47,3 +47,10 @@ def fingerprint(v: Column) -> Column:
 
 def audit_status(sim: Column) -> Column:
     return F.when(sim > 0.99, "ok").when(sim > 0.95, "warn").otherwise("corrupt")
+
+
+def sign_hash(v: Column) -> Column:
+    """A LONG with bit i set where element i, of the first 64, is above zero."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bits = F.transform(F.slice(v, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(none))
+    return F.aggregate(bits, none, lambda acc, b: acc.bitwiseOR(b))

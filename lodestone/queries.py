@@ -531,6 +531,15 @@ def j20_near_hashes(s, d):
     return reconcile.near_hashes(_vectors(s, d).select("id", bits.alias("hash")), within=2, bits=20)
 
 
+_HASH64 = "x AS (SELECT vec_id AS id, list_sum([CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END FOR i IN range(1, 65)])::HUGEINT AS h FROM embeddings), f AS (SELECT h, min(id) AS id FROM x GROUP BY h)"
+
+
+@query(f"WITH {_HASH64} SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)) AS distance FROM f a JOIN f b ON a.id < b.id WHERE distance <= 10 UNION ALL SELECT f.id, x.id, 0 FROM x JOIN f USING (h) WHERE x.id > f.id")
+def j20_near_hashes_64(s, d):
+    """The operator's own job; j20_near_hashes is the same on a prefix of 20 bits."""
+    return reconcile.near_hashes(_vectors(s, d).select("id", V.sign_hash(F.col("embedding")).alias("hash")))
+
+
 @query("SELECT 'both' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT vec_id FROM embeddings) UNION ALL SELECT 'left', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT vec_id FROM embeddings) UNION ALL SELECT 'right', count(*) FROM (SELECT vec_id FROM embeddings EXCEPT SELECT doc_id FROM documents)")
 def x1_set_classes(s, d):
     return reconcile.set_classes(_files(s, d), _vectors(s, d), "id")

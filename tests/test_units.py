@@ -64,6 +64,24 @@ def test_near_hashes_and_sync_with_copies(spark):
     assert reconcile.sync_plan(e, e).count() == 0
 
 
+def test_near_hashes_of_64_elements(spark, tmp_path):
+    """Pairs that differ in elements 21 to 64, at distances to 10, are found, and none beyond."""
+    import random
+
+    from lodestone.queries import queries
+
+    rnd, rows = random.Random(1), {}
+    for i in range(0, 60, 3):
+        rows[i] = [rnd.choice((-1.0, 1.0)) for _ in range(64)]
+        for j, n in ((1, rnd.randint(1, 10)), (2, 11)):
+            flip = set(rnd.sample(range(20, 64), n))
+            rows[i + j] = [-x if k in flip else x for k, x in enumerate(rows[i])]
+    spark.createDataFrame([(i, v, 0) for i, v in rows.items()], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    away = lambda a, b: sum((x > 0) != (y > 0) for x, y in zip(rows[a], rows[b], strict=True))
+    want = {(a, b, away(a, b)) for a in rows for b in rows if a < b and away(a, b) <= 10}
+    assert {tuple(r) for r in queries()["j20_near_hashes_64"](spark, str(tmp_path)).collect()} == want and len(want) >= 20
+
+
 def test_upsert_inserts_and_keeps(spark):
     base = spark.createDataFrame([(1, "a", "u"), (2, "b", "v")], "id long, name string, note string")
     new = spark.createDataFrame([(2, None), (3, "c")], "id long, name string")
