@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # Words of paths that say nothing about what they hold, and image file extensions.
 STOP_TERMS = ("assets", "asset", "images", "image", "img", "files", "file", "folder", "new", "data", "final", "temp", "tmp", "src", "users")
@@ -18,18 +22,40 @@ def meaningful(token: Column) -> Column:
 def path_terms(path: Column) -> Column:
     """The segments of a path that are one word, and the words of all, once each in order."""
     segments = F.split(F.lower(F.coalesce(path, F.lit(""))), "/")
-    words = F.flatten(F.transform(segments, lambda s: F.split(s, "[^0-9a-z]+")))
+    words = F.flatten(F.transform(segments, lambda s: F.split(s, "[^0-9a-z가-힣]+")))
     return F.array_distinct(F.filter(words, meaningful))
 
 
+def fold(text: str) -> str:
+    """Lower case without diacritics; composed, so that Hangul syllables stay whole."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn"))
+
+
+def folded(text: Column) -> Column:
+    """fold in Arrow batches: there is no built-in for it."""
+
+    @pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(fold)
+
+    return run(F.coalesce(text, F.lit("")))
+
+
 def tokens(text: Column) -> Column:
+    """Words of letters and digits of any script, in lower case and without diacritics."""
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def ascii_tokens(text: Column) -> Column:
     """Lower-cased words of letters a-z and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z]+"), lambda t: t != "")
 
 
 def query_tokens(query: Column) -> Column:
     """Words of two characters or more without punctuation at their ends, once each."""
-    words = F.transform(F.split(F.lower(query), r"\s+"), lambda w: F.regexp_replace(w, r"^[^0-9a-z]+|[^0-9a-z]+$", ""))
+    words = F.transform(F.split(F.lower(query), r"\s+"), lambda w: F.regexp_replace(w, r"^[^0-9a-z가-힣]+|[^0-9a-z가-힣]+$", ""))
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))
 
 

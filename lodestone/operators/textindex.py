@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import fold, tokens
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WEIGHTS = {"strong": 3.0, "weak": 1.5}
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, part, token, pos) of docs (id, strong, weak)."""
-    parts = [docs.select("id", F.lit(p).alias("part"), F.posexplode(tokens(F.col(p))).alias("pos", "token")) for p in ("strong", "weak")]
+def postings(docs: DataFrame, words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(id, part, token, pos) of docs (id, strong, weak). words: how text is cut, here and for lengths."""
+    parts = [docs.select("id", F.lit(p).alias("part"), F.posexplode(words(F.col(p))).alias("pos", "token")) for p in ("strong", "weak")]
     return parts[0].unionByName(parts[1]).select("id", "part", "token", "pos")
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("id", (F.size(tokens(F.col("strong"))) + F.size(tokens(F.col("weak")))).alias("dl"))
+def lengths(docs: DataFrame, words: Callable[[Column], Column] = tokens) -> DataFrame:
+    return docs.select("id", (F.size(words(F.col("strong"))) + F.size(words(F.col("weak")))).alias("dl"))
 
 
 def keyword_tokens(keywords: list[str]) -> list[str]:
-    import re
-
-    return list(dict.fromkeys(t for k in keywords for t in re.split(r"[^0-9a-z]+", k.lower()) if t))
+    return list(dict.fromkeys(t for k in keywords for t in re.split(r"[\W_]+", fold(k)) if t))
 
 
 def matching(index: DataFrame, keywords: list[str], excluded: list[str] = ()) -> DataFrame:
@@ -36,21 +37,21 @@ def matching(index: DataFrame, keywords: list[str], excluded: list[str] = ()) ->
 
 def phrase(index: DataFrame, words: str) -> DataFrame:
     """(id, part, token, pos) of each place where the words stand one after another; token is the phrase."""
-    parts = keyword_tokens([words]) if " " not in words.strip() else [t for t in words.lower().split() if t]
+    parts = keyword_tokens([words]) if " " not in words.strip() else [t for t in fold(words).split() if t]
     first = index.where(F.col("token") == parts[0]).select("id", "part", "pos")
     for i, t in enumerate(parts[1:], 1):
         first = first.join(index.where(F.col("token") == t).select("id", "part", (F.col("pos") - i).alias("pos")), ["id", "part", "pos"])
     return first.select("id", "part", F.lit(" ".join(parts)).alias("token"), "pos")
 
 
-def bm25(hits: DataFrame, docs: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def bm25(hits: DataFrame, docs: DataFrame, weights: dict[str, float] = WEIGHTS, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """(id, score): larger is better. hits: places of tokens or phrases; docs: all documents, for lengths and counts.
 
     The index is aggregated once by document and token; the totals are one row.
     """
     weight = F.when(F.col("part") == "strong", weights["strong"]).otherwise(weights["weak"])
     tf = hits.groupBy("id", "token").agg(F.sum(weight).alias("tf"))
-    size = lengths(docs)
+    size = lengths(docs, words)
     totals = F.broadcast(size.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))  # one row
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

@@ -145,7 +145,18 @@ scores AS (SELECT id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf *
 @query(f"WITH {_POSTINGS}, hits AS (SELECT * FROM post WHERE token IN ('thand', 'heon', 'src3') AND id NOT IN (SELECT id FROM post WHERE token = 'idiot')), {_SCORE} SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
 def f7_f8_bm25_search(s, d):
     docs = _texts(s, d)
-    hits = textindex.matching(textindex.postings(docs), ["thand heon", "src3"], ["idiot"])
+    hits = textindex.matching(textindex.postings(docs, T.ascii_tokens), ["thand heon", "src3"], ["idiot"])
+    return textindex.bm25(hits, docs, words=T.ascii_tokens).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))
+
+
+# the same index over words of any script, as the operator cuts them by default
+_ANY_SCRIPT = _POSTINGS.replace("lower(strong)", "strip_accents(lower(strong))").replace("lower(weak)", "strip_accents(lower(weak))").replace("[^0-9a-z]+", r"[^\p{L}\p{N}]+")
+
+
+@query(f"WITH {_ANY_SCRIPT}, hits AS (SELECT * FROM post WHERE token IN ('fur', 'src3') AND id NOT IN (SELECT id FROM post WHERE token = 'idiot')), {_SCORE} SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
+def f7_f8_bm25_any_script(s, d):
+    docs = _texts(s, d)
+    hits = textindex.matching(textindex.postings(docs), ["für", "src3"], ["idiot"])
     return textindex.bm25(hits, docs).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))
 
 
@@ -153,8 +164,8 @@ def f7_f8_bm25_search(s, d):
 SELECT id, round(CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) AS norm FROM scores, (SELECT min(score) AS lo, max(score) AS hi FROM scores)""")
 def f9_f10_phrase_scores(s, d):
     docs = _texts(s, d)
-    hits = textindex.phrase(textindex.postings(docs), "of the")
-    return textindex.min_max(textindex.bm25(hits, docs), "score", "norm").select("id", _R6("norm"))
+    hits = textindex.phrase(textindex.postings(docs, T.ascii_tokens), "of the")
+    return textindex.min_max(textindex.bm25(hits, docs, words=T.ascii_tokens), "score", "norm").select("id", _R6("norm"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in (*T.STOP_TERMS, *T.EXTENSIONS))

@@ -44,6 +44,18 @@ def test_text(spark):
     assert one(spark, T.content_type(F.lit(100.0), F.lit(90.0), 100, 100, F.lit(False)))[0] == "background"
 
 
+def test_words_of_any_script(spark):
+    from lodestone.operators import textindex
+
+    docs = spark.createDataFrame([(1, "Für_dich", "год 2020"), (2, "한국 그림", None), (3, "f r", "plain")], "id long, strong string, weak string")
+    index = textindex.postings(docs)
+    found = lambda *k: {r.id for r in textindex.matching(index, list(k)).collect()}
+    assert [found(k) for k in ("FÜR", "fur", "한국", "Год", "f r")] == [{1}, {1}, {2}, {1}, {3}]
+    assert {r.id: r.dl for r in textindex.lengths(docs).collect()} == {1: 4, 2: 2, 3: 3}
+    assert {r.id for r in textindex.phrase(index, "für dich").collect()} == {1}
+    assert one(spark, T.path_terms(F.lit("Hero/한국_그림")), T.query_tokens(F.lit("(한국) hero!"))) == (["hero", "한국", "그림"], ["한국", "hero"])
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([(1, "Cat", ["Red"]), (2, None, None), (3, "", [])], "id long, t string, tags array<string>")
     ids = lambda c: [r.id for r in df.where(c).orderBy("id").collect()]
