@@ -45,10 +45,10 @@ def effective_root(root: str, path: str, name: str) -> Column:
     return root_of(F.col(root), F.col(path), F.col(name))
 
 
-def ancestor_rollup(stats: DataFrame, key: str = "root", depth: int = 8) -> DataFrame:
-    """Sums by each folder that a row lies in, its own included, down to depth levels."""
+def ancestor_rollup(stats: DataFrame, key: str = "root") -> DataFrame:
+    """Sums by each folder that a row lies in, its own included."""
     parts = F.split(key, "/")
-    up = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     return stats.withColumn("folder", F.explode(up)).groupBy("folder").agg(F.sum("total").alias("total"), F.sum("done").alias("done"), F.bool_or(F.col("done") < F.col("total")).alias("incomplete"))
 
 

@@ -94,6 +94,12 @@ def test_near_hashes_of_64_elements(spark, tmp_path):
     assert {tuple(r) for r in queries()["j20_near_hashes_64"](spark, str(tmp_path)).collect()} == want and len(want) >= 20
 
 
+def test_rollup_of_deep_folders(spark):
+    deep = "/".join("abcdefghijk")
+    got = {r.folder: (r.total, r.done) for r in catalog.ancestor_rollup(spark.createDataFrame([(deep, 2, 1), ("a", 1, 1)], "root string, total long, done long")).collect()}
+    assert len(got) == 11 and got[deep] == (2, 1) and got["a"] == (3, 2)
+
+
 def test_upsert_inserts_and_keeps(spark):
     base = spark.createDataFrame([(1, "a", "u"), (2, "b", "v")], "id long, name string, note string")
     new = spark.createDataFrame([(2, None), (3, "c")], "id long, name string")
