@@ -147,9 +147,11 @@ def _stretches(starts: np.ndarray, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, percent: int = PERCENT, most: int = BLOCK_BYTES) -> list[Items]:
-    """The benchmark (item_id, text) in blocks of bounded size; items without words or item_id match nothing."""
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+def item_blocks(benchmark: DataFrame, percent: int = PERCENT, most: int = BLOCK_BYTES, unnamed: bool = False) -> list[Items]:
+    """The benchmark (item_id, text) in blocks of bounded size; items without words match nothing. unnamed: items without
+    item_id are in too, as item 0."""
+    named = benchmark if unnamed else benchmark.where("item_id is not null")
+    rows = named.select(F.coalesce(F.col("item_id").cast("long"), F.lit(0).cast("long")).alias("item_id"), "text").where(F.col("text").isNotNull())
     blocks, ids, texts, size = [], [], [], 0
     for r in rows.orderBy("item_id").toLocalIterator():
         ids.append(r["item_id"])
@@ -191,9 +193,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, whose text holds no benchmark item (see contaminated)."""
+    """The rows of docs, with all their columns, whose text holds no benchmark item (see contaminated), with item_id or without."""
     sc = docs.sparkSession.sparkContext
-    for block in item_blocks(benchmark, percent):
+    for block in item_blocks(benchmark, percent, unnamed=True):
         shared = sc.broadcast(block)
 
         def run(batches, shared=shared):

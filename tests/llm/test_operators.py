@@ -11,7 +11,7 @@ from oracle import connect, spark_rows, sql_rows
 import corpus_pipeline
 from lodestone.llm import queries as Q
 from lodestone.llm.common import Texts
-from lodestone.llm.decontaminate import contaminated
+from lodestone.llm.decontaminate import clean_documents, contaminated
 from lodestone.llm.exactdup import exact_groups, golomb_decode, golomb_encode, rice_parameter
 from lodestone.llm.htmltext import extract_pages, main_text, page_wrapper, region
 from lodestone.llm.linedup import drop_repeated_lines
@@ -130,6 +130,12 @@ def test_decontamination_by_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want and want
 
 
+def test_items_without_id_drop_documents(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "other words of no item at all")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three four five six"), (0, "never seen in any of these")], "item_id long, text string")
+    assert [r.doc_id for r in clean_documents(docs, bench).collect()] == [2]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality_scores(docs, labels).where("held_out").join(labels, "doc_id").collect()
