@@ -1,11 +1,14 @@
 """What the operators share: the shared folder, lineage cuts, and vectorised word hashing.
 
 Word hashing reads Arrow string buffers directly. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; each gets
-a 64-bit hash. Two different words share a hash with probability 2**-64, which all users accept as equality.
+a 64-bit hash, which all users take for the word. Words of up to 8 bytes of one length never share a hash. Longer ones
+are mixed in 8 bytes at a time, each step a bijection of the state, so that two words that weren't made for it share a
+hash with a chance of 2**-64; very long ones get a cryptographic digest cut to 64 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,11 +25,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one will do for a
+    local master (tests) only."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         set_by_hand = sc._jsc.sc().getCheckpointDir()
+        if set_by_hand.isEmpty() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = set_by_hand.get() if set_by_hand.isDefined() else tempfile.mkdtemp(prefix="lodestone-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
@@ -56,6 +62,22 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str = "inner", least: int = 1000) -> DataFrame:
+    """left joined (inner or left) with right, which has one row per key, so that no key's rows meet in one task.
+
+    rows: the column of right that says how many rows of left have the key. Keys with more than `least` rows and than
+    a 2**17th of all are fewer than 2**17, and go by broadcast; the others shuffle. Both sides are read twice: cut
+    them first.
+    """
+    total, most = right.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
+    limit = max(least, total >> 17)
+    if most <= limit:
+        return left.join(right, keys, how)
+    hot = right.where(F.col(rows) > limit)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(rows) <= limit), keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def crc32_of(col: str | Column) -> Column:
     """crc32 of an integer's decimal text; of null, that of the empty text."""
     col = F.col(col) if isinstance(col, str) else col
@@ -65,23 +87,15 @@ def crc32_of(col: str | Column) -> Column:
 # ---------------------------------------------------------------- word hashing
 
 _PIECE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Words of more bytes are hashed one by one.
+_LONG = 512
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_LOWER += np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _table(base: np.uint64, n: int) -> np.ndarray:
-    known = _powers.get(int(base))
-    if known is None or len(known) < n:
-        full = np.full(max(n, _PIECE + 1), base, dtype=np.uint64)
-        full[0] = 1
-        _powers[int(base)] = known = np.cumprod(full, dtype=np.uint64)
-    return known[:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += np.uint8(32)
+#: The lower n bytes of a 64-bit word.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,6 +105,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hashes of the words b[i:j] of lower-cased bytes."""
+    padded = np.append(b, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+    size = j - i
+    h = mix(size.astype(np.uint64) + _SEED)
+    live = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(live):
+        left = size[live] - at
+        part = eight[i[live] + at] & _BYTES[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ part) + _SEED)
+        live = live[left > 8]
+        at += 8
+    for k in np.flatnonzero(size > _LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(b[i[k] : j[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class Texts:
     """The texts of an Arrow string column. Null counts as empty.
 
@@ -148,12 +181,9 @@ class Texts:
             last = word.copy()
             last[:-1] &= ~word[1:] | begin[1:-1]
             i, j = np.flatnonzero(first), np.flatnonzero(last) + 1
-            total = np.zeros(len(b) + 1, dtype=np.uint64)
-            np.cumsum(_LOWER[b] * _table(_BASE, len(b)), out=total[1:])
-            h = (total[j] - total[i]) * _table(_BASE_INV, len(b) + 1)[i]
             firsts.append(i + at)
             lasts.append(j + at)
-            hashes.append(mix(h + (j - i).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            hashes.append(word_hashes(_LOWER[b], i, j))
         if not hashes:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
@@ -187,4 +217,3 @@ def sub_batches(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iter
         to = max(at + 1, int(np.searchsorted(size, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
-

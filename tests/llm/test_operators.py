@@ -10,13 +10,14 @@ from oracle import connect, spark_rows, sql_rows
 
 import corpus_pipeline
 from lodestone.llm import queries as Q
-from lodestone.llm.common import Texts
+from lodestone.llm.common import Texts, cut, join_hot
+from lodestone.llm.components import components
 from lodestone.llm.decontaminate import clean_documents, contaminated
 from lodestone.llm.exactdup import exact_groups, golomb_decode, golomb_encode, rice_parameter
 from lodestone.llm.htmltext import extract_pages, main_text, page_wrapper, region
 from lodestone.llm.linedup import drop_repeated_lines
 from lodestone.llm.lmscore import score_texts
-from lodestone.llm.mixing import mixed_sizes
+from lodestone.llm.mixing import mixed_documents, mixed_sizes
 from lodestone.llm.neardup import near_duplicates
 from lodestone.llm.quality import quality_scores
 from lodestone.llm.urlfilter import judge_urls
@@ -109,7 +110,63 @@ def test_neardup_five_words_by_brute_force(spark):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {i: find(i) for i in sets}
+    for family in (64, 3):  # the latter splits families
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, family=family).collect()} == {i: find(i) for i in sets}
+
+
+def test_neardup_splits_families_exactly(spark):
+    """Changed, cut and spliced copies of one passage, many of them too unlike the hub."""
+    rng = np.random.default_rng(5)
+    base, other, texts = [f"w{i}" for i in range(120)], [f"v{i}" for i in range(120)], []
+    for k in range(160):
+        t = list(base)
+        for i in rng.integers(0, 120, int(rng.integers(0, 7))):
+            t[i] = f"c{rng.integers(0, 3)}"
+        t = [t[: int(rng.integers(60, 121))], t, t[: int(rng.integers(70, 121))] + other[: int(rng.integers(0, 60))]][k % 3]
+        texts.append(t)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {i: find(i) for i in range(len(texts))}
+    assert 3 < len(set(want.values())) < 160
+    for family in (64, 4):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, family=family).collect()} == want
+
+
+def test_words_made_to_collide_under_a_polynomial_hash():
+    import pyarrow as pa
+
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("ab", "ba"))
+        h, _ = Texts(pa.array([f"{t} {t.translate(str.maketrans('ab', 'ba'))} {t.upper()}"])).words()
+        assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(100, 400)]
+    star = [(5000, i) for i in range(1000, 1400)]
+    got = {r.node: r.root for r in components(spark.createDataFrame([*chain, *star, (7, 7)], "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(101, 401)} | {i: 1000 for i in [*range(1001, 1400), 5000]}
+
+
+def test_join_hot_equals_join(spark):
+    left = cut(spark.range(5000).selectExpr("if(id % 3 = 0, 1, if(id % 7 = 0, null, id)) as k", "id"))
+    right = cut(left.where("k is not null").groupBy("k").count())
+    for how in ("inner", "left"):
+        got = join_hot(left, right, ["k"], "count", how, least=10)
+        assert sorted(got.collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
 
 
 def test_decontamination_by_brute_force(spark):
@@ -130,6 +187,20 @@ def test_decontamination_by_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want and want
 
 
+def test_decontamination_over_blocks(spark):
+    """An item_id's texts are in one block, however small: its best window is one row."""
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "one two three four five six"), (7, "two three four five six seven"), (8, "one two three four five")], "item_id long, text string")
+    got = contaminated(docs, bench, most=10).collect()
+    assert sorted((r.doc_id, r.item_id, r.first_word) for r in got) == [(1, 7, 0), (1, 8, 0)]
+    assert contaminated(docs, bench.limit(0)).count() == 0 and clean_documents(docs, bench.limit(0)).count() == 3
+
+
+def test_mixing_loses_no_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "s", k) for k in range(7)] + [(2, "x y z " * 10, "s", 9)], "doc_id long, text string, source string, k long")
+    assert mixed_documents(docs).agg({"taken": "sum"}).first()[0] == mixed_sizes(docs).agg({"taken": "sum"}).first()[0] == 98
+
+
 def test_items_without_id_drop_documents(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "other words of no item at all")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "one two three four five six"), (0, "never seen in any of these")], "item_id long, text string")
@@ -196,6 +267,8 @@ def test_lm_score_by_brute_force_and_any_table(spark):
     got = {n: {r.doc_id: r.score for r in score_texts(docs, table_words=n).collect()} for n in (0, 100, 1 << 18)}
     near = lambda x, y: abs(x - y) < 1e-6 * max(1, -y)
     assert all(g.keys() == want.keys() and all(near(g[i], got[100][i]) for i in g) for g in got.values())
+    passes = {r.doc_id: r.score for r in score_texts(docs, filter_bytes=1).collect()}
+    assert all(near(passes[i], got[100][i]) for i in passes)
     # the filter reads a pair in about a million too high
     assert sum(not near(got[100][i], want[i]) for i in want) <= 2
 
@@ -211,6 +284,9 @@ def test_html_text(spark):
     cases = {
         "<div id=main><p>A &amp; b<br>c<div class='comments'>no</div><ul><li>x<li>y</ul>1 < 2 <cut": "A & b c\nx\ny\n1 < 2",
         "<script>'</p>'</script><article>T<aside>n</aside>U<p>V</article>X<form>f</form>": "T\nU\nV",
+        "<article><div class='search results'>a</div><div class='story-comments-policy'><p>b</p></div><div class='comment-list'>c</div><div role=search>d</div></article>": "a\nb",
+        "<div>" * 60 + "<article><p>deep</p></article></div><p>around": "deep",
+        "<article>" + "x y " * 300_000 + "</article><p>z": " ".join(["x y"] * 300_000),
         "": "",
     }
     for page, text in cases.items():
@@ -258,3 +334,15 @@ def test_pipeline(spark):
         ids.append({r.doc_id for r in docs.select("doc_id").collect()})
     assert all(b <= a for a, b in zip(ids, ids[1:], strict=False)) and ids[-1]
     assert len({" ".join(r.text.split()) for r in docs.collect()}) == docs.count()
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
+    odd = odd.withColumn("_i", odd.v).withColumn("_k", odd.v)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, odd, SF)
+        assert (k == 4 or out.columns == odd.columns) and out.count() <= odd.count() and stage(spark, odd.limit(0), SF).count() == 0
+    left = corpus_pipeline.exact_dedup(spark, odd, SF).collect()
+    assert sorted((r.doc_id, len((r.text or "").split())) for r in left) == [(1, 0), (3, 2), (5, 30_000), (8, 0), (9, 1)]
+    text = " ".join(f"w{i}" for i in range(50))
+    near = spark.createDataFrame([(None, text), (4, text + " z"), (4, text + " y"), (6, None), (6, "other")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, len((r.text or "").split())) for r in corpus_pipeline.minhash_neardup(spark, near, SF).collect()) in ([(0, 50), (6, 0), (6, 1)], [(4, 51), (6, 0), (6, 1)])
