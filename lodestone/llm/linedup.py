@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, shuffle_width, small, sub_batches
+from lodestone.llm.common import cut, join_hot, shuffle_width, small, sub_batches
 
 STRIP = " \t\n\x0b\x0c\r"
 LEAST = 10
@@ -163,8 +163,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     copies = filters.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), "bits")
     streams = rows.unionByName(copies).repartition(shuffle_width(spark), "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("bits").isNull())
     suspects = cut(streams.mapInArrow(_suspects, "doc_id long, digest binary"))
-    first = suspects.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return suspects.join(first, "digest").where("doc_id > first").select("doc_id", "digest").distinct()
+    first = cut(suspects.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("first < last"))
+    return join_hot(suspects, first, ["digest"], "rows").where("doc_id > first").select("doc_id", "digest").distinct()
 
 
 def _tag(buckets: int) -> Callable:
