@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, cut, shuffle_width, small
+from lodestone.llm.common import SPACE, cut, join_hot, shuffle_width, small
+
+#: Fingerprints that one owner decodes at a time.
+_PER_OWNER = 1 << 21
 
 
 def golomb_encode(values: np.ndarray, k: int) -> bytes:
@@ -24,7 +27,7 @@ def golomb_encode(values: np.ndarray, k: int) -> bytes:
     high, low = (gaps >> np.uint64(k)).astype(np.int64), gaps & np.uint64((1 << k) - 1)
     unary = np.zeros(int(high.sum()) + len(high), np.uint8)
     unary[np.cumsum(high + 1) - 1] = 1
-    binary = ((low[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+    binary = np.unpackbits(low.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :k].ravel()
     return np.packbits(np.concatenate([unary, binary])).tobytes()
 
 
@@ -33,7 +36,9 @@ def golomb_decode(data: bytes, n: int, k: int) -> np.ndarray:
     ends = np.flatnonzero(bits)[:n]  # the unary part comes first, and its ones are the first n
     high = np.diff(ends, prepend=-1) - 1
     at = int(ends[-1]) + 1 if n else 0
-    low = bits[at : at + n * k].reshape(n, k).astype(np.uint64) @ (np.uint64(1) << np.arange(k, dtype=np.uint64))
+    binary = np.zeros((n, 64), np.uint8)
+    binary[:, :k] = bits[at : at + n * k].reshape(n, k)
+    low = np.packbits(binary, axis=1, bitorder="little").view("<u8").ravel()
     return np.cumsum((high.astype(np.uint64) << np.uint64(k)) | low, dtype=np.uint64)
 
 
@@ -107,7 +112,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
     # the cut fixes which partition and row number each row has
     rows = cut(base.select("doc_id", F.xxhash64("t").alias("fp"), F.sha2("t", 256).alias("sha"), F.spark_partition_id().alias("part")).withColumn("row", F.monotonically_increasing_id()))
-    owners = shuffle_width(spark)
+    owners = max(shuffle_width(spark), rows.count() // _PER_OWNER)
     sent = rows.select("part", "fp").mapInArrow(_send(owners), "owner int, part int, n long, k int, codes binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "part int, owner int, n long, marks binary")
     marked = rows.select("part", "row", "fp").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_mark, "row long")
@@ -119,6 +124,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     classes = classes.groupBy("sha").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
     sure = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")).otherwise(F.col("group_size"))
     classes = cut(classes.select("sha", "keep_id", sure.alias("group_size")))
-    grouped = rows.select("doc_id", "sha").join(classes, "sha", "left")
+    grouped = join_hot(rows.select("doc_id", "sha"), classes, ["sha"], "group_size", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return grouped.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
