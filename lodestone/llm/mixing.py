@@ -135,11 +135,20 @@ def mixed_sizes(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mix takes words of, with all their columns and size, source_size, target, taken.
 
-    Rows that are equal in doc_id and text have the mean of what the mix takes of them.
+    Rows that are equal in doc_id and text share what the mix takes of them in about equal parts; no word is lost.
     """
     rows, facts, keep = mix(docs, **how)
-    even = F.floor(F.sum("taken") / F.count("*"))
-    facts = facts.groupBy(F.col("_doc").alias("_d"), F.col("_shuffle").alias("_s")).agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), even.alias("taken")).where("taken > 0")
+    per_key = [F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("_n")]
+    facts = cut(facts.groupBy(F.col("_doc").alias("_d"), F.col("_shuffle").alias("_s")).agg(*per_key).where("taken > 0"))
     packed = rows.select(F.struct(*keep).alias("_all"), F.col("doc_id").alias("_i"), F.col("_shuffle").alias("_h"))
-    joined = packed.join(facts, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_s")))
+    same = F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_s"))
+    joined = packed.join(facts.where("_n = 1"), same)
+    several = facts.where("_n > 1")
+    if not several.isEmpty():
+        # the k-th of n equal rows: numbered by partition, so that no group is in one task
+        copies = cut(packed.join(several, same).withColumn("_row", F.monotonically_increasing_id()))
+        copies = copies.withColumn("_key0", F.xxhash64("_i", "_h")).withColumn("_part", F.shiftright("_row", 33))
+        k = _running(copies, "_key0", "_part", ["_row"], F.lit(1).cast("long"), "_k")
+        share = F.floor(F.col("taken") * (F.col("_k") + 1) / F.col("_n")) - F.floor(F.col("taken") * F.col("_k") / F.col("_n"))
+        joined = joined.unionByName(k.withColumn("taken", share).where("taken > 0").select(joined.columns))
     return joined.select(*(F.col("_all")[c].alias(c) for c in keep), "size", "source_size", "target", "taken")
