@@ -9,7 +9,7 @@ shingles of items of their size for the threshold get a fingerprint: others can'
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -147,20 +147,20 @@ def _stretches(starts: np.ndarray, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, percent: int = PERCENT, most: int = BLOCK_BYTES, unnamed: bool = False) -> list[Items]:
-    """The benchmark (item_id, text) in blocks of bounded size; items without words match nothing. unnamed: items without
-    item_id are in too, as item 0."""
+def item_blocks(benchmark: DataFrame, percent: int = PERCENT, most: int = BLOCK_BYTES, unnamed: bool = False) -> Iterator[Items]:
+    """The benchmark (item_id, text) in blocks of about `most` bytes, one at a time; the texts of one item_id are in
+    one block. Items without words match nothing. unnamed: items without item_id are in too, as item 0."""
     named = benchmark if unnamed else benchmark.where("item_id is not null")
     rows = named.select(F.coalesce(F.col("item_id").cast("long"), F.lit(0).cast("long")).alias("item_id"), "text").where(F.col("text").isNotNull())
-    blocks, ids, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
     for r in rows.orderBy("item_id").toLocalIterator():
+        if size > most and r["item_id"] != ids[-1]:
+            yield Items(ids, texts, percent)
+            ids, texts, size = [], [], 0
         ids.append(r["item_id"])
         texts.append(r["text"])
         size += len(r["text"].encode())
-        if size > most:
-            blocks.append(Items(ids, texts, percent))
-            ids, texts, size = [], [], 0
-    return [*blocks, Items(ids, texts, percent)] if ids or not blocks else blocks
+    yield Items(ids, texts, percent)
 
 
 def _hits(shared) -> Callable:
@@ -174,7 +174,7 @@ def _hits(shared) -> Callable:
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, most: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each row of docs that holds an item.
 
     docs: doc_id integer, text string; benchmark: item_id integer, text string. An item is held if the weighted
@@ -182,11 +182,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     is shorter) is percent / 100 or more; words are compared with A-Z lower-cased. Items of fewer than five words are
     one shingle, and so are windows for them. Of equal windows the first counts. Null or empty texts hold nothing;
     rows that repeat are each reported; rows without doc_id are reported with null; items that share an item_id are
-    searched for each, and the best window is reported. Other columns are ignored.
+    searched for each, and the best window is reported. Texts of any length are searched whole. Items without item_id
+    or text, an empty benchmark or an empty table give no rows. Other columns are ignored. most: see item_blocks.
     """
     sc, thin = docs.sparkSession.sparkContext, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for block in item_blocks(benchmark, percent):
+    for block in item_blocks(benchmark, percent, most):
         found = thin.mapInArrow(_hits(sc.broadcast(block)), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         out = found if out is None else out.unionByName(found)
     return out
