@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Texts, crc32_of, cut, mix, shuffle_width, sub_batches
+from lodestone.llm.exactdup import golomb_decode, golomb_encode, rice_parameter
 
 FILTER_BYTES = 64 << 20
 #: Of a filter segment; a power of two.
@@ -29,6 +30,10 @@ BITS_PER_PAIR = 9
 TABLE_WORDS = 1 << 18
 PRIOR = 4.0
 SAMPLE = 64
+#: Tokens that a task counts the pairs of at a time.
+CHUNK = 1 << 22
+#: Pairs are known by their hash without so many lower bits.
+DROP = 12
 #: A token kept for later: its pair's level, its word and the one before, as REF_BITS bits each.
 REF_BITS = 28
 #: What stands for the start of a text among references; levels of known words are -1 to -64.
@@ -73,20 +78,41 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _count_pairs(segments: int) -> Callable:
+    """Each chunk's pairs by segment: Golomb-coded fingerprints, counts below 255, and those of the others in order."""
+
+    def coded(held):
+        f, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(segment_of(f << np.uint64(DROP), segments), np.arange(segments + 1))
+        rows = []
+        for seg in np.flatnonzero(np.diff(cuts)).tolist():
+            i, j = cuts[seg], cuts[seg + 1]
+            k = rice_parameter(int(j - i), (1 << 64 - DROP) // segments)
+            big = n[i:j][n[i:j] >= 255]
+            rows.append((seg, int(j - i), k, golomb_encode(f[i:j] - _first(seg, segments), k), np.minimum(n[i:j], 255).astype(np.uint8).tobytes(), big.astype(np.int64).tobytes()))
+        seg, size, k, codes, low, high = zip(*rows, strict=True)
+        return pa.record_batch({"seg": pa.array(seg, pa.int32()), "n": pa.array(size, pa.int64()), "k": pa.array(k, pa.int32()), "codes": pa.array(codes, pa.binary()), "low": pa.array(low, pa.binary()), "high": pa.array(high, pa.binary())})
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for part in sub_batches(batch, "text"):
                 t, before, _ = _tokens(part)
-                p = pair_hash(before, t)
-                order = np.argsort(p)
-                new = np.flatnonzero(np.append(True, p[order][1:] != p[order][:-1]))
-                n = np.diff(np.append(new, len(p)))
-                at = order[new]
-                yield pa.record_batch({"seg": pa.array(segment_of(p[at], segments).astype(np.int32)), "h": pa.array(p[at].view(np.int64)), "c": pa.array(n.astype(np.int64))})
+                held.append(pair_hash(before, t) >> np.uint64(DROP))
+                size += len(t)
+                if size > CHUNK:
+                    yield coded(held)
+                    held, size = [], 0
+        if size:
+            yield coded(held)
 
     return run
 
 
+def _first(seg: int, segments: int) -> np.uint64:
+    """The smallest fingerprint of a segment."""
+    return np.uint64(-(-(seg << 32) // segments) << (32 - DROP))
+
+
 def levels(c: np.ndarray) -> np.ndarray:
     """0 for 0; q for counts of 2**(q-1) up to 2**q - 1."""
     return np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))) + 1, 0).astype(np.int64)
@@ -124,17 +150,39 @@ def look_up(bits: np.ndarray, segment: np.ndarray, h: np.ndarray) -> np.ndarray:
     return q
 
 
-def _fill(batches):
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        seg, h, c = (batch.column(k).to_numpy() for k in ("seg", "h", "c"))
-        order = np.argsort(seg, kind="stable")
-        cuts = np.flatnonzero(np.append(True, seg[order][1:] != seg[order][:-1])) if len(seg) else []
-        for i, j in zip(cuts, [*cuts[1:], len(seg)], strict=True):
-            rows = order[i:j]
-            store(held.setdefault(int(seg[rows[0]]), np.zeros(SEGMENT_BYTES, np.uint8)), h[rows].view(np.uint64), c[rows])
-    for k, bits in held.items():
-        yield pa.record_batch({"seg": pa.array([k], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+def _fill(segments: int) -> Callable:
+    """The filter of each segment; a segment's rows come one after another, so a task holds one at a time."""
+
+    def summed(held):
+        f, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        c = np.zeros(len(f), np.int64)
+        np.add.at(c, inverse, np.concatenate([x for _, x in held]))
+        return [(f, c)]
+
+    def filled(seg, held):
+        bits = np.zeros(SEGMENT_BYTES, np.uint8)
+        store(bits, *summed(held)[0])
+        return pa.record_batch({"seg": pa.array([seg], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    def run(batches):
+        now, held, size = None, [], 0
+        for batch in batches:
+            for seg, n, k, codes, low, high in zip(*(batch.column(x).to_pylist() for x in ("seg", "n", "k", "codes", "low", "high")), strict=True):
+                if seg != now:
+                    if held:
+                        yield filled(now, held)
+                    now, held, size = seg, [], 0
+                c = np.frombuffer(low, np.uint8).astype(np.int64)
+                c[c == 255] = np.frombuffer(high, np.int64)
+                held.append((golomb_decode(codes, n, k) + _first(seg, segments), c))
+                size += n
+                if size > CHUNK:
+                    held = summed(held)
+                    size = len(held[0][0]) // 2
+        if held:
+            yield filled(now, held)
+
+    return run
 
 
 def held_out():
@@ -191,7 +239,7 @@ def _pass(shared, base, segments: int, first: int, lead: bool) -> Callable:
                 p = pair_hash(before, t)
                 seg = segment_of(p, segments).astype(np.int64) - first
                 mine = np.flatnonzero((seg >= 0) & (seg < len(bits)))
-                level, own, prev = look_up(bits, seg[mine], p[mine]), ref[mine], prev_ref[mine]
+                level, own, prev = look_up(bits, seg[mine], p[mine] >> np.uint64(DROP)), ref[mine], prev_ref[mine]
                 late = (own >= 0) | (prev >= 0)
                 now = ~late
                 logs = _log_p(_value(own[now], texts), _value(prev[now], texts), VALUE[level[now]], denominator)
@@ -242,7 +290,8 @@ def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, table_words:
 
     docs: doc_id integer, text string. Learns from rows whose crc32 of doc_id as text, modulo 10, isn't 0 (a null
     doc_id counts as empty text). Tokens are the words, A-Z lower-cased, and one end; null and empty texts have the
-    end alone. score: log10 probability of the text under the pair model. Repeated rows are scored each, and learnt
+    end alone. score: log10 probability of the text under the pair model. As counts are known by powers of two only,
+    what may follow a word has probabilities that sum to 1 within a factor of 1.5, not exactly. Repeated rows are scored each, and learnt
     from each; other columns are ignored; an empty table gives no rows. With nothing to learn from, base_score is 0.
     """
     spark = docs.sparkSession
@@ -267,19 +316,22 @@ def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, table_words:
     del often, h, c, order
 
     segments = max(1, -(-sampled * SAMPLE * BITS_PER_PAIR // (8 * SEGMENT_BYTES)))
-    pairs = train.mapInArrow(_count_pairs(segments), "seg int, h long, c long").repartition(min(segments, 4 * shuffle_width(spark)), "seg")
-    filled = cut(pairs.groupBy("seg", "h").agg(F.sum("c").alias("c")).mapInArrow(_fill, "seg int, bits binary"))
-    # row numbers are fixed by the scan; only sums by row meet, within one run of this plan
-    rows = thin.withColumn("row", F.monotonically_increasing_id())
+    pairs = train.mapInArrow(_count_pairs(segments), "seg int, n long, k int, codes binary, low binary, high binary").repartition(min(segments, 4 * shuffle_width(spark)), "seg").sortWithinPartitions("seg")
+    filled = cut(pairs.mapInArrow(_fill(segments), "seg int, bits binary"))
     per_pass = max(1, filter_bytes // SEGMENT_BYTES)
+    # the passes' sums meet by row number, so several passes read a saved table
+    rows = thin.withColumn("row", F.monotonically_increasing_id())
+    rows = cut(rows) if segments > per_pass else rows
     parts = []
     for first in range(0, segments, per_pass):
         bits = np.zeros((min(per_pass, segments - first), SEGMENT_BYTES), np.uint8)
         for r in filled.where((F.col("seg") >= first) & (F.col("seg") < first + per_pass)).toLocalIterator():
             bits[r["seg"] - first] = np.frombuffer(r["bits"], np.uint8)
         schema = "row long, doc_id long, score double, refs array<long>" + ", n_tokens long, n_known long, base double, rare array<long>, times array<long>" * (not first)
-        parts.append(rows.mapInArrow(_pass(sc.broadcast(bits), base, segments, first, not first), schema))
-    lead = cut(parts[0])
+        shared = sc.broadcast(bits)
+        parts.append(cut(rows.mapInArrow(_pass(shared, base, segments, first, not first), schema)))
+        shared.unpersist()
+    lead = parts[0]
     # a word outside the table: look it up among all words
     rare = lead.select("row", F.posexplode("rare").alias("pos", "h"))
     found = rare.join(words, "h", "left").select("row", F.struct("pos", F.coalesce("c", F.lit(0).cast("long")).alias("c")).alias("x"))
