@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, shuffle_width, small, sub_batches
 
 SALTS = 32
-#: Elements below so many levels count as their text.
+#: Elements below so many levels count as their text, but for the outermost that names mark as content.
 DEPTH = 40
 #: Hosts that a task keeps wrappers of before it hands them on.
 HELD_HOSTS = 4096
@@ -40,9 +40,10 @@ RAW = frozenset("script style textarea title noscript xmp iframe noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-# What is no content, by tag and by the words of class, id and role.
+# What is no content, by tag, by role, and by the first or last word of a class or id.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg canvas object button select option textarea title head dialog menu input fieldset audio video map".split())
-NOISE = frozenset("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo search alert alertdialog".split())
+NOISE = frozenset("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 CONTENT = ("article", "main", "content", "post", "entry", "story", "body")
 _WORDS = re.compile(r"[^0-9a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -52,9 +53,11 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool]:
     if not attributes or attributes.isspace():
         return tag, tag in DROPPED
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    words = {w.lower() for w in _WORDS.split(names) if w}
-    noise = tag in DROPPED or bool(words & NOISE) and tag not in ("body", "html", "article", "main") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    # a name is about its ends: `comment-list` and `site-header`, but not `story-comments-policy`, is no content
+    names = [[w.lower() for w in _WORDS.split(x) if w] for k in ("class", "id", "role") for x in found.get(k, "").split()]
+    words = {w for x in names for w in x}
+    named = any(x and (x[0] in NOISE or x[-1] in NOISE) for x in names) or found.get("role", "").strip().lower() in ROLES
+    noise = tag in DROPPED or named and tag not in ("body", "html", "article", "main") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     # numbers in names tell pages apart, not parts of a page
     return tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit()), noise
 
@@ -130,14 +133,25 @@ def _digest(x: str) -> str:
     return hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
+def _names(label: str) -> list[str]:
+    """Those of CONTENT that mark an element of this label."""
+    tag, *words = label.split(".")
+    return [x for x in CONTENT if tag == x and x in ("article", "main") or tag not in ("html", "body") and x in words]
+
+
 def page_wrapper(page: str) -> list:
     """The page itself as a wrapper: noise left out, repeats folded."""
     root = ["", "", [], "", 0, [], 1, 0]
     path, deep, skip = [root], 0, 0
+    below = 0  # elements passed over above the outermost named one below DEPTH
     for what, x, noise in events(page):
         if what == "open":
             if skip or noise:
                 skip += 1
+            elif len(path) == DEPTH + 1 and not below and _names(x):
+                below, deep = deep + 1, 0
+                path.append([x, "", [], "", 0, [], 1, 0])
+                path[-2][2].append(path[-1])
             elif len(path) > DEPTH:
                 deep += 1
             else:
@@ -150,6 +164,8 @@ def page_wrapper(page: str) -> list:
                 deep -= 1
             else:
                 node = path.pop()
+                if below and len(path) == DEPTH + 1:
+                    deep, below = below - 1, 0
                 node[2], node[5] = fold(node[2]), [_digest(node[3])] if node[3] else []
         elif what == "text" and not skip and (own := " ".join(x.split())):
             path[-1][3] = f"{path[-1][3]} {own}".strip()
@@ -237,9 +253,8 @@ def region(wrapper: list) -> list[str]:
     found: dict[str, set[str]] = {}
 
     def walk(node: list, inside: set[str]) -> None:
-        tag, *words = node[0].split(".")
-        for name in CONTENT:
-            if name not in inside and (tag == name and name in ("article", "main") or tag not in ("html", "body") and name in words):
+        for name in _names(node[0]):
+            if name not in inside:
                 found.setdefault(name, set()).add(node[0])
                 inside = inside | {name}
         for c in node[2]:
