@@ -53,17 +53,35 @@ def completeness(caption: Column, has_tags: Column, has_type: Column, has_user:
     return share(caption, 0.35) + share(has_tags, 0.25) + share(has_type, 0.30) + share(has_user, 0.10)
 
 
-def token_score(tokens: list[str], haystack: Column) -> Column:
-    """The share of the tokens that the text holds; 0 without tokens."""
-    low = F.lower(F.coalesce(haystack, F.lit("")))
+def token_score(tokens: list[str], *haystack: Column) -> Column:
+    """The share of the tokens that the fields hold, joined by spaces; 0 without tokens. Array fields join too."""
+    low = F.lower(F.concat_ws(" ", *haystack))
     return sum((F.contains(low, F.lit(t)).cast("double") for t in tokens), F.lit(0.0)) / max(1, len(tokens))
 
 
-def path_score(candidates: list[str], path: Column) -> Column:
-    """1 for an equal path or suffix, 0.8 where it is contained; the first candidate that matches counts."""
-    out, low = F.lit(0.0), F.lower(F.coalesce(path, F.lit("")))
-    for c in reversed([c.lower() for c in candidates if c]):
-        out = F.when((low == c) | F.endswith(low, F.lit(c)), 1.0).when(F.contains(low, F.lit(c)), 0.8).otherwise(out)
+#: Filters that count for filter_score.
+SOFT_FILTERS = ("format", "image_type", "scene_type", "art_style", "time_of_day", "weather", "folder_path")
+
+
+def filter_score(filters: dict[str, str | None], columns: dict[str, Column]) -> Column:
+    """The share of the soft filters given that the row has, whatever its case; 0 without any."""
+    given = {k: str(v).lower() for k, v in filters.items() if k in SOFT_FILTERS and v not in (None, "")}
+    hits = [F.coalesce(F.lower(columns[k].cast("string")) == v, F.lit(False)).cast("double") if k in columns else F.lit(0.0) for k, v in given.items()]
+    return sum(hits, F.lit(0.0)) / max(1, len(given))
+
+
+def path_score(query: str, *paths: Column) -> Column:
+    """For a query that looks like a path: 1 for an equal path or suffix, 0.8 where it is contained, else 0.
+
+    Paths are looked at in order (relative, whole, folder); the first that matches counts.
+    """
+    q = (query or "").replace("\\", "/").strip().lower()
+    if "/" not in q and not q.endswith((".psd", ".png", ".jpg", ".jpeg")):
+        return F.lit(0.0)
+    out = F.lit(0.0)
+    for path in reversed(paths):
+        low = F.lower(F.translate(F.coalesce(path, F.lit("")), "\\", "/"))
+        out = F.when(F.endswith(low, F.lit(q)), 1.0).when(F.contains(low, F.lit(q)), 0.8).otherwise(out)
     return out
 
 

@@ -99,11 +99,131 @@ def sliding_counts(done: DataFrame, ts: str = "ts", size: str = "5 minutes", sli
     return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *(by or []), "n")
 
 
-def skip_flags(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds skip_caption, skip_vv to found (path, size, mtime): unchanged, and the output is there."""
-    k = known.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), "caption", "has_vv")
-    same = F.coalesce((F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")), F.lit(False))
-    return found.join(k, "path", "left").select(*found.columns, (same & (F.coalesce(F.trim("caption"), F.lit("")) != "")).alias("skip_caption"), (same & F.coalesce("has_vv", F.lit(False))).alias("skip_vv"))
+def unchanged(verify_hash: bool = False) -> Column:
+    """Whether a found file (path, size, mtime, hash) is as the catalog knows it (_size, _mtime, _hash).
+
+    Times are compared with a space for T. Hashes, if asked for and known, must agree.
+    """
+    same = (F.col("size") == F.col("_size")) & (F.replace("mtime", F.lit("T"), F.lit(" ")) == F.replace("_mtime", F.lit("T"), F.lit(" ")))
+    if verify_hash:
+        same = same & F.coalesce(F.col("hash") == F.col("_hash"), F.lit(True))
+    return F.coalesce(same, F.lit(False))
+
+
+def _known(found: DataFrame, known: DataFrame) -> DataFrame:
+    k = known.select("path", *(F.col(c).alias(f"_{c}") for c in known.columns if c != "path"))
+    return found.join(k, "path", "left")
+
+
+def skip_flags(found: DataFrame, known: DataFrame, models: dict[str, str] | None = None, verify_hash: bool = False) -> DataFrame:
+    """Adds skip_caption, skip_vv, skip_mv to found (path, size, mtime): unchanged, the output there, of the same model.
+
+    known: path, size, mtime, caption, has_vv, has_structure, has_mv, and caption_model, vv_model, mv_model for those
+    models that are given. A visual vector is made anew with the structure vector, so both must be there.
+    """
+    rows, same = _known(found, known), unchanged(verify_hash)
+    model = lambda k: F.coalesce(F.col(f"_{k}_model") == models[k], F.lit(False)) if models and k in models else F.lit(True)
+    has = lambda c: F.coalesce(F.col(f"_has_{c}"), F.lit(False))
+    caption = F.coalesce(F.trim("_caption"), F.lit("")) != ""
+    return rows.select(*found.columns, (same & caption & model("caption")).alias("skip_caption"), (same & has("vv") & has("structure") & model("vv")).alias("skip_vv"), (same & has("mv") & model("mv")).alias("skip_mv"))
+
+
+def skip_file(found: DataFrame, known: DataFrame, verify_hash: bool = False) -> DataFrame:
+    """Adds skip to found: unchanged, with a relative path, and every output there."""
+    rows = _known(found, known)
+    done = unchanged(verify_hash) & (F.coalesce(F.trim("_caption"), F.lit("")) != "") & (F.coalesce(F.trim("_relative_path"), F.lit("")) != "")
+    for c in ("_has_vv", "_has_mv", "_has_structure"):
+        done = done & F.coalesce(F.col(c), F.lit(False))
+    return rows.select(*found.columns, done.alias("skip"))
+
+
+def create(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted (file_path, ...), once each, for which no job waits or runs."""
+    active = jobs.where(F.col("status").isin("pending", "assigned", "processing")).select("file_path").distinct()
+    return wanted.dropDuplicates(["file_path"]).join(active, "file_path", "left_anti")
+
+
+def claimable(mode: str, flags: str = "phase_completed") -> Column:
+    """What a worker of this mode may claim: mc_only parsed jobs, embed_only those with a caption and no vectors."""
+    if mode == "mc_only":
+        return F.coalesce(F.col("parse_status") == "parsed", F.lit(False))
+    if mode == "embed_only":
+        return json_flag(F.col(flags), "$.vision") & not_embedded(flags)
+    return F.lit(True)
+
+
+def not_embedded(flags: str = "phase_completed", strict: bool = False) -> Column:
+    """Whether the embed flag is off: missing counts as off, but for the strict form."""
+    off = F.get_json_object(flags, "$.embed").isin("false", "0")
+    return F.coalesce(off, F.lit(not strict))
+
+
+def route(jobs: DataFrame, asked: int, mode: str, override: str | None = None, pressure: str = "normal") -> DataFrame:
+    """The jobs for one worker: its own mode goes before the general one, and load cuts the number."""
+    able = jobs.where(claimable(override or mode))
+    return claim(able, claim_size(asked, pressure), F.coalesce(F.col("parse_status") == "parsed", F.lit(False)))
+
+
+def reclaim_session(jobs: DataFrame, session: int) -> DataFrame:
+    """What a session held is pending again; phase flags stay."""
+    held = F.col("status").isin("assigned", "processing") & (F.col("worker_session_id") == session)
+    held = F.coalesce(held, F.lit(False))
+    return jobs.withColumn("status", F.when(held, "pending").otherwise(F.col("status"))).withColumn("worker_session_id", F.when(~held, F.col("worker_session_id")))
+
+
+def cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pending, assigned and failed ones of ids are cancelled."""
+    hit = jobs.join(ids.select("id").distinct().withColumn("_c", F.lit(True)), "id", "left")
+    gone = F.col("_c") & F.col("status").isin("pending", "assigned", "failed")
+    return hit.withColumn("status", F.when(gone, "cancelled").otherwise(F.col("status"))).drop("_c")
+
+
+def retry_failed(jobs: DataFrame) -> DataFrame:
+    """Failed jobs are pending again with no retries used; a failed parse may be tried again."""
+    failed = F.col("status") == "failed"
+    parse = F.when(~(failed & F.coalesce(F.col("parse_status") == "failed", F.lit(False))), F.col("parse_status"))
+    return jobs.withColumn("parse_status", parse).withColumn("retry_count", F.when(failed, 0).otherwise(F.col("retry_count"))).withColumn("status", F.when(failed, "pending").otherwise(F.col("status")))
+
+
+def clear_completed(jobs: DataFrame) -> DataFrame:
+    return jobs.where(~F.coalesce(F.col("status") == "completed", F.lit(False)))
+
+
+def startup(jobs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """Stale jobs are pending again, parses that were under way are undone."""
+    return reclaim_stale(jobs, now, minutes).withColumn("parse_status", F.when(~F.coalesce(F.col("parse_status") == "parsing", F.lit(False)), F.col("parse_status")))
+
+
+def startup_sessions(sessions: DataFrame) -> DataFrame:
+    return sessions.withColumn("status", F.when(F.col("status") == "online", "offline").otherwise(F.col("status")))
+
+
+def parse_deficit(jobs: DataFrame, target: Column) -> DataFrame:
+    """One row: how many jobs to parse ahead so that `target` of the pending ones are parsed."""
+    parsed = F.count_if((F.col("status") == "pending") & (F.col("parse_status") == "parsed"))
+    return jobs.agg(parsed.alias("parsed")).select("parsed", F.greatest(F.lit(0), target - F.col("parsed")).alias("deficit"))
+
+
+def worker_state(active_hours: Column, jobs_held: Column) -> Column:
+    """resting outside of its hours, else active with work and idle without."""
+    return F.when(~active_hours, "resting").when(jobs_held > 0, "active").otherwise("idle")
+
+
+def override(sessions: DataFrame, heartbeats: DataFrame) -> DataFrame:
+    """Sessions (session, pending_command, mode) after heartbeats (session, ts, id): a command is handed out once.
+
+    handed: the pending command for the first heartbeat of a session, which also clears it.
+    """
+    beat = heartbeats.select("session").distinct().withColumn("_b", F.lit(True))
+    rows = sessions.join(beat, "session", "left")
+    return rows.withColumn("handed", F.when(F.col("_b"), F.col("pending_command"))).withColumn("pending_command", F.when(F.col("_b").isNull(), F.col("pending_command"))).drop("_b")
+
+
+def batch_growth(steps: DataFrame, drop: float = 0.05) -> DataFrame:
+    """Adds previous, best and verdict to (run, step, rate): grow while the rate doesn't fall by `drop` of the one before."""
+    w = Window.partitionBy("run").orderBy("step")
+    out = steps.withColumn("previous", F.lag("rate").over(w)).withColumn("best", F.max("rate").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return out.withColumn("verdict", F.when(F.col("previous").isNull(), "start").when(F.col("rate") < F.col("previous") * (1 - drop), "refine").otherwise("grow"))
 
 
 def worst_level(metrics: list[Column], warn: float, danger: float, critical: float) -> Column:

@@ -31,12 +31,13 @@ class Plan:
 def weights(query_type: str, active: list[str], presets: dict[str, dict[str, float]] = PRESETS) -> dict[str, float]:
     """Weights of the active axes, summing to 1; an unknown type is balanced.
 
-    An active structure axis X without weight borrows from the visual one.
+    An active structure axis X without weight borrows from the visual one, and has 0.15 if that has none.
     """
     own = dict(presets.get(query_type, presets["balanced"]))
     if "X" in active and not own.get("X"):
-        lent = min(0.15, 0.35 * own.get("V", 0.0))
-        own["X"], own["V"] = lent, own.get("V", 0.0) - lent
+        visual = own.get("V", 0.0)
+        lent = min(0.15, 0.35 * visual) if visual > 0 else 0.15
+        own["X"], own["V"] = lent, max(0.0, visual - lent)
     total = sum(own.get(a, 0.0) for a in active)
     return {a: own.get(a, 0.0) / total if total else 1 / len(active) for a in active}
 

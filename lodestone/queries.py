@@ -168,7 +168,7 @@ def f9_f10_phrase_scores(s, d):
     return textindex.min_max(textindex.bm25(hits, docs, words=T.ascii_tokens), "score", "norm").select("id", _R6("norm"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in (*T.STOP_TERMS, *T.EXTENSIONS))
+_STOP = "'assets', 'asset', 'images', 'image', 'img', 'files', 'file', 'data', 'resource', 'resources', 'output', 'outputs', 'tmp', 'temp', 'test', 'psd', 'png', 'jpg', 'jpeg'"
 
 
 @query(rf"""WITH x AS (SELECT page_id, unnest(regexp_split_to_array(lower(url), '[^0-9a-z]+')) AS t FROM pages)
@@ -178,7 +178,7 @@ def f4_f5_path_terms(s, d):
     return _t(s, d, "pages").select(F.col("page_id").alias("id"), F.size(terms).cast("long").alias("n_terms"), F.array_min(terms).alias("first_term"))
 
 
-@query(r"SELECT item_id AS id, len(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda w: regexp_replace(w, '^[^0-9a-z]+|[^0-9a-z]+$', '', 'g')), lambda w: length(w) >= 2))) AS n FROM benchmark")
+@query(r"""SELECT item_id AS id, len(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda w: trim(w, ',.;:!?"''()[]{}')), lambda w: length(w) >= 2))) AS n FROM benchmark""")
 def q6_query_tokens(s, d):
     return _t(s, d, "benchmark").select(F.col("item_id").alias("id"), F.size(T.query_tokens(F.col("text"))).cast("long").alias("n"))
 
@@ -232,8 +232,8 @@ p AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, id) - 1 AS idx, count(*) O
 q AS (SELECT p.*, doc.*, l.quality, CASE WHEN vs IS NULL THEN NULL ELSE (vs - min(vs) OVER ()) / (max(vs) OVER () - min(vs) OVER ()) END AS nv, CASE WHEN ms IS NULL THEN NULL ELSE (ms - min(ms) OVER ()) / (max(ms) OVER () - min(ms) OVER ()) END AS nm, 1.0 - idx / (count(*) OVER () - 1) AS prior FROM p JOIN documents doc ON doc.doc_id = p.id LEFT JOIN labels l ON l.doc_id = p.id),
 z AS (SELECT id, rrf, idx, 0.62 * CASE WHEN nv IS NOT NULL AND nm IS NOT NULL THEN (0.3 * nv + 0.35 * nm) / 0.65 WHEN nv IS NOT NULL THEN nv WHEN nm IS NOT NULL THEN nm ELSE prior END + 0.23 * prior
  + 0.10 * (CASE WHEN text <> '' THEN 0.35 ELSE 0 END + CASE WHEN quality = 1 THEN 0.25 ELSE 0 END + CASE WHEN lang IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN quality IS NOT NULL THEN 0.1 ELSE 0 END)
- + 0.05 * (0.55 * (contains(lower(text), 'thand')::INT + contains(lower(text), 'zzz')::INT) / 2 + 0.25 * (lang = 'en')::INT + 0.2 * CASE WHEN ends_with(source, 'src3') THEN 1.0 WHEN contains(source, 'src3') THEN 0.8 WHEN contains(source, 'src1') THEN 0.8 ELSE 0 END) AS quality FROM q)
-SELECT id, round(quality, 6) AS quality, row_number() OVER (ORDER BY round(quality, 9) DESC, rrf DESC, idx) AS place FROM z""".replace("WHEN contains(source, 'src1') THEN 0.8", "WHEN ends_with(source, 'src1') THEN 1.0 WHEN contains(source, 'src1') THEN 0.8"))
+ + 0.05 * (0.55 * (contains(lower(text), 'thand')::INT + contains(lower(text), 'zzz')::INT) / 2 + 0.25 * (lang = 'en')::INT + 0.2 * CASE WHEN ends_with('top/' || source, 'p/src3') THEN 1.0 WHEN contains('top/' || source, 'p/src3') THEN 0.8 ELSE 0 END) AS quality FROM q)
+SELECT id, round(quality, 6) AS quality, row_number() OVER (ORDER BY round(quality, 9) DESC, rrf DESC, idx) AS place FROM z""")
 def r11_r19_quality_rerank(s, d):
     v, m = _lists(s, d)
     pool = fusion.fuse({"V": v, "M": m}).orderBy(F.desc("rrf"), "id").limit(80)
@@ -244,7 +244,7 @@ def r11_r19_quality_rerank(s, d):
     labels = _t(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("q"))
     pool = pool.join(docs, "id").join(labels, "id", "left")
     meta = fusion.completeness(P.present(F.col("text")), F.coalesce(F.col("q") == 1, F.lit(False)), F.col("lang").isNotNull(), F.col("q").isNotNull())
-    score = fusion.quality(fusion.blend({"nV": 0.30, "nM": 0.35}, F.col("prior")), F.col("prior"), meta, fusion.token_score(["thand", "zzz"], F.col("text")), (F.col("lang") == "en").cast("double"), fusion.path_score(["src3", "src1"], F.col("source")))
+    score = fusion.quality(fusion.blend({"nV": 0.30, "nM": 0.35}, F.col("prior")), F.col("prior"), meta, fusion.token_score(["thand", "zzz"], F.col("text")), fusion.filter_score({"image_type": "EN"}, {"image_type": F.col("lang")}), fusion.path_score("p/src3", F.lit(None).cast("string"), F.concat(F.lit("top/"), "source")))
     pool = pool.withColumn("quality", score)
     place = F.row_number().over(Window.orderBy(F.desc(F.round("quality", 9)), F.desc("rrf"), "idx"))
     return pool.select("id", F.round("quality", 6).alias("quality"), place.cast("long").alias("place"))
@@ -470,11 +470,12 @@ def a26_demand(s, d):
     return jobs.demand(claims, _now(s, d), 600)
 
 
-@query("SELECT doc_id AS id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS skip_caption, doc_id % 5 <> 0 AND doc_id IN (SELECT vec_id FROM embeddings) AS skip_vv FROM documents")
+@query("SELECT doc_id AS id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS skip_caption, doc_id % 5 <> 0 AND doc_id % 3 = 0 AND doc_id IN (SELECT vec_id FROM embeddings) AS skip_vv, doc_id % 5 <> 0 AND doc_id % 2 = 0 AS skip_mv FROM documents")
 def m19_skip_flags(s, d):
     x = _axes(s, d).select("id", F.concat_ws("/", "source", F.col("id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.lit("t0").alias("mtime"), "caption", "has_vv")
     found = x.select("id", "path", "size", F.when(F.col("id") % 5 == 0, "t1").otherwise(F.col("mtime")).alias("mtime"))
-    return jobs.skip_flags(found, x).select("id", "skip_caption", "skip_vv")
+    known = x.withColumn("has_structure", F.col("id") % 3 == 0).withColumn("has_mv", F.col("id") % 2 == 0).withColumn("caption_model", F.when(F.col("id") % 11 == 0, "old").otherwise("new"))
+    return jobs.skip_flags(found, known, {"caption": "new"}).select("id", "skip_caption", "skip_vv", "skip_mv")
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN greatest(s_acctbal, s_suppkey) >= 9000 THEN 'critical' WHEN greatest(s_acctbal, s_suppkey) >= 5000 THEN 'danger' WHEN greatest(s_acctbal, s_suppkey) >= 1000 THEN 'warning' ELSE 'normal' END AS level FROM supplier")

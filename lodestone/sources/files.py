@@ -6,13 +6,13 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 # The file types that are indexed, and folders that are passed over.
 EXTENSIONS = ("psd", "png", "jpg", "jpeg")
-SKIPPED = ("node_modules", "__pycache__", "venv", "dist", "build", "output", "cache")
+SKIPPED = (".git", "__pycache__", "node_modules", ".venv", "venv", ".idea", ".vs")
 HEAD = 8192
 
 
@@ -39,6 +39,14 @@ def discover(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTEN
     return raw.where(~hidden).select("path", F.element_at(parts, -1).alias("name"), F.array_join(folders, "/").alias("folder"), F.size(folders).alias("depth"), folders.alias("tags"), F.when(ext == "JPEG", "JPG").otherwise(ext).alias("format"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), content_hash(F.col("content"), F.col("length")).alias("hash"))
 
 
+def by_hash(files: DataFrame, each: int = 1000) -> DataFrame:
+    """hash, chunk, paths: the paths of each content hash in order, `each` of them in a row, so that no list is unbounded."""
+    spread = files.withColumn("chunk", F.pmod(F.xxhash64("path"), F.lit(64)))
+    n = Window.partitionBy("hash", "chunk").orderBy("path")
+    part = spread.withColumn("chunk", F.col("chunk") + 64 * F.floor((F.row_number().over(n) - 1) / each))
+    return part.groupBy("hash", "chunk").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
 def write_sidecars(df: DataFrame, path: str, key: str = "id") -> None:
     """One JSON object per line, dealt out by key so that equal file stems don't overwrite each other."""
     df.repartition(F.col(key)).write.mode("overwrite").json(path)

@@ -41,7 +41,13 @@ def test_vectors(spark):
 def test_text(spark):
     assert one(spark, T.clean_name(F.lit("Character_Body_01")), T.clean_name(F.lit("Layer 1 copy 2")), T.clean_name(F.lit(None).cast("string"))) == ("Character Body", "", "")
     assert one(spark, T.path_terms(F.lit("Assets/Hero_Run/v2/hero-01.PNG")), T.path_terms(F.lit(None).cast("string"))) == (["hero", "run"], [])
-    assert one(spark, T.content_type(F.lit(100.0), F.lit(90.0), 100, 100, F.lit(False)))[0] == "background"
+    box = lambda name, w, h, x, y, alpha=1.0: T.content_type(*map(F.lit, (name, 100, 100, w, h, x, y, alpha)))
+    assert one(spark, box("a", 100, 91, 0, 0), box("a", 100, 90, 0, 0), box("Face 2", 1, 1, 0, 0), box("a", 9, 9, 0, 0, 0.2), box("a", 20, 20, 40, 40), box("a", 20, 20, 0, 0), box("a", 20, 20, 0, 40)) == ("background", "character", "character", "effect", "object", "ui", "unknown")
+    names = {"Levels 3": "", "레이어 1 복사": "레이어 1", "12 hero_run-": "hero run", "x": "", "水": "水", "copyright": "copyright", "★": ""}
+    assert one(spark, *(T.clean_name(F.lit(n)) for n in names)) == tuple(names.values())
+    assert one(spark, T.semantic_tags(F.array(*map(F.lit, ["Group 1/hero_run", "hero run/Face 01"]))))[0] == "hero run Face"
+    assert tuple(one(spark, T.split_root(F.lit("/d/resources/assets/a.png")))[0]) == ("/d/resources", "assets/a.png")
+    assert tuple(one(spark, T.split_root(F.lit("/d/x/a.png")))[0]) == ("/d/x", "a.png")
 
 
 def test_words_of_any_script(spark):
