@@ -58,3 +58,19 @@ def present(col: Column) -> Column:
 
 def present_trimmed(col: Column) -> Column:
     return F.coalesce(F.trim(col) != "", F.lit(False))
+
+
+def starts_with(col: Column, prefix: str | None) -> Column:
+    """Case-sensitive."""
+    return F.lit(True) if not prefix else F.coalesce(F.startswith(col, F.lit(prefix)), F.lit(False))
+
+
+def same(col: Column, value: str | None) -> Column:
+    """Case-sensitive equality."""
+    return F.lit(True) if not value else F.coalesce(col == value, F.lit(False))
+
+
+def under(path: Column, root: str) -> Column:
+    """The folder root itself, or what lies below it."""
+    top = root.rstrip("/")
+    return F.coalesce((path == top) | F.startswith(path, F.lit(f"{top}/")), F.lit(False))

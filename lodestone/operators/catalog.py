@@ -64,11 +64,18 @@ def duplicate_groups(files: DataFrame, key: str) -> DataFrame:
     return files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids")).where("n > 1")
 
 
+def _one_per_key(patch: DataFrame, key: str) -> DataFrame:
+    rows = patch.groupBy(key).agg(F.max_by(F.struct("*"), F.to_json(F.struct("*"))).alias("_r"))
+    return rows.select("_r.*")
+
+
 def upsert(base: DataFrame, patch: DataFrame, key: str, replace: list[str]) -> DataFrame:
     """base with patch rows inserted, or on conflict the columns `replace` taken from patch, null or not.
 
-    Other columns of base stay; those that an inserted row lacks are null. One full outer join.
+    Other columns of base stay; those that an inserted row lacks are null. Of patch rows with one key one counts, the
+    last by all its columns as JSON. One full outer join.
     """
+    patch = _one_per_key(patch, key)
     p = patch.select(F.col(key).alias("_k"), F.lit(True).alias("_p"), *(F.col(c).alias(f"_{c}") for c in patch.columns if c != key))
     hit, new = F.col("_p").isNotNull(), F.col(key).isNull()
     out = [F.coalesce(key, "_k").alias(key)]
@@ -81,7 +88,7 @@ def upsert(base: DataFrame, patch: DataFrame, key: str, replace: list[str]) -> D
 
 def patch_fields(base: DataFrame, patch: DataFrame, key: str, allowed: list[str]) -> DataFrame:
     """base with the allowed columns of patch where patch has a value; unknown keys and other columns are ignored."""
-    columns = [c for c in allowed if c in patch.columns]
+    columns, patch = [c for c in allowed if c in patch.columns], _one_per_key(patch, key)
     p = patch.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in columns))
     return base.join(p, base[key] == F.col("_k"), "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else base[c] for c in base.columns))
 
@@ -102,6 +109,15 @@ def delete_cascade(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]
     return {name: t.join(gone.select("id"), "id", "left_anti") for name, t in tables.items()}
 
 
+def reset(**tables: DataFrame) -> DataFrame:
+    """name, n, removed: how many rows each table has after a reset, and had before; the empty tables are t.limit(0)."""
+    rows = [t.agg(F.count("*").alias("removed")).select(F.lit(name).alias("name"), F.lit(0).alias("n"), "removed") for name, t in tables.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """Adds stored_name: the second and further rows of a name get _1, _2 before the extension."""
     from pyspark.sql import Window

@@ -27,16 +27,20 @@ def fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k
     return ranks.groupBy("id").agg(F.sum(weight / (k + F.col("rank") + 1)).alias("rrf"), *own)
 
 
-def demote(results: DataFrame, terms: list[str], haystack: Column, neg_sim: str | None = None, limit: float = 0.45) -> DataFrame:
+def demote(results: DataFrame, terms: list[str], haystack: Column, neg_sim: str | None = None, limit: float = 0.45, few: bool = False) -> DataFrame:
     """Adds neg_score and demoted: a point for each term found, 0.6 for a negative similarity far above the others'.
 
-    Far above: over the mean by a population standard deviation, of three rows or more. Nothing is removed.
+    Far above: over the mean by a population standard deviation, of three rows or more. Nothing is removed. few: the
+    results are limited to their best rows, so one window over all of them is cheaper than a second pass.
     """
     low = F.lower(F.coalesce(haystack, F.lit("")))
     score = sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms), F.lit(0)).cast("double")
     if neg_sim:
-        stats = F.broadcast(results.agg(F.avg(neg_sim).alias("_m"), F.stddev_pop(neg_sim).alias("_s"), F.count(neg_sim).alias("_n")))  # one row
-        results = results.crossJoin(stats)
+        stats = {"_m": F.avg(neg_sim), "_s": F.stddev_pop(neg_sim), "_n": F.count(neg_sim)}
+        if few:
+            results = results.withColumns({k: v.over(Window.partitionBy()) for k, v in stats.items()})
+        else:
+            results = results.crossJoin(F.broadcast(results.agg(*(v.alias(k) for k, v in stats.items()))))  # one row
         score = score + F.when((F.col("_n") >= 3) & (F.col(neg_sim) > F.col("_m") + F.col("_s")), 0.6).otherwise(0.0)
     return results.withColumn("neg_score", score).withColumn("demoted", F.col("neg_score") > limit).drop("_m", "_s", "_n")
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fold, tokens
@@ -24,6 +25,34 @@ def lengths(docs: DataFrame, words: Callable[[Column], Column] = tokens) -> Data
     return docs.select("id", (F.size(words(F.col("strong"))) + F.size(words(F.col("weak")))).alias("dl"))
 
 
+def write_index(docs: DataFrame, path: str, version: int, words: Callable[[Column], Column] = tokens, buckets: int = 64) -> None:
+    """The index as tables: postings in order of token within a bucket of its hash, lengths, and one row of totals.
+
+    A query's tokens are then few buckets and row groups of the postings, and no text is read again.
+    """
+    post = postings(docs, words).withColumn("bucket", bucket_of(F.col("token"), buckets))
+    # a bucket's tokens may be many: it is written by several tasks, each in order
+    post.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    size = lengths(docs, words)
+    size.write.mode("overwrite").parquet(f"{path}/lengths")
+    saved = docs.sparkSession.read.parquet(f"{path}/lengths")
+    saved.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.lit(version).alias("version"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def bucket_of(token: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def read_index(spark: SparkSession, path: str, wanted: list[str], version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the postings of the wanted tokens, (id, dl)); refuses an index of another version."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    if version is not None and totals["version"] != version:
+        raise ValueError(f"index of version {totals['version']}, not {version}")
+    buckets = sorted({zlib.crc32(t.encode()) % totals["buckets"] for t in wanted})
+    post = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("token").isin(wanted))
+    return post.select("id", "part", "token", "pos"), spark.read.parquet(f"{path}/lengths")
+
+
 def keyword_tokens(keywords: list[str]) -> list[str]:
     return list(dict.fromkeys(t for k in keywords for t in re.split(r"[\W_]+", fold(k)) if t))
 
@@ -44,14 +73,15 @@ def phrase(index: DataFrame, words: str) -> DataFrame:
     return first.select("id", "part", F.lit(" ".join(parts)).alias("token"), "pos")
 
 
-def bm25(hits: DataFrame, docs: DataFrame, weights: dict[str, float] = WEIGHTS, words: Callable[[Column], Column] = tokens) -> DataFrame:
-    """(id, score): larger is better. hits: places of tokens or phrases; docs: all documents, for lengths and counts.
+def bm25(hits: DataFrame, docs: DataFrame | None, weights: dict[str, float] = WEIGHTS, words: Callable[[Column], Column] = tokens, size: DataFrame | None = None) -> DataFrame:
+    """(id, score): larger is better. hits: places of tokens or phrases; docs: all documents, for lengths and counts,
+    or size: these (id, dl) as an index has them.
 
     The index is aggregated once by document and token; the totals are one row.
     """
     weight = F.when(F.col("part") == "strong", weights["strong"]).otherwise(weights["weak"])
     tf = hits.groupBy("id", "token").agg(F.sum(weight).alias("tf"))
-    size = lengths(docs, words)
+    size = lengths(docs, words) if size is None else size
     totals = F.broadcast(size.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))  # one row
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -60,9 +90,13 @@ def bm25(hits: DataFrame, docs: DataFrame, weights: dict[str, float] = WEIGHTS,
     return rows.groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def min_max(df: DataFrame, col: str, name: str) -> DataFrame:
-    """col scaled to 0..1 over all rows; 1 where all are equal. The limits are one row."""
-    ends = F.broadcast(df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")))
+def min_max(df: DataFrame, col: str, name: str, few: bool = False) -> DataFrame:
+    """col scaled to 0..1 over all rows; 1 where all are equal. The limits are one row; of few rows, a window's."""
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(F.col(col).isNull(), None).when(span <= 1e-12, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(col) - F.col("_lo")) / span)))
-    return df.crossJoin(ends).withColumn(name, scaled).drop("_lo", "_hi")
+    ends = {"_lo": F.min(col), "_hi": F.max(col)}
+    if few:
+        df = df.withColumns({k: v.over(Window.partitionBy()) for k, v in ends.items()})
+    else:
+        df = df.crossJoin(F.broadcast(df.agg(*(v.alias(k) for k, v in ends.items()))))
+    return df.withColumn(name, scaled).drop("_lo", "_hi")

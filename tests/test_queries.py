@@ -1,6 +1,7 @@
 import pytest
 from oracle import connect, spark_rows, sql_rows
 
+from lodestone import queries_catalog  # noqa: F401
 from lodestone.queries import REGISTRY
 
 SF = "/root/testdata/sf0.01"
