@@ -9,6 +9,7 @@ import pytest
 from oracle import connect, spark_rows, sql_rows
 
 import corpus_pipeline
+from lodestone.llm import neardup
 from lodestone.llm import queries as Q
 from lodestone.llm.common import Texts, cut, join_hot
 from lodestone.llm.components import components
@@ -114,7 +115,7 @@ def test_neardup_five_words_by_brute_force(spark):
         assert {r.doc_id: r.component_id for r in near_duplicates(docs, family=family).collect()} == {i: find(i) for i in sets}
 
 
-def test_neardup_splits_families_exactly(spark):
+def test_neardup_splits_families_exactly(spark, monkeypatch):
     """Changed, cut and spliced copies of one passage, many of them too unlike the hub."""
     rng = np.random.default_rng(5)
     base, other, texts = [f"w{i}" for i in range(120)], [f"v{i}" for i in range(120)], []
@@ -140,6 +141,7 @@ def test_neardup_splits_families_exactly(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     want = {i: find(i) for i in range(len(texts))}
     assert 3 < len(set(want.values())) < 160
+    monkeypatch.setattr(neardup, "SEEKERS", 1)
     for family in (64, 4):
         assert {r.doc_id: r.component_id for r in near_duplicates(docs, family=family).collect()} == want
 
