@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.predicates import present
 from lodestone.functions.text import root_of
+from lodestone.operators.ranking import numbered
 
 
 def with_axes(files: DataFrame, **vectors: DataFrame) -> DataFrame:
@@ -120,8 +121,7 @@ def reset(**tables: DataFrame) -> DataFrame:
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """Adds stored_name: the second and further rows of a name get _1, _2 before the extension."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    n = F.col("_rn") - 1
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("stored_name", F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext)))
+    stored = F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))
+    return numbered(df, [name], [order], "_rn").withColumn("stored_name", stored).drop("_rn")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import fingerprint
+from lodestone.operators.ranking import numbered
 
 
 def nth(df: DataFrame, key: str, order: list) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    """df with the place (rn, from 1) of each row among those of its key; the key of empty files may have very many."""
+    return numbered(df, [key], order)
 
 
 def sync_plan(disk: DataFrame, catalog: DataFrame) -> DataFrame:

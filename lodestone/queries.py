@@ -15,7 +15,9 @@ from lodestone.functions import predicates as P
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import catalog, fusion, jobs, knn, reconcile, textindex
+from lodestone.operators.ranking import numbered
 from lodestone.plans.decompose import weights
+from lodestone.sources.shared import shared_path
 from lodestone.streaming import monitor
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
@@ -223,8 +225,9 @@ y AS (SELECT id, sim, contains(t, 'idiot')::INT + contains(t, 'clown')::INT + CA
 def r8_r10_negative_demotion(s, d):
     x = knn.scored(_vectors(s, d), _vector(s, d, 0), None).withColumn("neg", V.cosine(F.col("embedding"), F.lit(_vector(s, d, 5)))).join(_files(s, d).select("id", "text"), "id")
     y = fusion.demote(x, ["idiot", "clown"], F.col("text"), "neg")
-    place = F.row_number().over(Window.orderBy("demoted", F.when(F.col("demoted"), -F.col("neg_score")).otherwise(0.0), F.desc("similarity"), "id"))
-    return y.select("id", F.round("neg_score", 6).alias("neg_score"), "demoted", place.cast("long").alias("place"))
+    y = y.select("id", "similarity", "neg_score", "demoted", F.when(F.col("demoted"), -F.col("neg_score")).otherwise(0.0).alias("worst_first"))
+    placed = numbered(y, [], ["demoted", "worst_first", F.desc("similarity"), "id"], "place")
+    return placed.select("id", F.round("neg_score", 6).alias("neg_score"), "demoted", "place")
 
 
 @query(f"""WITH {_LISTS}, f AS (SELECT id, sum(1.0 / (61 + rank)) AS rrf, max(score) FILTER (axis = 'V') AS vs, max(score) FILTER (axis = 'M') AS ms FROM r GROUP BY id),
@@ -452,15 +455,10 @@ def m16_sliding_counts(s, d):
 @query(_SLIDE)
 def m16_stream_sliding_counts(s, d):
     """The same on a stream, run to the end of what there is."""
-    import tempfile
-    import uuid
-
     events = _t(s, d, "events")
     stream = s.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
-    name = f"live_{uuid.uuid4().hex[:8]}"
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     stream = stream.where("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = monitor.drain(monitor.live_throughput(stream), name, f"{base}/{name}")
+    out = monitor.drain(monitor.live_throughput(stream), shared_path(s, "live"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestone.functions import predicates as P
@@ -14,6 +11,7 @@ from lodestone.functions import vectors as V
 from lodestone.operators import audit, catalog, jobs, knn, search, textindex
 from lodestone.plans.decompose import Plan
 from lodestone.queries import _ANY_SCRIPT, _COS, _JOBS, _R6, _SCORE, _axes, _files, _jobs, _now, _t, _texts, _vector, _vectors, query
+from lodestone.sources.shared import shared_path
 
 # ------------------------------------------------------------------ search
 
@@ -98,17 +96,10 @@ def r22_hybrid_mode(s, d):
     return search.search("hybrid", _corpus(s, d), _queries(s, d), top_k=10, user_filters={"image_type": "fr"}, threshold=0.02).select("id", _R6("similarity"))
 
 
-def _index_dir(s):
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not s.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base or tempfile.mkdtemp(prefix='lodestone-')}/index-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {_ANY_SCRIPT}, hits AS (SELECT * FROM post WHERE token IN ('fur', 'src3', 'thand')), {_SCORE} SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
 def f6_stored_index(s, d):
     """Writes the index once; the search reads the wanted tokens' postings and the lengths, and no text."""
-    path = _index_dir(s)
+    path = shared_path(s, "index")
     textindex.write_index(_texts(s, d), path, version=2)
     post, size = textindex.read_index(s, path, ["fur", "src3", "thand"], version=2)
     return textindex.bm25(post, None, size=size).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))

@@ -23,8 +23,19 @@ def live_sessions(events: DataFrame, key: str = "user_id", gap: str = "3 minutes
     return g.select(key, F.col("session_window.start").alias("online"), F.col("session_window.end").alias("offline"), "beats")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and returns its result table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what there is and returns its result: in complete mode the last batch's, else that of all.
+
+    Batches are Parquet in a new folder that driver and executors share; a batch that is run again replaces its own.
+    """
+    done: dict[int, str] = {}
+
+    def keep(batch: DataFrame, i: int) -> None:
+        done[i] = f"{folder}/batch-{i}"
+        batch.write.mode("overwrite").parquet(done[i])
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    paths = [done[max(done)]] if done and mode == "complete" else list(done.values())
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)

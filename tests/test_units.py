@@ -112,6 +112,34 @@ def test_upsert_inserts_and_keeps(spark):
     assert sorted(map(tuple, catalog.upsert(base, new, "id", ["name"]).collect())) == [(1, "a", "u"), (2, None, "v"), (3, "c", None)]
 
 
+def test_numbers_of_large_keys(spark):
+    """Keys over the limit are numbered range by range as a window does; null is a key, clashing names stay."""
+    from pyspark.sql import Window
+
+    from lodestone.operators.ranking import numbered
+
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot' when id % 3 = 1 then null else cast(id % 40 as string) end as k", "hash(id) % 500 as v", "id")
+    order = [F.desc("v"), "id"]
+    for keys in (["k"], []):
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+        for most in (100, 10_000):
+            got = numbered(df, keys, order, most=most)
+            assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert numbered(df.limit(0), ["k"], order, most=1).count() == 0 and numbered(df.limit(0), [], order, most=1).count() == 0
+
+
+def test_streams_run_to_their_end(spark, tmp_path):
+    from lodestone.streaming import monitor
+
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:00:30")]
+    events = spark.createDataFrame(rows, "user_id long, t string").select("user_id", F.to_timestamp("t").alias("ts"))
+    events.write.parquet(str(tmp_path / "in"))
+    got = monitor.drain(monitor.live_sessions(monitor.read_events(spark, str(tmp_path / "in"), events.schema)), str(tmp_path / "out"))
+    assert sorted((r.user_id, r.online.minute, r.beats) for r in got.collect()) == [(1, 0, 2), (1, 10, 1), (2, 0, 1)]
+    (tmp_path / "none").mkdir()
+    assert monitor.drain(monitor.live_throughput(monitor.read_events(spark, str(tmp_path / "none"), events.schema)), str(tmp_path / "out2")).count() == 0
+
+
 def test_discover_sidecars_archive(spark, tmp_path):
     for name, data in (("a/x.png", b"1" * 10), ("a/y.JPEG", b"2" * 9000), (".hid/z.png", b"3"), ("a/n.txt", b"4")):
         (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
