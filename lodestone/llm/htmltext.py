@@ -2,12 +2,13 @@
 
 A wrapper is a union-free regular expression over tags: nested elements that are required, optional or repeated, with
 constant text or text slots. It is inferred by aligning a host's pages one after another: an element that only one
-side has becomes optional, neighbours with equal tags become a repeated group, unequal texts become a slot. Wrappers
-align with each other as pages do, so partitions infer their own and these are merged, first by host and salt, then
-by host. From a host's wrapper follows its content region: elements that mark it by their tag, role or name, or the
-element that holds most of the varying text. Pages are then read against their host's wrapper: of the region's text,
-what stands in the same required element on all pages of a host of SEVERAL or more is template and left out, whether
-the element is single or one of a repeated group.
+side has becomes optional, neighbours with equal tags, or runs of unlike ones that follow each other again, become a
+repeated group, unequal texts become a slot. Wrappers align with each other as pages do, so partitions infer their own
+and these are merged, first by host and salt, then by host. From a host's wrapper follows its content region: the
+elements that hold most of the text outside of links that varies from page to page; elements that a tag or name marks
+as content say how far the region reaches, unless the wrapper has most of that text elsewhere. Pages are then read
+against their host's wrapper: of the region's text, what stands in the same required element on all pages of a host of
+SEVERAL or more is template and left out, whether the element is single or one of a repeated group.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SALTS = 32
 DEPTH = 40
 #: Hosts that a task keeps wrappers of before it hands them on.
 HELD_HOSTS = 4096
+#: Unlike elements that a repeated group has at most.
+GROUP = 4
 #: Pages of a host from which on text that all have counts as its template's.
 SEVERAL = 3
 
@@ -48,32 +51,37 @@ CONTENT = ("article", "main", "content", "post", "entry", "story", "body")
 _WORDS = re.compile(r"[^0-9a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool]:
-    """(label, whether it is no content). The label is the tag, with class, id and role where it has them."""
+def _kind(tag: str, attributes: str, titled: bool = False) -> tuple[str, bool]:
+    """(label, whether it is no content). The label is the tag, with class, id and role where it has them.
+
+    titled: this is an article's own header, which holds its title.
+    """
     if not attributes or attributes.isspace():
-        return tag, tag in DROPPED
+        return tag, tag in DROPPED and not titled
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     # a name is about its ends: `comment-list` and `site-header`, but not `story-comments-policy`, is no content
     names = [[w.lower() for w in _WORDS.split(x) if w] for k in ("class", "id", "role") for x in found.get(k, "").split()]
     words = {w for x in names for w in x}
-    named = any(x and (x[0] in NOISE or x[-1] in NOISE) for x in names) or found.get("role", "").strip().lower() in ROLES
-    noise = tag in DROPPED or named and tag not in ("body", "html", "article", "main") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    named = any(x and (x[0] in NOISE or x[-1] in NOISE) for x in names) and not titled or found.get("role", "").strip().lower() in ROLES
+    noise = tag in DROPPED and not titled or named and tag not in ("body", "html", "article", "main") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     # numbers in names tell pages apart, not parts of a page
     return tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit()), noise
 
 
 def events(page: str) -> Iterator[tuple[str, str, bool]]:
-    """('open', label, noise), ('close', label, noise), ('text', decoded text, False), ('break', '', False).
+    """('open', label, noise), ('close', label, noise), ('text', decoded text, within a link), ('break', '', False).
 
     Tags that are missing at the end of an element are supplied, stray ends are passed over. Inline elements that
     aren't noise give no event but for br, which is white space.
     """
     stack: list[tuple[str, str, bool]] = []
-    at, n = 0, len(page)
+    at, n, links = 0, len(page), 0
 
     def pop(to: int) -> Iterator[tuple[str, str, bool]]:
+        nonlocal links
         while len(stack) > to:
-            _, label, noise = stack.pop()
+            tag, label, noise = stack.pop()
+            links -= tag == "a"
             if label:
                 yield "close", label, noise
 
@@ -88,10 +96,10 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            yield "text", html.unescape(page[at:]), False
+            yield "text", html.unescape(page[at:]), links > 0
             break
         if m.start() > at:
-            yield "text", html.unescape(page[at : m.start()]), False
+            yield "text", html.unescape(page[at : m.start()]), links > 0
         at = m.end()
         tag = (m[2] or m[6] or "").lower()
         if not tag or not (m[4] or m[7]):
@@ -105,7 +113,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             yield from pop(i)
         if tag in CLOSES and (i := top(CLOSES[tag], {"ul", "ol", "dl", "table", "select", "body"})) is not None:
             yield from pop(i)
-        label, noise = _kind(tag, m[3] or "")
+        label, noise = _kind(tag, m[3] or "", tag == "header" and any(x[0] == "article" for x in stack))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -117,16 +125,19 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
                 yield "break", "", False
         elif tag in INLINE and not noise:
             stack.append((tag, "", False))
+            links += tag == "a"
         else:
             yield "open", label, noise
             stack.append((tag, label, noise))
+            links += tag == "a"
     yield from pop(0)
 
 
 # ------------------------------------------------------------------ wrappers
 # A node is [label, modifier, children, text, weight]: modifier "" (required), "?", "+" or "*"; text: its own constant
-# text, "" for none, None for a slot; weight: characters seen in it that were slots or constants. Then digests of the
-# own texts that it has on all pages, pages (of the root), and whether pages differ in its own texts.
+# text, "" for none, None for a slot; weight: characters outside of links seen in it, slots or constants. Then digests
+# of the own texts that it has on all pages, pages (of the root), and whether pages differ in its own texts. A repeated
+# group of unlike elements is a node without text whose label is those of its members in brackets.
 
 
 def _digest(x: str) -> str:
@@ -135,6 +146,8 @@ def _digest(x: str) -> str:
 
 def _names(label: str) -> list[str]:
     """Those of CONTENT that mark an element of this label."""
+    if label.startswith("("):
+        return []
     tag, *words = label.split(".")
     return [x for x in CONTENT if tag == x and x in ("article", "main") or tag not in ("html", "body") and x in words]
 
@@ -144,9 +157,9 @@ def page_wrapper(page: str) -> list:
     root = ["", "", [], "", 0, [], 1, 0]
     path, deep, skip = [root], 0, 0
     below = 0  # elements passed over above the outermost named one below DEPTH
-    for what, x, noise in events(page):
+    for what, x, flag in events(page):
         if what == "open":
-            if skip or noise:
+            if skip or flag:
                 skip += 1
             elif len(path) == DEPTH + 1 and not below and _names(x):
                 below, deep = deep + 1, 0
@@ -169,7 +182,7 @@ def page_wrapper(page: str) -> list:
                 node[2], node[5] = fold(node[2]), [_digest(node[3])] if node[3] else []
         elif what == "text" and not skip and (own := " ".join(x.split())):
             path[-1][3] = f"{path[-1][3]} {own}".strip()
-            path[-1][4] += len(own)
+            path[-1][4] += 0 if flag else len(own)
     for node in reversed(path):
         node[2], node[5] = fold(node[2]), [_digest(node[3])] if node[3] else []
     return _short(root)
@@ -196,7 +209,7 @@ def merge(a: list, b: list, same: bool = False) -> list:
 
 
 def fold(nodes: list) -> list:
-    """Neighbours with one label become a repeated group."""
+    """Neighbours with one label become a repeated group, then runs of unlike elements that follow each other again."""
     out: list = []
     for x in nodes:
         if out and out[-1][0] == x[0]:
@@ -205,6 +218,37 @@ def fold(nodes: list) -> list:
             out[-1] = m
         else:
             out.append(x)
+    labels = [x[0] for x in out]
+    runs = {}
+    i = 0
+    while i < len(out):
+        k = next((k for k in range(2, GROUP + 1) if labels[i : i + k] == labels[i + k : i + 2 * k]), 0)
+        if k:
+            runs[f"({' '.join(labels[i : i + k])})"] = labels[i : i + k]
+            while labels[i : i + k] == labels[i + k : i + 2 * k]:
+                i += k
+        i += max(k, 1)
+    return gather(out, runs) if runs else out
+
+
+def gather(nodes: list, runs: dict[str, list[str]]) -> list:
+    """Puts the members of each of runs (label of a repeated group: labels of its members), where they follow each
+    other, into the group; neighbours that are the same group become one."""
+    out: list = []
+    i = 0
+    while i < len(nodes):
+        x, step = nodes[i], 1
+        for label, members in runs.items():
+            if [m[0] for m in nodes[i : i + len(members)]] == members:
+                x, step = [label, "+", nodes[i : i + len(members)], "", 0, [], 1, 0], len(members)
+                break
+        if x[0] in runs and out and out[-1][0] == x[0]:
+            # what only some pages have doesn't make a text one of all pages
+            whole = not any(m[1] in ("?", "*") for m in (out[-1], x, *out[-1][2], *x[2]))
+            out[-1] = merge(out[-1], x, whole)
+        else:
+            out.append(x)
+        i += step
     return out
 
 
@@ -213,10 +257,22 @@ def _optional(x: list) -> list:
 
 
 def align(a: list, b: list, same: bool = False) -> list:
-    """Aligns two sequences of elements by their longest common subsequence of labels; the rest is optional."""
+    """Aligns two sequences of elements by their longest common subsequence of labels; the rest is optional. What one
+    side has as a repeated group of unlike elements, the other has as one too, be it once."""
+    runs = {x[0]: [m[0] for m in x[2]] for x in a + b if x[0].startswith("(")}
+    if runs:
+        a, b = gather(a, runs), gather(b, runs)
     p, q = [x[0] for x in a], [x[0] for x in b]
     if p == q:
         return [merge(x, y, same) for x, y in zip(a, b, strict=True)]
+    # equal ends needn't be searched for
+    head = next(i for i in range(min(len(p), len(q)) + 1) if i in (len(p), len(q)) or p[i] != q[i])
+    if head:
+        return _folded([merge(x, y, same) for x, y in zip(a[:head], b[:head], strict=True)] + align(a[head:], b[head:], same), same)
+    tail = next(i for i in range(min(len(p), len(q)) + 1) if i in (len(p), len(q)) or p[-1 - i] != q[-1 - i])
+    if tail:
+        ends = [merge(x, y, same) for x, y in zip(a[-tail:], b[-tail:], strict=True)]
+        return _folded(align(a[:-tail], b[:-tail], same) + ends, same)
     best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
     for i in range(len(p) - 1, -1, -1):
         for j in range(len(q) - 1, -1, -1):
@@ -232,8 +288,13 @@ def align(a: list, b: list, same: bool = False) -> list:
         else:
             out.append(_optional(b[j]))
             j += 1
+    return _folded(out, same)
+
+
+def _folded(nodes: list, same: bool) -> list:
+    """Neighbours that alignment has put together become a repeated group."""
     folded: list = []
-    for x in out:
+    for x in nodes:
         if folded and folded[-1][0] == x[0]:
             optional = folded[-1][1] in ("?", "*") and x[1] in ("?", "*")
             m = merge(folded[-1], x, same)
@@ -248,31 +309,53 @@ def _weight(node: list) -> int:
     return (node[4] if node[3] is None else 0) + sum(map(_weight, node[2]))
 
 
+def _heavy(wrapper: list) -> list[list]:
+    """The path from the root to the smallest element with nine tenths of the varying text outside of links."""
+    path, total = [wrapper], _weight(wrapper)
+    while total:
+        child = max(path[-1][2], key=_weight, default=None)
+        if child is None or child[0].startswith("(") or child[0].split(".")[0] == "p" or _weight(child) * 10 < total * 9:
+            break
+        path.append(child)
+    return path
+
+
 def region(wrapper: list) -> list[str]:
-    """The labels of the elements that hold the content; of a host that has none, the path to where most slots are."""
-    found: dict[str, set[str]] = {}
+    """The labels of the elements that hold the content.
+
+    Where no element is named as content, or the named ones hold less than half of the varying text and none of them
+    lies about or within the smallest element that has nine tenths of it, that element holds the content, together
+    with the headings beside it and beside the elements about it that all pages have and that vary. Of several names,
+    the first of CONTENT counts whose elements hold half or more of what those of any other name do. A single page,
+    or copies of one, vary in nothing: there the first name counts.
+    """
+    found: dict[str, list[list]] = {}
 
     def walk(node: list, inside: set[str]) -> None:
         for name in _names(node[0]):
             if name not in inside:
-                found.setdefault(name, set()).add(node[0])
+                found.setdefault(name, []).append(node)
                 inside = inside | {name}
         for c in node[2]:
             walk(c, inside)
 
     walk(wrapper, set())
-    for name in CONTENT:
-        if name in found:
-            return sorted(found[name])
-    # down into the child that has nine tenths of the varying text
-    node, total = wrapper, _weight(wrapper)
-    last = ""
-    while total:
-        child = max(node[2], key=_weight, default=None)
-        if child is None or child[0].split(".")[0] == "p" or _weight(child) * 10 < total * 9:
-            break
-        node, last = child, child[0]
-    return [last] if last.split(".")[0] not in ("", "html", "body") else []
+    path, total = _heavy(wrapper), _weight(wrapper)
+    heavy = path[-1]
+    apart = heavy[0].split(".")[0] not in ("", "html", "body")
+    if found:
+        held = {name: sum(map(_weight, nodes)) for name, nodes in found.items()}
+        best = next(x for x in CONTENT if x in held and 2 * held[x] >= max(held.values()))
+        if not apart or 2 * held[best] >= total or _named(heavy):
+            return sorted({x[0] for x in found[best]})
+    if not apart:
+        return []
+    titles = {c[0] for node in path[:-1] for c in node[2] if c[0].split(".")[0] in ("h1", "h2") and c[3] is None and c[1] not in ("?", "*")}
+    return sorted(titles | {heavy[0]})
+
+
+def _named(node: list) -> bool:
+    return bool(_names(node[0])) or any(map(_named, node[2]))
 
 
 def template(wrapper: list, labels: list[str]) -> list[str]:
@@ -289,7 +372,7 @@ def template(wrapper: list, labels: list[str]) -> list[str]:
         if not optional:
             out.update(_digest(path + t) for t in node[5])
             for c in node[2]:
-                walk(c, f"{path}{c[0]}/", inside)
+                walk(c, path if c[0].startswith("(") else f"{path}{c[0]}/", inside)
 
     walk(wrapper, "/", not labels)
     return sorted(out) if differ and wrapper[6] >= SEVERAL else []

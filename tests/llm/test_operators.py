@@ -15,7 +15,7 @@ from lodestone.llm.common import Texts, cut, join_hot
 from lodestone.llm.components import components
 from lodestone.llm.decontaminate import clean_documents, contaminated
 from lodestone.llm.exactdup import exact_groups, golomb_decode, golomb_encode, rice_parameter
-from lodestone.llm.htmltext import extract_pages, main_text, page_wrapper, region
+from lodestone.llm.htmltext import extract_pages, main_text, merge, page_wrapper, region
 from lodestone.llm.linedup import drop_repeated_lines
 from lodestone.llm.lmscore import score_texts
 from lodestone.llm.mixing import mixed_documents, mixed_sizes
@@ -289,6 +289,7 @@ def test_html_text(spark):
         "<article><div class='search results'>a</div><div class='story-comments-policy'><p>b</p></div><div class='comment-list'>c</div><div role=search>d</div></article>": "a\nb",
         "<div>" * 60 + "<article><p>deep</p></article></div><p>around": "deep",
         "<article>" + "x y " * 300_000 + "</article><p>z": " ".join(["x y"] * 300_000),
+        "<header>site</header><article><header class='entry-header'><h1>T</h1><nav>n</nav></header><p>a</p><footer>f</footer></article>": "T\na",
         "": "",
     }
     for page, text in cases.items():
@@ -308,6 +309,32 @@ def test_html_template_text_without_names(spark):
     assert got[1] == "T1\na1\nb1" and got[13] == "x3\ny3" and got[20] == "one\ntwo" and got[31] == "same\n1"
 
 
+def test_html_wrapper_decides_region(spark):
+    """Names that say nothing or mislead: the text that varies over the host's pages decides; names alone would not."""
+    plain = "<body><div class=k1><a href=/>Home</a><a href=/{0}>More of {0} and of others</a></div><h1>T{0}</h1><div class=k2><p>{1}</p><p>b{0}</p></div><div class=k3>All rights</div></body>"
+    lead = "<body><div class=k1><div class=post><a href=/{0}>Next: number {0} of them all</a></div></div><h1>T{0}</h1><div class=k2><p>{1}</p><p>b{0}</p></div></body>"
+    body = [f"A long text about the matter {i}. " * 9 for i in range(5)]
+    rows = [(k * 10 + i, f"http://{h}/{i}", p.format(i, body[i])) for k, (h, p) in enumerate({"p": plain, "l": lead}.items()) for i in range(5)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[10 * k + i] == f"T{i}\n{body[i].strip()}\nb{i}" for k in range(2) for i in range(5))
+    alone = {i: main_text(p, frozenset(region(page_wrapper(p)))) for i, _, p in rows}
+    assert all(alone[i] != got[i] for i in got)
+
+
+def test_html_repeated_groups():
+    """Runs of unlike elements are one group, in a page and between pages, however often they follow each other."""
+    section = "<h3>q{0}{1}</h3><p>a{0}{1}</p><div>Was it of help?</div>"
+    pages = ["<main><h1>T</h1>" + "".join(section.format(i, j) for j in range(i)) + "<ul><li>x</ul></main>" for i in (1, 2, 5, 1)]
+    one = page_wrapper(pages[2])
+    assert [x[:2] for x in one[2][0][2]] == [["h1", ""], ["(h3 p div)", "+"], ["ul", ""]]
+    for order in ((0, 1, 2, 3), (2, 0, 3, 1), (0, 3, 2, 1)):
+        host = page_wrapper(pages[order[0]])
+        for i in order[1:]:
+            host = merge(host, page_wrapper(pages[i]))
+        assert [x[:2] for x in host[2][0][2]] == [["h1", ""], ["(h3 p div)", "+"], ["ul", ""]]
+        assert [m[1] for m in host[2][0][2][1][2]] == ["", "", ""] and [m[3] for m in host[2][0][2][1][2]] == [None, None, "Was it of help?"]
+
+
 def test_urls(spark):
     urls = {1: None, 2: "no host", 3: "HTTP://A.Example.COM/en/7/x?q", 4: "http://de.net/de/", 5: "http://net/de/1", 6: "x://com/en/#k", 7: "http://xcom/en/"}
     df = spark.createDataFrame([(*kv, "r") for kv in urls.items()], "page_id long, url string, rule string")
