@@ -1,4 +1,4 @@
-"""The queries op1 to op10, one for each operator, over whole tables; and SQL for those that SQL can express."""
+"""The queries op1 to op13, one for each operator, over whole tables; and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.alignment import align
 from lodestone.llm.common import table
 from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.exactdup import exact_groups
@@ -14,9 +15,11 @@ from lodestone.llm.linedup import drop_repeated_lines
 from lodestone.llm.lmscore import score_texts
 from lodestone.llm.mixing import mixed_sizes
 from lodestone.llm.neardup import near_duplicates
+from lodestone.llm.packing import pack
 from lodestone.llm.quality import quality_scores
 from lodestone.llm.urlfilter import judge_urls
 from lodestone.llm.warc import archive_roundtrip
+from lodestone.llm.whitening import whitened
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +61,28 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
 
 
+def _model(name: str) -> bytes:
+    """A public tokenizer's file (a few MB), read where the query is built."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), _model("byte_bpe_50k.json").decode(), _model("piece_bpe_32k.model"))
+
+
+def op13_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), _model("byte_bpe_50k.json").decode())
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_neardup, op2_warc, op3_html_extraction, op4_exact_dedup, op5_mixing, op6_quality_classifier, op7_decontamination, op8_line_dedup, op9_lm_scoring, op10_url_filter)
+    ops = (op1_minhash_neardup, op2_warc, op3_html_extraction, op4_exact_dedup, op5_mixing, op6_quality_classifier, op7_decontamination, op8_line_dedup, op9_lm_scoring, op10_url_filter, op11_embedding_whitening, op12_tokenizer_alignment, op13_bestfit_packing)
     return {f.__name__: f for f in ops}
 
 
