@@ -3,8 +3,8 @@
 Both models are variable-order Markov models over 64 symbols: the probability of a character given the two before it
 is smoothed with that given one, and that with that given none, by how often the context was seen. One learns from
 URLs that a rule allows, one from those that a rule blocks. A URL's score is the mean over its characters of the
-log ratio; the threshold is calibrated on the same URLs. All is DataFrame operations: the log ratios are a table of
-64**3 rows (whatever the data), which every task gets to score its URLs' trigrams.
+log ratio; the threshold is calibrated on the same URLs. All is DataFrame operations: the log ratios are 64**3 numbers
+(whatever the data) in one array, in which every task looks up its URLs' trigrams.
 """
 
 from __future__ import annotations
@@ -49,11 +49,11 @@ def _codes(text: Column) -> Column:
     return F.concat(F.array(F.lit(0), F.lit(0)), F.transform(letters, lambda c: F.instr(F.lit(_KNOWN), c) + 1))
 
 
-def trigrams(text: Column) -> Column:
-    """The number of each character's trigram; of empty text, none."""
-    codes = _codes(text)
-    at = lambda c, i: F.get(c, i)
-    return F.transform(F.filter(F.sequence(F.lit(2), F.size(codes)), lambda i: i < F.size(codes)), lambda i: (at(codes, i - 2) * SYMBOLS + at(codes, i - 1)) * SYMBOLS + at(codes, i))
+def trigrams(codes: Column) -> Column:
+    """The number of each trigram of an array of symbols, in order; codes should be a stored column, not an expression."""
+    n = F.greatest(F.lit(0), F.size(codes) - 2)
+    first, second, third = (F.slice(codes, F.lit(i + 1), n) for i in range(3))
+    return F.zip_with(F.zip_with(first, second, lambda x, y: x * SYMBOLS + y), third, lambda x, y: x * SYMBOLS + y)
 
 
 def log_ratios(grams: DataFrame, kappa: float = KAPPA) -> DataFrame:
@@ -80,21 +80,22 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, kappa
     gives the verdict. Other URLs are blocked if their score is below the threshold, which lies between the means of
     the allowed and the blocked URLs, as many standard deviations from one as from the other. A URL without host and
     path has score 0 and is allowed, as are all where either kind of URL to learn from is missing. Null urls are as
-    said, repeated rows get a row each, other columns are ignored, an empty table gives no rows.
+    said, repeated rows get a row each, other columns are ignored, an empty table gives no rows. A score at the threshold
+    (a tie) allows. Time and memory grow with a URL's length, which has no limit.
     """
     host, path = split_url(F.col("url"))
-    # the checkpoint keeps the two readers below on one computation
-    rows = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("hit", _rule(rules)))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    grams = rows.select("row", F.col("hit.verdict").alias("known"), F.explode(trigrams(F.concat("host", "path"))).alias("gram"))
-    learnt = grams.where("known is not null").select((F.col("known") == "allow").alias("allowed"), "gram")
-    # SYMBOLS**3 rows, whatever the data: safe to broadcast
-    ratios = F.broadcast(cut(log_ratios(learnt, kappa)))
-    scores = cut(grams.join(ratios, "gram").groupBy("row", "known").agg(F.avg("ratio").alias("score")))
-    good, bad = F.when(F.col("known") == "allow", F.col("score")), F.when(F.col("known") == "block", F.col("score"))
+    whole = F.concat(host, path)
+    # the checkpoint keeps the readers below on one computation, and the symbols from being cut for each trigram anew
+    rows = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), _codes(whole).alias("codes")).withColumn("hit", _rule(rules)))
+    grams = rows.where("hit is not null").select((F.col("hit.verdict") == "allow").alias("allowed"), F.explode(trigrams(F.col("codes"))).alias("gram"))
+    # SYMBOLS**3 numbers, whatever the data: one array that every task looks up
+    table = log_ratios(grams, kappa).agg(F.array_sort(F.collect_list(F.struct("gram", "ratio"))).alias("r")).select(F.col("r.ratio").alias("r")).scalar()
+    total = F.aggregate(trigrams(F.col("codes")), F.lit(0.0), lambda s, g: s + F.get("table", g))
+    score = F.when(F.size("codes") > 2, total / (F.size("codes") - 2))
+    scores = cut(rows.withColumn("table", table).select("page_id", "host", "path", "hit", score.alias("score")))
+    good, bad = F.when(F.col("hit.verdict") == "allow", F.col("score")), F.when(F.col("hit.verdict") == "block", F.col("score"))
     stats = scores.agg(F.avg(good).alias("mg"), F.avg(bad).alias("mb"), F.stddev_pop(good).alias("sg"), F.stddev_pop(bad).alias("sb"))
     threshold = F.when(F.col("sg") + F.col("sb") > 0, (F.col("mb") * F.col("sg") + F.col("mg") * F.col("sb")) / (F.col("sg") + F.col("sb"))).otherwise((F.col("mg") + F.col("mb")) / 2)
     limit = stats.select(threshold.alias("threshold")).scalar()
-    scored = rows.join(scores.drop("known"), "row", "left")
     model = F.when(F.col("score") < limit, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", model).alias("verdict"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return scores.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", model).alias("verdict"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -344,6 +344,42 @@ def test_urls(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_model_by_brute_force(spark):
+    """Scores, threshold and verdicts of a model computed one URL at a time; long URLs and repeated rows too."""
+    urls = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    urls += [None, "", urls[0], "http://new.org/" + "ab/c" * 25_000, "http://é.com/Ünï", "http://net/de/" + "z" * 3000]
+    known = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&%#:~+,;@!$'()*[]"
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    counts, total = {True: Counter(), False: Counter()}, {}
+    code = {r.page_id: [0, 0, *((known.find(c) + 1) + 1 for c in (r.host + r.path).translate(str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})))] for r in got}
+    code = {i: c[:2] + [x if x > 1 else 1 for x in c[2:]] for i, c in code.items()}
+    for r in got:
+        if r.rule:
+            counts[r.verdict == "allow"].update(zip(code[r.page_id], code[r.page_id][1:], code[r.page_id][2:], strict=False))
+    by = {}
+    for k, grams in counts.items():
+        for (a, b, c), n in grams.items():
+            for key in ((k, "c", c), (k, "bc", b, c), (k, "b", b), (k, "ab", a, b), (k,)):
+                by[key] = by.get(key, 0) + n
+
+    def p(k, a, b, c):
+        p0 = (by.get((k, "c", c), 0) + 1) / (by.get((k,), 0) + 64)
+        p1 = (by.get((k, "bc", b, c), 0) + 4 * p0) / (by.get((k, "b", b), 0) + 4)
+        return (counts[k][a, b, c] + 4 * p1) / (by.get((k, "ab", a, b), 0) + 4)
+
+    for i, c in code.items():
+        grams = Counter(zip(c, c[1:], c[2:], strict=False))
+        total[i] = sum(n * math.log(p(True, *g) / p(False, *g)) for g, n in grams.items()) / max(1, len(c) - 2)
+    good, bad = ([total[r.page_id] for r in got if r.rule and r.verdict == v] for v in ("allow", "block"))
+    (mg, sg), (mb, sb) = ((np.mean(x), np.std(x)) for x in (good, bad))
+    limit = (mb * sg + mg * sb) / (sg + sb)
+    assert len(got) == len(urls) and {r.verdict for r in got if not r.rule} == {"allow", "block"}
+    for r in got:
+        assert abs(r.score - total[r.page_id]) < 1e-9
+        if not r.rule and r.host + r.path:
+            assert r.verdict == ("block" if total[r.page_id] < limit else "allow")
+
+
 def test_warc_round_trip(spark):
     df = spark.createDataFrame([(1, "a\r\nb", "x" * 120, "d"), (2, None, "x" * 120, "d"), (3, "c", None, "d"), (None, "c", "x" * 120, "d"), (4, "c", "é", "d"), (4, "c", "é", "d")], "page_id long, url string, html string, payload_digest string")
     rows = archive_roundtrip(df).collect()
