@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import join_hot, shared_path, small
-from lodestone.llm.subwords import Ragged, Words, byte_bpe, ragged, runs, texts_of
+from lodestone.llm.common import Texts, join_hot, shared_path, small
+from lodestone.llm.subwords import Ragged, Words, byte_bpe, byte_bpe_ids, encode_words, runs, texts_of
 
 #: A pair of ids is one number: A's id times this, plus B's.
 WIDTH = 1 << 16
@@ -58,8 +58,8 @@ class Sides:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A's ids, how many each word has, B's ids, how many); words begin with a space, which B adds itself."""
-        a = ragged([e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)], np.int64)
-        b = ragged(self.b.encode([w[1:] for w in words], num_threads=1), np.int64)
+        a = encode_words(words, lambda t: byte_bpe_ids(self.a, t), np.diff(self.a_bytes.bounds))
+        b = encode_words(words, lambda t: self.b.encode([w[1:] for w in t], num_threads=1), np.diff(self.b_bytes.bounds))
         return *a, *b
 
 
@@ -139,7 +139,7 @@ class Aligned:
 
     def __init__(self, sides: Sides):
         self.sides = sides
-        self.words = Words(self.learn, self.forget)
+        self.words = Words(self.learn, self.forget, first_space=True)
         self.forget()
 
     def forget(self) -> None:
@@ -172,21 +172,20 @@ class Aligned:
         total = np.bincount(owner, links, len(new)).astype(np.int64)
         self.facts = np.concatenate([self.facts, np.stack([same, np.where(same, na, 0), np.where(same, nb, 0), np.diff(first), total])], axis=1)
 
-    def spells(self, text: str) -> bool:
-        """Whether both sides' tokens of the whole text join to its bytes, though a word's don't."""
-        a, _, b, _ = self.sides.encode([text])
-        return self.sides.a_bytes.take(a).tobytes() == text.encode() == self.sides.b_bytes.take(b).tobytes()
-
-    def documents(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    def documents(self, texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
         """(tokens of A, of B, groups, links; pairs of each; pairs; times of each; SHA-256 of the groups)."""
-        number, n_words = self.words.numbers([f" {t}" if t else "" for t in texts])
-        doc = np.repeat(np.arange(len(texts)), n_words)
-        bad = np.bincount(doc, 1 - self.facts[0, number], len(texts)) > 0
+        number, n_words = self.words.numbers(texts)
+        doc = np.repeat(np.arange(texts.n), n_words)
+        bad = np.bincount(doc, 1 - self.facts[0, number], texts.n) > 0
         for i in np.flatnonzero(bad):
-            if self.spells(f" {texts[i]}"):
-                raise ValueError("a text whose words aren't spelt, but which is")
+            # what words don't spell alone might be spelt together: the whole text as one word
+            whole = self.words.store(texts.buf, texts.starts[i : i + 1], texts.ends[i : i + 1], np.zeros(1, bool))
+            if self.facts[0, whole[0]]:
+                bad[i], number, doc = False, np.append(number[doc != i], whole), np.append(doc[doc != i], i)
+        order = np.argsort(doc, kind="stable")
+        number, doc = number[order], doc[order]
         number, doc = number[~bad[doc]], doc[~bad[doc]]
-        sums = [np.bincount(doc, self.facts[k, number], len(texts)).astype(np.int64) for k in (1, 2, 3, 4)]
+        sums = [np.bincount(doc, self.facts[k, number], texts.n).astype(np.int64) for k in (1, 2, 3, 4)]
         # each distinct word of a document once, so that its pairs are taken once
         key, many = np.unique(doc * max(1, self.facts.shape[1]) + number, return_counts=True)
         doc_1, number_1 = key // max(1, self.facts.shape[1]), key % max(1, self.facts.shape[1])
@@ -195,8 +194,8 @@ class Aligned:
         times = self.times.take(number_1) * np.repeat(many, size)
         key, place = np.unique(who * WIDTH * WIDTH + pair, return_inverse=True)
         times = np.bincount(place, times, len(key)).astype(np.int64)
-        n_pairs = np.bincount(key // (WIDTH * WIDTH), minlength=len(texts))
-        text, at = self.text.take(number).tobytes(), np.append(0, np.cumsum(np.bincount(doc, self.text.sizes(number), len(texts)).astype(np.int64)))
+        n_pairs = np.bincount(key // (WIDTH * WIDTH), minlength=texts.n)
+        text, at = self.text.take(number).tobytes(), np.append(0, np.cumsum(np.bincount(doc, self.text.sizes(number), texts.n).astype(np.int64)))
         digests = [hashlib.sha256(text[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return sums, n_pairs, key % (WIDTH * WIDTH), times, digests
 
@@ -215,11 +214,11 @@ def aligned_documents(docs: DataFrame, a_model: str, b_model: bytes) -> DataFram
             for part, texts in texts_of(batch, "text"):
                 sums, n_pairs, pair, times, digests = aligned.documents(texts)
                 parts = np.maximum(1, -(-n_pairs // LISTED))
-                doc, nth = np.repeat(np.arange(len(texts)), parts), runs(np.zeros(len(texts), np.int64), parts)
+                doc, nth = np.repeat(np.arange(texts.n), parts), runs(np.zeros(texts.n, np.int64), parts)
                 bounds = pa.array(np.append(0, np.cumsum(np.minimum(n_pairs[doc] - nth * LISTED, LISTED))).astype(np.int32))
                 columns = [pa.array(row + doc), pa.array(nth.astype(np.int32)), *(c.take(pa.array(doc)) for c in (part.column(0), *map(pa.array, sums), pa.array(digests)))]
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(pair)), pa.ListArray.from_arrays(bounds, pa.array(times))]
-                row += len(texts)
+                row += texts.n
                 yield pa.RecordBatch.from_arrays(columns + lists, ["row", "part", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

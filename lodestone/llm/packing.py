@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import shared_path, small
-from lodestone.llm.subwords import Ragged, Words, byte_bpe, ragged, runs, texts_of
+from lodestone.llm.subwords import Ragged, Words, byte_bpe, byte_bpe_ids, byte_bpe_sizes, encode_words, runs, texts_of
 
 CAPACITY = 1024
 #: The id after each document.
@@ -151,12 +151,13 @@ def cut_documents(docs: DataFrame, model: str, caps: Capacities = Capacities(),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, stored = byte_bpe(shared.value), Ragged(np.uint32)
+        sizes = byte_bpe_sizes(tokenizer)
         part, had = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
 
         def learn(new: list[str]) -> None:
-            stored.extend(*ragged([e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)], np.uint32))
+            stored.extend(*encode_words(new, lambda t: byte_bpe_ids(tokenizer, t), sizes))
 
-        words = Words(learn, lambda: stored.__init__(np.uint32))
+        words = Words(learn, lambda: stored.__init__(np.uint32), first_space=False)
         for batch in batches:
             for docs_part, texts in texts_of(batch, "text"):
                 number, n_words = words.numbers(texts)

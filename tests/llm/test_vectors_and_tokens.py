@@ -26,7 +26,7 @@ def models():
 
 def exact_whitening(rows):
     """(n, sums, covariance as whole numbers over n * n, [(vec_id, x)]) in Python's whole numbers."""
-    ok = [(i, [int(np.floor(256 * float(c))) for c in v]) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
+    ok = [(i, [max(-(1 << 63), min((1 << 63) - 1, int(np.floor(256 * float(c))))) for c in v]) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
     fit_list = sorted({tuple(x) for _, x in ok})
     n, d = len(fit_list), len(fit_list[0])
     s = [sum(x[j] for x in fit_list) for j in range(d)]
@@ -64,7 +64,7 @@ def test_whitening_by_brute_force(spark):
 def test_whitening_of_large_numbers(spark):
     """Products of over 64 bits stay exact; a deviation beyond 64 bits is null."""
     rng = np.random.default_rng(1)
-    rows = [(i, [float(v) for v in rng.normal(size=5) * [1e17, 1e16, 1e3, 1, 1e-3]]) for i in range(300)]
+    rows = [(i, [float(v) for v in rng.normal(size=5) * [3e16, 1e16, 3e15, 1e15, 3e14]]) for i in range(300)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     n, s, cov, _ = exact_whitening(rows)
     found = fit(table)
@@ -218,3 +218,34 @@ def test_packing_under_all_capacities(spark, models):
     for r in pack(docs, models[0], caps).collect():
         by.setdefault(r.sequence_id, []).append(r.length)
     assert all(sum(p) <= 256 and len(p) <= 3 and sum(n * n for n in p) <= 40_000 for p in by.values())
+
+
+def test_words_that_share_a_hash(models, monkeypatch):
+    """Every word is told from others by its bytes, whatever its hash."""
+    import pyarrow as pa
+
+    from lodestone.llm import subwords
+    from lodestone.llm.common import Texts
+
+    monkeypatch.setattr(subwords, "word_hashes", lambda b, i, j: (j - i).astype(np.uint64) % np.uint64(3))
+    told, texts = [], Texts(pa.array(["one two six ten one", None, "", " two  six", "ten"]))
+    words = subwords.Words(told.extend, told.clear, first_space=False)
+    for _ in range(2):
+        number, count = words.numbers(texts)
+        assert [told[k] for k in number] == ["one", " two", " six", " ten", " one", " two  six", "ten"] and count.tolist() == [5, 0, 0, 1, 1]
+
+
+def test_words_join_to_the_ids_of_the_text(models):
+    import pyarrow as pa
+
+    from lodestone.llm.common import Texts
+    from lodestone.llm.subwords import Ragged, Words, byte_bpe_ids, byte_bpe_sizes, encode_words
+
+    tokenizer, rng, stored = byte_bpe(models[0]), random.Random(7), Ragged(np.int64)
+    letters = "ab  c\n\té水か가🙂'sS12.,“”—\x1c\x85\xa0     　​ é"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    words = Words(lambda new: stored.extend(*encode_words(new, lambda t: byte_bpe_ids(tokenizer, t), byte_bpe_sizes(tokenizer))), lambda: None, first_space=False)
+    number, count = words.numbers(Texts(pa.array(texts)))
+    ends = np.cumsum(count)
+    for i, ids in enumerate(byte_bpe_ids(tokenizer, texts)):
+        assert stored.take(number[ends[i] - count[i] : ends[i]]).tolist() == ids
