@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import predicates as P
 from lodestone.functions.vectors import cosine
-from lodestone.operators import fusion, knn, textindex
-from lodestone.plans.decompose import Plan, weights
+from lodestone.operators import fusion, knn, segments, textindex
+from lodestone.plans.decompose import Plan, query_tokens, weights
+from lodestone.sources.shared import cut
 
 MULTIPLIER = 5
 AXES = ("V", "S", "X", "M")
@@ -28,11 +29,12 @@ BEST_RRF = 0.01639
 
 @dataclass
 class Corpus:
-    """files: id and the columns that filters and reranking know; vectors: axis to (id, embedding); text: (id, strong, weak)."""
+    """files: id and the columns that filters and reranking know; vectors: axis to (id, embedding); text: an index of words
+    (segments.Index), or the texts themselves (id, strong, weak), which each search then reads."""
 
     files: DataFrame
     vectors: dict[str, DataFrame] = field(default_factory=dict)
-    text: DataFrame | None = None
+    text: segments.Index | textindex.Texts | DataFrame | None = None
 
 
 def _column(files: DataFrame, name: str) -> Column:
@@ -68,14 +70,22 @@ def candidates(corpus: Corpus, queries: dict[str, list[float]], plan: Plan, top_
     n, least = top_k * MULTIPLIER, thresholds or {}
     lists = {a: knn.nearest(corpus.vectors[a], q, n, least.get(a, 0.0)).select("id", F.col("similarity").alias("score")) for a, q in queries.items()}
     if corpus.text is not None and plan.keywords:
-        hits = textindex.matching(textindex.postings(corpus.text), plan.keywords, plan.excluded)
-        best = textindex.bm25(hits, corpus.text).orderBy(F.desc("score"), "id").limit(n)
+        hits = textindex.matching(corpus.text, plan.keywords, plan.excluded)
+        best = textindex.bm25(corpus.text, hits).orderBy(F.desc("score"), "id").limit(n)
         lists["M"] = textindex.min_max(best, "score", "scaled", few=True).select("id", F.col("scaled").alias("score"))
     return lists
 
 
 def merged(lists: dict[str, DataFrame], plan: Plan) -> tuple[DataFrame, dict[str, float] | None]:
-    """(id, rrf, V_score ... M_score), and the weights. One axis alone isn't fused: rrf is null, its score orders."""
+    """(id, rrf, V_score ... M_score), and the weights, of the axes that have rows.
+
+    One such axis alone isn't fused: rrf is null, its score orders. The lists, some rows each, are computed once.
+    """
+    if not lists:
+        raise ValueError("no axis is asked for")
+    held = cut(reduce(DataFrame.unionByName, [rows.select(F.lit(a).alias("axis"), "id", "score") for a, rows in lists.items()]))
+    found = {r["axis"] for r in held.select("axis").distinct().collect()}
+    lists = {a: held.where(F.col("axis") == a).select("id", "score") for a in lists if a in found} or {next(iter(lists)): held.select("id", "score")}
     if len(lists) == 1:
         ((axis, rows),) = lists.items()
         out, used = rows.select("id", F.lit(None).cast("double").alias("rrf"), F.col("score").alias(f"{axis}_score")), None
@@ -96,9 +106,8 @@ def enrich(pool: DataFrame, corpus: Corpus, queries: dict[str, list[float]], key
         own = knn.similarity_of(corpus.vectors[a], q, ids).withColumnRenamed("similarity", "_s")
         pool = pool.join(own, "id", "left").withColumn(f"{a}_score", F.coalesce(f"{a}_score", "_s")).drop("_s")
     if corpus.text is not None and keywords:
-        index = textindex.postings(corpus.text)
-        hits = reduce(DataFrame.unionByName, [textindex.phrase(index, k) for k in keywords])
-        own = textindex.bm25(hits, corpus.text, {"strong": 1.0, "weak": 1.0}).join(ids, "id", "left_semi")
+        hits = reduce(DataFrame.unionByName, [textindex.phrase(corpus.text, k) for k in keywords])
+        own = textindex.bm25(corpus.text, hits, {"strong": 1.0, "weak": 1.0}).join(ids, "id", "left_semi")
         own = textindex.min_max(own, "score", "_s", few=True).select("id", "_s")
         pool = pool.join(own, "id", "left").withColumn("M_score", F.coalesce("M_score", "_s")).drop("_s")
     return pool
@@ -125,12 +134,12 @@ def rerank(pool: DataFrame, query: str, filters: dict, used: dict[str, float] |
     return pool.withColumn("quality", fusion.quality(mixed, F.col("prior"), meta, token, soft, path))
 
 
-def composed(corpus: Corpus, queries: dict[str, list[float]], plan: Plan, top_k: int = 20, user_filters: dict | None = None, negative: list[float] | None = None, tokens: list[str] = (), pool_size: int | None = None) -> DataFrame:
+def composed(corpus: Corpus, queries: dict[str, list[float]], plan: Plan, top_k: int = 20, user_filters: dict | None = None, negative: list[float] | None = None, tokens: list[str] | None = None, pool_size: int | None = None) -> DataFrame:
     """The top_k files by place, with rrf, all axis scores, demotion and quality.
 
     In order: candidates, fusion, demotion by the plan's excluded terms and the negative visual vector, the plan's
     filters (leniently), the user's (strictly), enrichment of the pool, reranking, trimming. What the pool doesn't
-    take follows in its order. No candidates give no rows.
+    take follows in its order. No candidates give no rows. tokens: the query's, which are cut from it if not given.
     """
     rows, used = merged(candidates(corpus, queries, plan, top_k), plan)
     rows = rows.join(corpus.files, "id")
@@ -146,7 +155,7 @@ def composed(corpus: Corpus, queries: dict[str, list[float]], plan: Plan, top_k:
     rows = rows.withColumn("idx", F.row_number().over(order) - 1)
     size = max(top_k, pool_size or max(3 * top_k, 80))
     pool = enrich(rows.where(F.col("idx") < size), corpus, queries, plan.keywords)
-    pool = rerank(pool, plan.query, {**plan.filters, **(user_filters or {})}, used, list(tokens))
+    pool = rerank(pool, plan.query, {**plan.filters, **(user_filters or {})}, used, query_tokens(plan.query) if tokens is None else list(tokens))
     tail = rows.where(F.col("idx") >= size)
     out = pool.unionByName(tail, allowMissingColumns=True)
     place = Window.orderBy(F.col("idx") >= size, F.desc(F.round("quality", 9)), F.desc(F.coalesce("rrf", F.lit(0.0))), "idx")

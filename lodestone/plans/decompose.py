@@ -14,6 +14,7 @@ PRESETS = {
     "balanced": {"V": 0.34, "S": 0.33, "M": 0.33},
 }
 NEGATION = re.compile(r"\b(?:without|excluding|except|not|no)\s+([\w-]+)", re.I)
+ENDS = """,.;:!?"'()[]{}"""
 FORMATS = {"psd": "PSD", "png": "PNG", "jpg": "JPG", "jpeg": "JPG"}
 
 
@@ -28,6 +29,11 @@ class Plan:
     filters: dict[str, str] = field(default_factory=dict)
 
 
+def query_tokens(query: str) -> list[str]:
+    """Words of two characters or more without punctuation at their ends, once each: functions.text.query_tokens of one query."""
+    return list(dict.fromkeys(w for x in query.lower().split() if len(w := x.strip(ENDS)) >= 2))
+
+
 def weights(query_type: str, active: list[str], presets: dict[str, dict[str, float]] = PRESETS) -> dict[str, float]:
     """Weights of the active axes, summing to 1; an unknown type is balanced.
 

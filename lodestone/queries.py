@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import predicates as P
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import catalog, fusion, jobs, knn, reconcile, textindex
+from lodestone.operators import catalog, fusion, jobs, knn, reconcile, segments, textindex
 from lodestone.operators.ranking import numbered
 from lodestone.plans.decompose import weights
 from lodestone.sources.shared import shared_path
@@ -136,6 +136,19 @@ def _texts(s, d):
     return _files(s, d).select("id", F.concat_ws(" ", "source", "lang").alias("strong"), F.col("text").alias("weak"))
 
 
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(s, d, analyzer=textindex.ANY_SCRIPT):
+    """The stored index of _texts, written by the first query of a session that asks for it."""
+    key = s.sparkContext.applicationId, d, analyzer.name
+    if key not in _INDEXES:
+        path = shared_path(s, "index")
+        segments.create(_texts(s, d), path, analyzer=analyzer)
+        _INDEXES[key] = path
+    return segments.open_index(s, _INDEXES[key])
+
+
 _POSTINGS = r"""docs AS (SELECT doc_id AS id, concat_ws(' ', source, lang) AS strong, text AS weak FROM documents),
 toks AS (SELECT id, list_filter(regexp_split_to_array(lower(strong), '[^0-9a-z]+'), lambda x: x <> '') AS s, list_filter(regexp_split_to_array(lower(weak), '[^0-9a-z]+'), lambda x: x <> '') AS w FROM docs),
 post AS (SELECT id, 3.0 AS wt, unnest(s) AS token, generate_subscripts(s, 1) AS pos, 's' AS part FROM toks UNION ALL SELECT id, 1.5, unnest(w), generate_subscripts(w, 1), 'w' FROM toks),
@@ -146,9 +159,8 @@ scores AS (SELECT id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf *
 
 @query(f"WITH {_POSTINGS}, hits AS (SELECT * FROM post WHERE token IN ('thand', 'heon', 'src3') AND id NOT IN (SELECT id FROM post WHERE token = 'idiot')), {_SCORE} SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
 def f7_f8_bm25_search(s, d):
-    docs = _texts(s, d)
-    hits = textindex.matching(textindex.postings(docs, T.ascii_tokens), ["thand heon", "src3"], ["idiot"])
-    return textindex.bm25(hits, docs, words=T.ascii_tokens).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))
+    index = _index(s, d, textindex.ASCII)
+    return textindex.bm25(index, textindex.matching(index, ["thand heon", "src3"], ["idiot"])).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))
 
 
 # the same index over words of any script, as the operator cuts them by default
@@ -157,17 +169,15 @@ _ANY_SCRIPT = _POSTINGS.replace("lower(strong)", "strip_accents(lower(strong))")
 
 @query(f"WITH {_ANY_SCRIPT}, hits AS (SELECT * FROM post WHERE token IN ('fur', 'src3') AND id NOT IN (SELECT id FROM post WHERE token = 'idiot')), {_SCORE} SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
 def f7_f8_bm25_any_script(s, d):
-    docs = _texts(s, d)
-    hits = textindex.matching(textindex.postings(docs), ["für", "src3"], ["idiot"])
-    return textindex.bm25(hits, docs).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))
+    index = _index(s, d)
+    return textindex.bm25(index, textindex.matching(index, ["für", "src3"], ["idiot"])).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))
 
 
 @query(f"""WITH {_POSTINGS}, hits AS (SELECT a.id, a.wt, 'of the' AS token FROM post a JOIN post b ON a.id = b.id AND a.part = b.part AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'), {_SCORE}
 SELECT id, round(CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) AS norm FROM scores, (SELECT min(score) AS lo, max(score) AS hi FROM scores)""")
 def f9_f10_phrase_scores(s, d):
-    docs = _texts(s, d)
-    hits = textindex.phrase(textindex.postings(docs, T.ascii_tokens), "of the")
-    return textindex.min_max(textindex.bm25(hits, docs, words=T.ascii_tokens), "score", "norm").select("id", _R6("norm"))
+    index = _index(s, d, textindex.ASCII)
+    return textindex.min_max(textindex.bm25(index, textindex.phrase(index, "of the")), "score", "norm").select("id", _R6("norm"))
 
 
 _STOP = "'assets', 'asset', 'images', 'image', 'img', 'files', 'file', 'data', 'resource', 'resources', 'output', 'outputs', 'tmp', 'temp', 'test', 'psd', 'png', 'jpg', 'jpeg'"

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import predicates as P
 from lodestone.functions import records as R
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import audit, catalog, jobs, knn, search, textindex
+from lodestone.operators import audit, catalog, jobs, knn, search, segments, textindex
 from lodestone.plans.decompose import Plan
-from lodestone.queries import _ANY_SCRIPT, _COS, _JOBS, _R6, _SCORE, _axes, _files, _jobs, _now, _t, _texts, _vector, _vectors, query
+from lodestone.queries import _ANY_SCRIPT, _COS, _JOBS, _R6, _SCORE, _axes, _files, _index, _jobs, _now, _t, _texts, _vector, _vectors, query
 from lodestone.sources.shared import shared_path
 
 # ------------------------------------------------------------------ search
@@ -22,7 +24,12 @@ def _corpus(s, d):
     v = _vectors(s, d).select("id", "embedding")
     files = _files(s, d).select("id", F.col("text").alias("mc_caption"), F.col("lang").alias("image_type"), F.col("source").alias("folder_path"), F.concat(F.lit("top/"), "source").alias("file_path"), F.array("lang", "source").alias("ai_tags"), F.col("n_chars").alias("parsed_at"))
     axes = {"V": v, "S": v.withColumn("embedding", V.truncate(F.col("embedding"), 32)), "X": v.withColumn("embedding", V.fit_to(F.col("embedding"), 96))}
-    return search.Corpus(files, axes, _texts(s, d))
+    return search.Corpus(files, axes)
+
+
+def _searched(s, d):
+    """The corpus with its stored index of words."""
+    return replace(_corpus(s, d), text=_index(s, d))
 
 
 def _queries(s, d):
@@ -55,7 +62,7 @@ SELECT id, round(rrf, 6) AS rrf, round(quality, 6) AS quality, demoted, round(v1
 @query(f"WITH {_TRIAXIS}")
 def r20_search(s, d):
     plan = Plan("p/src3", "semantic", keywords=["thand", "src3"], excluded=["idiot"], negative="idiot", filters={"image_type": "en"})
-    got = search.composed(_corpus(s, d), _queries(s, d), plan, 10, {"folder_path": "src"}, _vector(s, d, 5), ["thand"])
+    got = search.composed(_searched(s, d), _queries(s, d), plan, 10, {"folder_path": "src"}, _vector(s, d, 5), ["thand"])
     return got.select("id", _R6("rrf"), _R6("quality"), "demoted", F.round("V_score", 6).alias("vector_score"), F.col("place").cast("long").alias("place"))
 
 
@@ -98,17 +105,20 @@ def r22_hybrid_mode(s, d):
 
 @query(f"WITH {_ANY_SCRIPT}, hits AS (SELECT * FROM post WHERE token IN ('fur', 'src3', 'thand')), {_SCORE} SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
 def f6_stored_index(s, d):
-    """Writes the index once; the search reads the wanted tokens' postings and the lengths, and no text."""
-    path = shared_path(s, "index")
-    textindex.write_index(_texts(s, d), path, version=2)
-    post, size = textindex.read_index(s, path, ["fur", "src3", "thand"], version=2)
-    return textindex.bm25(post, None, size=size).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))
+    """An index that gets a third of the documents at first, then others, some of them changed; some go, segments merge."""
+    path, docs = shared_path(s, "index"), _texts(s, d)
+    index = segments.create(docs.where("id % 3 = 0"), path, version=2)
+    index = segments.add(index, docs.where("id % 3 = 1").withColumn("weak", F.concat(F.lit("thand thand "), "weak")))
+    index = segments.merge(segments.delete(index, docs.where("id % 6 = 0")))
+    segments.add(index, docs.where("id % 3 > 0 or id % 6 = 0"))
+    index = segments.open_index(s, path, version=2)
+    return textindex.bm25(index, textindex.matching(index, ["fur", "src3", "thand"])).orderBy(F.desc("score"), "id").limit(20).select("id", _R6("score"))
 
 
 @query(f"""WITH {_ANY_SCRIPT}, hits AS (SELECT a.id, 1.0 AS wt, 'of the' AS token FROM post a JOIN post b ON a.id = b.id AND a.part = b.part AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'), {_SCORE},
 sub AS (SELECT * FROM scores WHERE id % 5 = 0) SELECT id, round(CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) AS norm FROM sub, (SELECT min(score) AS lo, max(score) AS hi FROM sub)""")
 def f9_subset_scores(s, d):
-    c = _corpus(s, d)
+    c = _searched(s, d)
     pool = _files(s, d).where("id % 5 = 0").select("id", F.lit(None).cast("double").alias("M_score"))
     return search.enrich(pool, c, {}, ["of the"]).where("M_score is not null").select("id", F.round("M_score", 6).alias("norm"))
 
