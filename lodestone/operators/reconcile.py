@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import fingerprint
 from lodestone.operators.ranking import numbered
+from lodestone.sources.shared import cut
+
+#: So many hashes that share a value are compared with each other; dividing fewer would cost more.
+FULL = 1 << 14
 
 
 def nth(df: DataFrame, key: str, order: list) -> DataFrame:
@@ -64,20 +68,71 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_hashes(items: DataFrame, within: int = 10, bits: int = 64) -> DataFrame:
+def _low(n: int) -> Column:
+    """The lowest n bits, all ones."""
+    return F.lit((1 << n) - 1 if n < 64 else -1).cast("long")
+
+
+def _shift(col: Column, by: Column) -> Column:
+    """col shifted right without sign, by any number of bits."""
+    return F.when(by < 64, F.call_function("shiftrightunsigned", col, by)).otherwise(F.lit(0).cast("long"))
+
+
+def near_hashes(items: DataFrame, within: int = 10, bits: int = 64, full: int = FULL) -> DataFrame:
     """(a, b, distance): pairs of items (id, hash LONG) that differ in `within` bits or fewer, each once.
 
-    within + 1 bands of bits: such a pair agrees in one at least. Items with one hash are one row until the end, so
-    copies don't multiply pairs: the result links each hash's first id, and (first, copy) at distance 0.
+    Items with one hash are one row until the end, so copies don't multiply pairs: the result links each hash's first
+    id, and (first, copy) at distance 0. Null hashes are near nothing.
+
+    The bits that vary are dealt, the most even ones first, into within // 3 + 1 blocks: such a pair differs by two bits
+    or fewer in one block at least. Every hash stands under its blocks' values and all values one bit away, so that such
+    a pair meets under a value. Values that more than `full` hashes stand under are divided by blocks of the bits that
+    are left, and so on, so that a value which most hashes share doesn't bring all of them together.
     """
-    first = items.groupBy("hash").agg(F.min("id").alias("id"))
-    width = -(-bits // (within + 1))
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("part")) for i in range(within + 1) if i * width < bits))
-    cut = first.select("id", "hash", F.explode(bands).alias("x")).select("id", "hash", "x.band", "x.part")
-    other = cut.select(F.col("id").alias("b"), F.col("hash").alias("hb"), "band", "part")
-    pairs = cut.join(other, ["band", "part"]).where("id < b").select(F.col("id").alias("a"), "b", hamming(F.col("hash"), F.col("hb")).alias("distance")).where(F.col("distance") <= within).distinct()
+    items, zero, one = items.where("hash is not null"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    first = cut(items.groupBy("hash").agg(F.min("id").alias("id")))
+    ones = first.agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("hash", b).bitwiseAND(one)).alias(f"b{b}") for b in range(bits))).first()
+    varied = sorted((b for b in range(bits) if 0 < (ones[f"b{b}"] or 0) < ones["n"]), key=lambda b: (abs(2 * ones[f"b{b}"] - ones["n"]), b))
+    m, left = within // 3 + 1, len(varied)
+    width = max(1, -(-left // m))
+    places = [at for i in range(width) for k in range(m) if (at := k * width + i) < 64]
+    moved = reduce(Column.bitwiseOR, [F.shiftleft(F.shiftrightunsigned("hash", b).bitwiseAND(one), at) for b, at in zip(varied, places, strict=False)], zero)
+    rows, found, widths, used = first.select("id", moved.alias("r0"), zero.alias("path")), [], [], 0
+    tag = max(1, (m - 1).bit_length())
+    while True:
+        depth, width = len(widths), max(1, -(-left // m))
+        widths.append(width)
+        under = [F.struct(F.lit(k).alias("k"), F.lit(x).cast("long").alias("x")) for k in range(m) for x in [0, *(1 << j if j < 63 else -1 << 63 for j in range(width))]]
+        rows = rows.select("*", F.explode(F.array(*under)).alias("_u")).select("*", F.col("_u.k").alias(f"k{depth}"), F.col("_u.x").alias(f"x{depth}")).drop("_u")
+        value = _shift(F.col(f"r{depth}"), F.col(f"k{depth}") * width).bitwiseAND(_low(width)).bitwiseXOR(F.col(f"x{depth}"))
+        rows = rows.withColumn("path", F.shiftleft(F.shiftleft("path", tag).bitwiseOR(F.col(f"k{depth}").cast("long")), width).bitwiseOR(value))
+        used, left, many = used + tag + width, width * (m - 1), 0
+        if left >= m and used + tag + -(-left // m) < 63:
+            big = cut(rows.groupBy("path").count().where(F.col("count") > full).select("path"))
+            many = big.count()
+            big = F.broadcast(big) if many <= 1 << 20 else big
+        found.append(_meetings(rows.join(big, "path", "left_anti") if many else rows, widths, m, within))
+        if not many:
+            break
+        shift = F.col(f"k{depth}") * width
+        rest = F.col(f"r{depth}").bitwiseAND(F.call_function("shiftleft", one, shift) - 1).bitwiseOR(F.call_function("shiftleft", _shift(F.col(f"r{depth}"), shift + width), shift))
+        rows = rows.join(big, "path", "left_semi").withColumn(f"r{depth + 1}", rest)
     copies = items.join(first.withColumnRenamed("id", "a"), "hash").where("id > a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    return pairs.unionByName(copies)
+    return reduce(DataFrame.unionByName, found).unionByName(copies)
+
+
+def _meetings(rows: DataFrame, widths: list[int], m: int, within: int) -> DataFrame:
+    """Pairs of near hashes that stand under one path, each at one of the places where it could meet: on each level in
+    the first block that differs by two bits at most, under b's own value or, of the two values between, under one."""
+    other = rows.select("path", *(F.col(c).alias(f"_{c}") for c in rows.columns if c != "path"))
+    near = [F.col("path") == F.col("_path"), F.col("id") < F.col("_id"), hamming(F.col("r0"), F.col("_r0")) <= within]
+    for i, w in enumerate(widths):
+        x, y, k = F.col(f"x{i}"), F.col(f"_x{i}"), F.col(f"k{i}")
+        near.append((y == 0) | ((x != 0) & (x < y)))
+        differ = F.col(f"r{i}").bitwiseXOR(F.col(f"_r{i}"))
+        near += [(k <= j) | (F.bit_count(F.shiftrightunsigned(differ, j * w).bitwiseAND(_low(w))) > 2) for j in range(m - 1)]
+    other = other.withColumnRenamed("path", "_path")
+    return rows.join(other, reduce(lambda a, b: a & b, near)).select(F.col("id").alias("a"), F.col("_id").alias("b"), hamming(F.col("r0"), F.col("_r0")).alias("distance"))
 
 
 def set_classes(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import base64
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -170,3 +171,27 @@ def test_without_training_operators():
 
     code = "import sys; sys.modules['lodestone.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'v1_knn_visual' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_near_hashes_by_brute_force(spark):
+    """Random hashes with near copies at all distances, and many that share most bits, with and without divided values."""
+    rng = random.Random(4)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    hashes = []
+    for _ in range(60):
+        h = rng.getrandbits(64)
+        for d in (0, 1, 2, 5, 8, 9, 10, 11, 12):
+            hashes.append(h ^ sum(1 << b for b in rng.sample(range(64), d)))
+    hashes += [rng.getrandbits(16) << 48 | 0x1234567890AB for _ in range(250)]
+    rows = [*((i, signed(h)) for i, h in enumerate(hashes)), (9998, None), (9999, signed(hashes[3]))]
+    for within, data, full in ((10, rows, 1 << 14), (10, rows, 200), (6, rows[:600], 100), (2, rows, 50), (25, rows[:150], 1 << 14), (10, rows[:1], 5)):
+        first, want = {}, []
+        for i, h in data:
+            if h is not None:
+                first.setdefault(h, i)
+        ids = [(i, h) for h, i in first.items()]
+        for k, (i, h) in enumerate(ids):
+            want += [(min(i, j), max(i, j), n) for j, g in ids[:k] if (n := ((h ^ g) & (1 << 64) - 1).bit_count()) <= within]
+        want += [(first[h], i, 0) for i, h in data if h is not None and i != first[h]]
+        assert sorted(map(tuple, reconcile.near_hashes(spark.createDataFrame(data, "id long, hash long"), within, full=full).collect())) == sorted(want)
+    assert reconcile.near_hashes(spark.createDataFrame([], "id long, hash long")).count() == 0
