@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.predicates import present
 from lodestone.functions.text import root_of
 from lodestone.operators.ranking import numbered
+from lodestone.sources.shared import cut
 
 
 def with_axes(files: DataFrame, **vectors: DataFrame) -> DataFrame:
@@ -120,8 +122,39 @@ def reset(**tables: DataFrame) -> DataFrame:
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds stored_name: the second and further rows of a name get _1, _2 before the extension."""
+    """Adds stored_name: in order, a row whose name is taken gets _1, _2, ... before the extension, the first that is free.
+
+    The copies of a name count on by themselves, however many there are, unless another name of the table is one that
+    they might get (a_1.png beside two a.png): such names, those that differ in numbers at their ends only, are settled
+    one after another, in one task for each such family.
+    """
+    pattern = r"^(.*?)(\.[^.]*)?$"
+    stem, ext = F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+    family = F.concat(F.regexp_replace(stem, r"(_[1-9][0-9]*)+$", ""), ext)
+    sizes = df.groupBy(F.col(name).alias("_n")).agg(F.count("*").alias("_c")).where("_n is not null")
+    sizes = sizes.withColumns({"_s": F.regexp_extract("_n", pattern, 1), "_e": F.regexp_extract("_n", pattern, 2)})
+    # names that a copy of another name might get
+    parents = sizes.where("_c > 1").select(F.col("_n").alias("_p"))
+    children = sizes.where(F.col("_s").rlike(r"_[1-9][0-9]*$")).withColumn("_p", F.concat(F.regexp_replace("_s", r"_[1-9][0-9]*$", ""), "_e"))
+    mixed = cut(children.join(parents, "_p", "left_semi").select(F.concat(F.regexp_replace("_s", r"(_[1-9][0-9]*)+$", ""), "_e").alias("_f")).distinct())
     n = F.col("_rn") - 1
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
     stored = F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))
-    return numbered(df, [name], [order], "_rn").withColumn("stored_name", stored).drop("_rn")
+    if mixed.isEmpty():
+        return numbered(df, [name], [order], "_rn").withColumn("stored_name", stored).drop("_rn")
+    rows = df.withColumn("_f", family)
+    alone = numbered(rows.join(mixed, "_f", "left_anti").drop("_f"), [name], [order], "_rn").withColumn("stored_name", stored).drop("_rn")
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part, taken, nexts, out = part.sort_values(order), set(), {}, []
+        for x in part[name]:
+            got, k = x, nexts.get(x, 1)
+            at = x.rfind(".") if "." in x else len(x)
+            while got in taken:
+                got, k = f"{x[:at]}_{k}{x[at:]}", k + 1
+            nexts[x] = k
+            taken.add(got)
+            out.append(got)
+        return part.drop(columns="_f").assign(stored_name=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", stored_name string"
+    return alone.unionByName(rows.join(mixed, "_f", "left_semi").groupBy("_f").applyInPandas(settle, schema))

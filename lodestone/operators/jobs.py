@@ -32,9 +32,9 @@ def eta_seconds(remaining: Column, per_minute: Column) -> Column:
     return F.when((remaining > 0) & (per_minute > 0), F.bround(remaining / per_minute * 60).cast("long"))
 
 
-def claim(jobs: DataFrame, n: int, parsed: Column) -> DataFrame:
-    """The n pending jobs to hand out: parsed ones first, then by priority, age and id."""
-    tier = F.when(parsed, 0).otherwise(1)
+def claim(jobs: DataFrame, n: int, parsed: Column | None = None) -> DataFrame:
+    """The n pending jobs to hand out, by priority, age and id; before these by whether they are parsed, if that is given."""
+    tier = F.lit(0) if parsed is None else F.when(parsed, 0).otherwise(1)
     return jobs.where("status = 'pending'").withColumn("tier", tier).orderBy("tier", F.desc("priority"), "created_at", "id").limit(n)
 
 
@@ -75,10 +75,16 @@ def timed_out(sessions: DataFrame, now: Column, minutes: int = 3) -> DataFrame:
     return sessions.where((F.col("status") == "online") & (F.col("last_heartbeat") < now - F.expr(f"interval {minutes} minutes")))
 
 
-def pool_mode(workers: DataFrame, mode: str = "mode") -> DataFrame:
-    """One row: what the set of the workers' modes asks the pools for."""
-    has = lambda m: F.coalesce(F.bool_or(F.col(mode) == m), F.lit(False))
-    return workers.agg(F.when(has("full"), "full").when(has("mc_only") & has("embed_only"), "split").when(has("mc_only"), "mc_only").when(has("embed_only"), "embed_only").otherwise("idle").alias("pool"))
+def pool_mode(workers: DataFrame, mode: str = "mode", general: str = "full", auto: bool = True, by: list[str] | None = None) -> DataFrame:
+    """One row (or one for each group): the mode that the pools work in for the online workers.
+
+    A worker without a mode of its own works in the general one. One mc_only worker decides, else one embed_only worker,
+    else the general mode holds. Without workers it is auto, unless that is switched off.
+    """
+    own = F.coalesce(F.nullif(F.col(mode), F.lit("")), F.lit(general))
+    has = lambda m: F.coalesce(F.bool_or(own == m), F.lit(False))
+    pool = F.when(F.count("*") == 0, "auto" if auto else general).when(has("mc_only"), "mc_only").when(has("embed_only"), "embed_only").otherwise(general)
+    return workers.groupBy(*(by or [])).agg(pool.alias("pool"))
 
 
 def demand(claims: DataFrame, now: Column, seconds: int = 120) -> DataFrame:
@@ -102,17 +108,21 @@ def sliding_counts(done: DataFrame, ts: str = "ts", size: str = "5 minutes", sli
 def unchanged(verify_hash: bool = False) -> Column:
     """Whether a found file (path, size, mtime, hash) is as the catalog knows it (_size, _mtime, _hash).
 
-    Times are compared with a space for T. Hashes, if asked for and known, must agree.
+    Times are compared with a space for T. What the catalog doesn't know (null, or an empty time) isn't compared, so
+    that files of old catalogs aren't processed again; a file that it doesn't know at all is changed. Hashes, if asked
+    for and known, must agree.
     """
-    same = (F.col("size") == F.col("_size")) & (F.replace("mtime", F.lit("T"), F.lit(" ")) == F.replace("_mtime", F.lit("T"), F.lit(" ")))
+    same = F.coalesce(F.col("size") == F.col("_size"), F.col("_size").isNull())
+    time = F.replace("mtime", F.lit("T"), F.lit(" ")) == F.replace("_mtime", F.lit("T"), F.lit(" "))
+    same = same & (F.coalesce(time, F.lit(False)) | (F.coalesce("_mtime", F.lit("")) == ""))
     if verify_hash:
         same = same & F.coalesce(F.col("hash") == F.col("_hash"), F.lit(True))
-    return F.coalesce(same, F.lit(False))
+    return F.coalesce(F.col("_path").isNotNull() & same, F.lit(False))
 
 
 def _known(found: DataFrame, known: DataFrame) -> DataFrame:
-    k = known.select("path", *(F.col(c).alias(f"_{c}") for c in known.columns if c != "path"))
-    return found.join(k, "path", "left")
+    k = known.select(*(F.col(c).alias(f"_{c}") for c in known.columns))
+    return found.join(k, F.col("path") == F.col("_path"), "left")
 
 
 def skip_flags(found: DataFrame, known: DataFrame, models: dict[str, str] | None = None, verify_hash: bool = False) -> DataFrame:
@@ -144,12 +154,13 @@ def create(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def claimable(mode: str, flags: str = "phase_completed") -> Column:
-    """What a worker of this mode may claim: mc_only parsed jobs, embed_only those with a caption and no vectors."""
+    """What a worker of this mode may claim: mc_only parsed jobs, embed_only those with a caption and no vectors, others
+    all whose parse isn't under way."""
     if mode == "mc_only":
         return F.coalesce(F.col("parse_status") == "parsed", F.lit(False))
     if mode == "embed_only":
         return json_flag(F.col(flags), "$.vision") & not_embedded(flags)
-    return F.lit(True)
+    return F.col("parse_status").isNull() | F.col("parse_status").isin("parsed", "pending", "failed")
 
 
 def not_embedded(flags: str = "phase_completed", strict: bool = False) -> Column:
@@ -159,9 +170,13 @@ def not_embedded(flags: str = "phase_completed", strict: bool = False) -> Column
 
 
 def route(jobs: DataFrame, asked: int, mode: str, override: str | None = None, pressure: str = "normal") -> DataFrame:
-    """The jobs for one worker: its own mode goes before the general one, and load cuts the number."""
-    able = jobs.where(claimable(override or mode))
-    return claim(able, claim_size(asked, pressure), F.coalesce(F.col("parse_status") == "parsed", F.lit(False)))
+    """The jobs for one worker: its own mode goes before the general one, and load cuts the number.
+
+    Parsed jobs go first in the full mode; in the others priority alone decides.
+    """
+    mode = override or mode
+    parsed = None if mode in ("mc_only", "embed_only") else F.coalesce(F.col("parse_status") == "parsed", F.lit(False))
+    return claim(jobs.where(claimable(mode)), claim_size(asked, pressure), parsed)
 
 
 def reclaim_session(jobs: DataFrame, session: int) -> DataFrame:
@@ -226,7 +241,18 @@ def batch_growth(steps: DataFrame, drop: float = 0.05) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("previous").isNull(), "start").when(F.col("rate") < F.col("previous") * (1 - drop), "refine").otherwise("grow"))
 
 
+# The loads from which on each metric is a warning, a danger, critical; percentages, and degrees.
+LIMITS = {"gpu_memory": (70, 85, 95), "cpu": (80, 90, 95), "memory": (75, 85, 95), "gpu_temp": (75, 85, 90)}
+LEVELS = ("normal", "warning", "danger", "critical")
+
+
+def load_level(metrics: dict[str, Column], limits: dict[str, tuple[float, float, float]] = LIMITS) -> Column:
+    """The name of the worst level of the metrics, each by its own limits; a missing one counts as normal."""
+    ordinal = lambda c, x: F.when(c >= x[2], 3).when(c >= x[1], 2).when(c >= x[0], 1).otherwise(0)
+    worst = [ordinal(c, limits[k]) for k, c in metrics.items()]
+    return F.element_at(F.array(*map(F.lit, LEVELS)), (F.greatest(*worst) if len(worst) > 1 else worst[0]) + 1)
+
+
 def worst_level(metrics: list[Column], warn: float, danger: float, critical: float) -> Column:
-    """The name of the worst of several load levels."""
-    ordinal = lambda c: F.when(c >= critical, 3).when(c >= danger, 2).when(c >= warn, 1).otherwise(0)
-    return F.element_at(F.array(*map(F.lit, ("normal", "warning", "danger", "critical"))), F.greatest(*map(ordinal, metrics)) + 1)
+    """load_level of metrics that share their limits."""
+    return load_level(dict(enumerate(metrics)), {i: (warn, danger, critical) for i in range(len(metrics))})

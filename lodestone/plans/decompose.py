@@ -6,6 +6,8 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from lodestone.functions.text import EXTENSIONS, STOP_TERMS
+
 # Weights of the visual, meaning and keyword axes by type of query.
 PRESETS = {
     "visual": {"V": 0.50, "S": 0.30, "M": 0.20},
@@ -13,7 +15,14 @@ PRESETS = {
     "semantic": {"V": 0.20, "S": 0.50, "M": 0.30},
     "balanced": {"V": 0.34, "S": 0.33, "M": 0.33},
 }
-NEGATION = re.compile(r"\b(?:without|excluding|except|not|no)\s+([\w-]+)", re.I)
+NEGATION = re.compile(r"\b(?:without|excluding|except|other than|not|no)\s+([\w-]+)", re.I)
+# Korean forms of "without", "that isn't", "except" after a noun and its particle.
+KOREAN_NEGATION = (
+    re.compile(r"(\S+?)(?:이|가|은|는)?\s*없(?:는|어야|이)"),
+    re.compile(r"(\S+?)(?:이|가|은|는)?\s*아닌"),
+    re.compile(r"(\S+?)(?:을|를)?\s*(?:말고|빼고|제외하고|제외한|제외)"),
+    re.compile(r"(\S+?)(?:이|가|은|는)?\s*없이"),
+)
 ENDS = """,.;:!?"'()[]{}"""
 FORMATS = {"psd": "PSD", "png": "PNG", "jpg": "JPG", "jpeg": "JPG"}
 
@@ -49,27 +58,45 @@ def weights(query_type: str, active: list[str], presets: dict[str, dict[str, flo
 
 
 def _negation(plan: Plan) -> Plan:
+    """Takes what the query excludes from the plan's words. Korean nouns before a negation count where the plan excludes
+    nothing itself; English words after one always, and they leave the text for the vector with it."""
+    korean = list(dict.fromkeys(n for p in KOREAN_NEGATION for n in p.findall(plan.query) if n))
+    if korean and not plan.negative and not plan.excluded:
+        plan.excluded = korean
     found = [t.lower() for t in NEGATION.findall(plan.query)]
     plan.excluded = list(dict.fromkeys([*plan.excluded, *found]))
-    plan.vector_query = " ".join(NEGATION.sub(" ", plan.vector_query).split()) or plan.vector_query
+    rest = NEGATION.sub(" ", plan.vector_query)
+    for p in KOREAN_NEGATION:
+        rest = p.sub(" ", rest)
+    plan.vector_query = " ".join(rest.split()) or plan.vector_query
     if plan.excluded:
-        kept = [k for k in plan.keywords if not any(t in k.lower() for t in plan.excluded)]
+        kept = [k for k in plan.keywords if not any(t.lower() in k.lower() for t in plan.excluded)]
         plan.keywords = kept or plan.keywords
         plan.negative = plan.negative or " ".join(plan.excluded)
     return plan
 
 
+def _meaningful(token: str) -> bool:
+    t = token.lower()
+    return len(t) >= 2 and not t.isdigit() and not re.fullmatch(r"v\d+", t) and t not in EXTENSIONS and t not in STOP_TERMS
+
+
 def _paths(plan: Plan) -> Plan:
-    for word in plan.query.split():
-        ext = word.rpartition(".")[2].lower() if "." in word else ""
-        if ext in FORMATS:
-            plan.filters.setdefault("format", FORMATS[ext])
-        if "/" in word or "\\" in word or ext in FORMATS:
-            path = word.replace("\\", "/").strip("/")
-            plan.keywords = list(dict.fromkeys([*plan.keywords, *(t for t in re.split(r"[^0-9a-zA-Z]+", path) if len(t) > 1)]))
-            plan.query_type = "keyword"
-            if "/" in path:
-                plan.filters.setdefault("folder_path", path.rpartition("/")[0])
+    """A query with a slash or an image file's extension is a path, spaces included: its folder is a filter (the whole
+    path, if it names no file), its telling words are keywords."""
+    query, ext = plan.query.strip(), re.search(r"\.(psd|png|jpg|jpeg)\b", plan.query, re.I)
+    if not ("/" in query or "\\" in query or ext):
+        return plan
+    path = query.replace("\\", "/").strip().strip("\"'`")
+    segments = [s for s in path.split("/") if s]
+    words = [w for s in segments for w in re.split("[^0-9a-zA-Z가-힣]+", s) if _meaningful(w)]
+    plan.keywords = list(dict.fromkeys([*(k.strip() for k in plan.keywords if k.strip()), *words])) or [query]
+    folder = ("/".join(segments[:-1]) if ext and len(segments) > 1 else path).strip("/")
+    if segments and folder:
+        plan.filters.setdefault("folder_path", folder)
+    if ext:
+        plan.filters.setdefault("format", FORMATS[ext[1].lower()])
+    plan.query_type = "keyword"
     return plan
 
 

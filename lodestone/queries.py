@@ -444,9 +444,16 @@ def m8_heartbeat_timeout(s, d):
     return jobs.timed_out(last, _now(s, d)).select("user_id")
 
 
-@query("SELECT CASE WHEN bool_or(c_mktsegment = 'MACHINERY') THEN 'full' ELSE 'idle' END AS pool FROM customer")
+# sets of workers of all kinds: user_id % 23 holds two or three of the modes, null among them
+_MODE = "CASE WHEN event_id % 3 = 0 AND user_id % 23 IN (1, 2, 3) THEN 'mc_only' WHEN event_id % 3 = 1 AND user_id % 23 IN (2, 4, 5) THEN 'embed_only' WHEN event_id % 3 = 2 AND user_id % 23 IN (1, 4, 6) THEN 'full' END"
+
+
+@query(f"""WITH w AS (SELECT user_id % 23 AS pool_id, coalesce({_MODE}, 'standard') AS mode FROM events)
+SELECT pool_id, CASE WHEN count(*) FILTER (mode = 'mc_only') > 0 THEN 'mc_only' WHEN count(*) FILTER (mode = 'embed_only') > 0 THEN 'embed_only' ELSE 'standard' END AS pool FROM w GROUP BY pool_id UNION ALL SELECT -1, 'auto'""")
 def m11_pool_mode(s, d):
-    return jobs.pool_mode(_t(s, d, "customer").withColumn("mode", F.when(F.col("c_mktsegment") == "MACHINERY", "full").otherwise("none")))
+    w = _t(s, d, "events").select((F.col("user_id") % 23).alias("pool_id"), F.expr(_MODE).alias("mode"))
+    none = jobs.pool_mode(w.where("false"), general="standard").select(F.lit(-1).cast("long").alias("pool_id"), "pool")
+    return jobs.pool_mode(w, general="standard", by=["pool_id"]).unionByName(none)
 
 
 @query("SELECT event_id AS id, count(*) OVER w AS in_window, count(*) OVER w > 1 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW)")
@@ -491,6 +498,14 @@ def a28_worst_level(s, d):
     return _t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), jobs.worst_level([F.col("s_acctbal"), F.col("s_suppkey")], 1000, 5000, 9000).alias("level"))
 
 
+@query("""SELECT s_suppkey AS id, CASE WHEN g >= 95 OR c >= 95 OR m >= 95 OR t >= 90 THEN 'critical' WHEN g >= 85 OR c >= 90 OR m >= 85 OR t >= 85 THEN 'danger' WHEN g >= 70 OR c >= 80 OR m >= 75 OR t >= 75 THEN 'warning' ELSE 'normal' END AS level
+FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 97 END AS g, s_suppkey * 7 % 99 AS c, s_suppkey * 3 % 96 AS m, s_suppkey * 5 % 91 AS t FROM supplier)""")
+def a28_load_level(s, d):
+    k = F.col("s_suppkey")
+    load = {"gpu_memory": F.when(k % 4 > 0, k % 97), "cpu": k * 7 % 99, "memory": k * 3 % 96, "gpu_temp": k * 5 % 91}
+    return _t(s, d, "supplier").select(k.alias("id"), jobs.load_level(load).alias("level"))
+
+
 @query("SELECT c.c_custkey AS id, n.n_name AS root, CASE WHEN coalesce(o.n, 0) > 0 THEN o.n ELSE coalesce(s.n, 0) END AS done FROM customer c JOIN nation n ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o ON o_custkey = c_custkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = c_nationkey")
 def j11_j13_session_fallback(s, d):
     c = _t(s, d, "customer").join(_t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

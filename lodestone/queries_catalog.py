@@ -258,10 +258,12 @@ def a15_throughput_levels(s, d):
     return audit.throughput_levels(_jobs(s, d).withColumn("session", F.col("id") % 9), _now(s, d))
 
 
-@query("SELECT 25 AS n, 25 AS known")
+@query("SELECT least(25, count(*)) AS n, least(25, count(*)) AS known, least(25, count(*)) AS equal_to_the_files FROM documents")
 def t11_sample(s, d):
+    """A sample's rows are as many as asked for, distinct, and rows of the table, unchanged."""
     got = audit.sample(_files(s, d), 25, 7)
-    return got.agg(F.count_distinct("id").cast("int").alias("n"), F.count("text").cast("int").alias("known"))
+    same = got.join(_files(s, d).select("id", F.col("text").alias("_t")), "id", "left")
+    return same.agg(F.count_distinct("id").alias("n"), F.count("text").alias("known"), F.count_if(F.col("text") == F.col("_t")).alias("equal_to_the_files"))
 
 
 # ------------------------------------------------------------------ the queue
@@ -279,6 +281,21 @@ def m2_route_by_mode(s, d):
     return jobs.route(j, 16, "full", override="mc_only", pressure="warning").select("id")
 
 
+_ROUTES = """SELECT 'full' AS mode, id, row_number() OVER (ORDER BY coalesce(parse_status = 'parsed', false) DESC, priority DESC, ts, id) AS place FROM p WHERE status = 'pending' AND coalesce(parse_status, 'pending') <> 'parsing'
+UNION ALL SELECT 'mc_only', id, row_number() OVER (ORDER BY priority DESC, ts, id) FROM p WHERE status = 'pending' AND parse_status = 'parsed'
+UNION ALL SELECT 'embed_only', id, row_number() OVER (ORDER BY priority DESC, ts, id) FROM p WHERE status = 'pending' AND id % 5 < 3 AND id % 5 > 0"""
+
+
+@query(f"WITH {_JOBS}, {_PARSE}, r AS ({_ROUTES}) SELECT mode, id, place FROM r WHERE place <= 40")
+def m2_routes(s, d):
+    """The claims of workers of each mode; embed_only takes jobs whose caption is done, and no vectors, parsed or not."""
+    flags = F.when(F.col("id") % 5 == 1, '{"vision": true}').when(F.col("id") % 5 == 2, '{"vision": true, "embed": false}').when(F.col("id") % 5 == 3, '{"vision": true, "embed": true}').otherwise("{}")
+    j = _parsing(s, d).withColumns({"created_at": F.col("ts"), "phase_completed": flags})
+    place = F.row_number().over(search.Window.partitionBy("mode").orderBy("tier", F.desc("priority"), "created_at", "id"))
+    got = [jobs.route(j, 40, m).select(F.lit(m).alias("mode"), "id", "tier", "priority", "created_at") for m in ("full", "mc_only", "embed_only")]
+    return got[0].unionByName(got[1]).unionByName(got[2]).select("mode", "id", place.cast("long").alias("place"))
+
+
 @query(f"WITH {_JOBS} SELECT count(*) FILTER (NOT coalesce(json_extract_string(props, '$.k') IN ('true', '1'), false) AND coalesce(json_extract_string(props, '$.k') IN ('0', 'false'), true)) AS tolerant, count(*) FILTER (coalesce(json_extract_string(props, '$.k') IN ('0', 'false'), false)) AS strict FROM j")
 def p19_not_embedded(s, d):
     j = _jobs(s, d).select(F.replace("props", F.lit('"k"'), F.lit('"embed"')).alias("props"))

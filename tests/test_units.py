@@ -195,3 +195,49 @@ def test_near_hashes_by_brute_force(spark):
         want += [(first[h], i, 0) for i, h in data if h is not None and i != first[h]]
         assert sorted(map(tuple, reconcile.near_hashes(spark.createDataFrame(data, "id long, hash long"), within, full=full).collect())) == sorted(want)
     assert reconcile.near_hashes(spark.createDataFrame([], "id long, hash long")).count() == 0
+
+
+def test_names_are_unique(spark):
+    names = ["a.png", "a.png", "a_1.png", "a_1.png", "b", "b", "c.x.png", "c.x.png", "a.png", "a_2.png", None, "d_7.png", "d_7.png"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string")
+    got = [r.stored_name for r in catalog.unique_names(df, "name", "id").orderBy("id").collect()]
+    assert got[:6] == ["a.png", "a_1.png", "a_1_1.png", "a_1_2.png", "b", "b_1"] and got[8:10] == ["a_2.png", "a_2_1.png"] and got[11:] == ["d_7.png", "d_7_1.png"]
+    known = [g for g in got if g]
+    assert len(set(known)) == len(known) == 12
+
+
+def test_pool_modes(spark):
+    mode = lambda *m, **how: jobs.pool_mode(spark.createDataFrame([(x,) for x in m], "mode string"), **how).first().pool
+    assert [mode("full", "mc_only"), mode("embed_only", "mc_only", None), mode("full", "embed_only"), mode(None, None), mode("full"), mode()] == ["mc_only", "mc_only", "embed_only", "full", "full", "auto"]
+    assert [mode(None, general="embed_only"), mode("full", general="mc_only"), mode(general="mc_only", auto=False)] == ["embed_only", "mc_only", "mc_only"]
+
+
+def test_claims_by_mode(spark):
+    rows = [(1, 9, "parsing", None), (2, 1, "parsed", '{"vision": true}'), (3, 5, None, '{"vision": 1, "embed": 0}'), (4, 3, "failed", '{"vision": true, "embed": true}')]
+    j = spark.createDataFrame(rows, "id long, priority int, parse_status string, phase_completed string").withColumns({"status": F.lit("pending"), "created_at": F.lit(0)})
+    ids = lambda *how, **k: [r.id for r in jobs.route(j, *how, **k).collect()]
+    assert [ids(9, "full"), ids(9, "mc_only"), ids(9, "embed_only"), ids(9, "full", override="embed_only"), ids(3, "full", pressure="danger"), ids(3, "full", pressure="critical")] == [[2, 3, 4], [2], [3, 2], [3, 2], [2], []]
+
+
+def test_what_the_catalog_does_not_know_is_not_compared(spark):
+    known = spark.createDataFrame([("a", None, None), ("b", 1, None), ("c", None, "2024-01-01 00:00"), ("d", 2, "x")], "path string, size long, mtime string")
+    known = known.withColumns({"caption": F.lit("c"), "relative_path": F.lit("r"), **{f"has_{k}": F.lit(True) for k in ("vv", "mv", "structure")}})
+    found = spark.createDataFrame([(p, 1, "2024-01-01T00:00") for p in "abcde"], "path string, size long, mtime string")
+    assert {r.path: r.skip for r in jobs.skip_file(found, known).collect()} == {"a": True, "b": True, "c": True, "d": False, "e": False}
+
+
+def test_load_levels(spark):
+    level = lambda **m: one(spark, jobs.load_level({k: F.lit(v) for k, v in m.items()}))[0]
+    assert [level(cpu=75, memory=75), level(cpu=79, gpu_temp=74), level(gpu_temp=90), level(gpu_memory=85.0, cpu=0), level(cpu=None)] == ["warning", "normal", "critical", "danger", "normal"]
+
+
+def test_paths_and_negation_in_queries():
+    p = fallback("assets/hero/night")
+    assert p.filters == {"folder_path": "assets/hero/night"} and p.keywords == ["assets/hero/night", "hero", "night"] and p.query_type == "keyword"
+    p = fallback("2024/v2/sky")
+    assert p.keywords[1:] == ["sky"] and p.filters["folder_path"] == "2024/v2/sky"
+    p = fallback("배경/한국_그림/my hero.PNG")
+    assert p.keywords[1:] == ["배경", "한국", "그림", "my", "hero"] and p.filters == {"folder_path": "배경/한국_그림", "format": "PNG"}
+    assert fallback("사람이 없는 숲").excluded == ["사람"] and fallback("사람이 없는 숲").vector_query == "숲"
+    assert fallback("고양이 말고 개").excluded == ["고양이"] and fallback("밤이 아닌 하늘").excluded == ["밤"]
+    assert fallback("night other than city").excluded == ["city"] and parse_response('{"negative_query": "people"}', "사람 없는 숲").excluded == []
