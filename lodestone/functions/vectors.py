@@ -54,3 +54,32 @@ def sign_hash(v: Column) -> Column:
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     bits = F.transform(F.slice(v, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(none))
     return F.aggregate(bits, none, lambda acc, b: acc.bitwiseOR(b))
+
+
+def dhash(grey: Column, width: Column, height: Column) -> Column:
+    """64 bits of a picture's gradient: its grey values (rows one after another) are averaged in a grid of 9 x 8 areas, and
+    each bit says whether an area is lighter than the one to its right, from the lowest bit on by rows.
+
+    An area has a row and a column at least, so small pictures repeat them; missing values count as 0. Null for no width
+    or height.
+    """
+    ends = lambda i, n, size: (F.floor(F.lit(i) * size / n), F.greatest(F.floor(F.lit(i + 1) * size / n), F.floor(F.lit(i) * size / n) + 1))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def area(x: int, y: int) -> Column:
+        (x0, x1), (y0, y1) = ends(x, 9, width), ends(y, 8, height)
+        row = lambda r: F.aggregate(F.slice(grey, (r * width + x0 + 1).cast("int"), (x1 - x0).cast("int")), zero, lambda s, v: s + F.coalesce(v.cast("long"), zero))
+        total = F.aggregate(F.transform(F.sequence(y0, y1 - 1), row), zero, lambda s, v: s + v)
+        return F.struct(total.alias("sum"), ((x1 - x0) * (y1 - y0)).alias("n"))
+
+    def bits(areas: Column) -> Column:
+        out = zero
+        for y in range(8):
+            for x in range(8):
+                left, right = areas[y * 9 + x], areas[y * 9 + x + 1]
+                out = out.bitwiseOR(F.when(left["sum"] * right["n"] > right["sum"] * left["n"], F.shiftleft(one, y * 8 + x)).otherwise(zero))
+        return out
+
+    areas = F.array(*(area(x, y) for y in range(8) for x in range(9)))
+    # areas are computed once: a lambda binds them
+    return F.when((width > 0) & (height > 0), F.element_at(F.transform(F.array(areas), bits), 1))

@@ -6,14 +6,16 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import fields
 from lodestone.functions import predicates as P
 from lodestone.functions import records as R
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import audit, catalog, jobs, knn, search, segments, textindex
+from lodestone.operators import audit, batching, catalog, jobs, knn, search, segments, textindex
 from lodestone.plans.decompose import Plan
 from lodestone.queries import _ANY_SCRIPT, _COS, _JOBS, _R6, _SCORE, _axes, _files, _index, _jobs, _now, _t, _texts, _vector, _vectors, query
 from lodestone.sources.shared import shared_path
+from lodestone.streaming import monitor, sessions
 
 # ------------------------------------------------------------------ search
 
@@ -123,6 +125,36 @@ def f9_subset_scores(s, d):
     return search.enrich(pool, c, {}, ["of the"]).where("M_score is not null").select("id", F.round("M_score", 6).alias("norm"))
 
 
+# ------------------------------------------------------------------ search fields
+
+_TREE = "list_concat(flatten([['g' || k || '_' || id, 'g' || k] FOR k IN range(n, 0, -1)]), ['leaf' || id, 'leaf'], CASE WHEN n > 0 THEN ['side'] ELSE [] END, ['side' || k FOR k IN range(1, n + 1)])"
+_LAYERS = f"f AS (SELECT *, array_to_string({_TREE}, ' ') AS names FROM (SELECT doc_id AS id, doc_id % 6 AS n, coalesce(lang, 'xx') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents))"
+
+
+def _layered(s, d):
+    """Files with a tree of id % 6 levels below its top, each with a layer beside it."""
+    wrap = lambda acc, k: F.concat(F.lit('{"name": "g'), k, F.lit("_"), "id", F.lit('", "cleaned_name": "g'), k, F.lit('", "children": ['), acc, F.lit(', {"name": "side", "cleaned_name": "side'), k, F.lit('"}]}'))
+    levels = F.filter(F.sequence(F.lit(1), F.lit(5)), lambda k: k <= F.col("id") % 6)
+    tree = F.aggregate(levels, F.concat(F.lit('{"name": "leaf'), F.col("id"), F.lit('", "cleaned_name": "leaf"}')), wrap)
+    return _files(s, d).select("id", F.coalesce("lang", F.lit("xx")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"), tree.alias("tree"))
+
+
+@query(f"WITH {_LAYERS} SELECT id, names FROM f")
+def f3_layer_names(s, d):
+    return _layered(s, d).select("id", F.array_join(fields.layer_tree_names(F.col("tree")), " ").alias("names"))
+
+
+@query(f"""WITH {_LAYERS} SELECT id, concat_ws(' ', 'f_' || id || '.psd', names, nullif(source, ''), 'Arial ' || lang, 'a t' || (id % 3), nullif(text, '')) AS strong,
+'hero ' || lang || ' x' || id || ' hero ' || lang || ' Start ' || lang || CASE WHEN source <> '' THEN ' ' || source ELSE '' END || ' f1 ' || lang || ' flat' AS weak FROM f""")
+def f1_f2_search_fields(s, d):
+    x = _layered(s, d)
+    meta = F.concat(F.lit('{"layer_tree": '), "tree", F.lit(', "semantic_tags": "'), "source", F.lit('", "used_fonts": ["Arial", "'), "lang", F.lit('"], "text_content": ["Start", "'), "lang", F.lit('"]}'))
+    path = F.concat(F.lit("/assets/Hero_"), "lang", F.lit("/v2/x"), "id", F.lit(".png"))
+    strong = fields.strong_field(F.concat(F.lit("f_"), "id", F.lit(".psd")), meta, F.concat(F.lit('["a", "t'), F.col("id") % 3, F.lit('"]')), F.col("text"))
+    weak = fields.weak_field(path, F.concat(F.lit("Hero_"), "lang"), F.lit(None).cast("string"), meta, F.col("source"), F.lit('["f1"]'), F.col("lang"), F.lit(None).cast("string"), F.lit("flat"))
+    return x.select("id", strong.alias("strong"), weak.alias("weak"))
+
+
 # ------------------------------------------------------------------ names, paths, records
 
 _NAMES = {0: ("Layer {} copy 2", ""), 1: ("Character_Body_{}", "Character Body"), 2: ("Levels {}", ""), 3: ("{} hero_run-", "hero run"), 4: ("グループ {}", ""), 5: ("Sky のコピー {}", "Sky"), 6: ("copyright {}", "copyright")}
@@ -332,6 +364,56 @@ def m18_w7_batch_growth(s, d):
     return jobs.batch_growth(steps).select("step", "verdict")
 
 
+@query(None)
+def m18_batch_sizes(s, d):
+    """The next batch's size after each event of a user, by its rate. Each step depends on all before it: no SQL."""
+    steps = _t(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("rate"), (F.col("event_id") % 20 / 22.0).alias("load"))
+    return batching.batch_sizes(steps)
+
+
+_SILENCE = 6 * 3600 * 1_000_000
+_SESSIONS = f"""WITH e AS (SELECT user_id AS session, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, CASE WHEN event_type IN ('view', 'click') THEN 'heartbeat' WHEN event_type = 'purchase' THEN 'command' ELSE 'phase' END AS kind, CASE WHEN event_type = 'purchase' THEN 'c' || event_id ELSE event_type END AS value FROM events),
+u AS (SELECT epoch_ms(max(ts)) * 1000 AS until FROM events), k AS (SELECT e.* FROM e, u WHERE us <= until),
+w AS (SELECT *, max(CASE WHEN kind = 'heartbeat' THEN rn END) OVER b AS prev_b, max(CASE WHEN kind = 'command' THEN rn END) OVER b AS prev_c FROM k WINDOW b AS (PARTITION BY session ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT session, us, lead(us) OVER (PARTITION BY session ORDER BY rn) AS next FROM k WHERE kind = 'heartbeat')
+SELECT w.session, make_timestamp(w.us) AS ts, 'handed' AS what, c.value FROM w JOIN k c ON c.session = w.session AND c.rn = w.prev_c WHERE w.kind = 'heartbeat' AND w.prev_c > coalesce(w.prev_b, 0)
+UNION ALL SELECT session, make_timestamp(us + {_SILENCE}), 'timeout', NULL FROM h, u WHERE us + {_SILENCE} < least(coalesce(next, until), until)
+UNION ALL SELECT session, make_timestamp(min(us)), 'phase', value FROM k WHERE kind = 'phase' GROUP BY session, value"""
+
+
+def _session_events(events):
+    kind = F.when(F.col("event_type").isin("view", "click"), "heartbeat").when(F.col("event_type") == "purchase", "command").otherwise("phase")
+    value = F.when(F.col("event_type") == "purchase", F.concat(F.lit("c"), "event_id")).otherwise(F.col("event_type"))
+    return events.select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), kind.alias("kind"), value.alias("value"))
+
+
+@query(_SESSIONS)
+def m3_m8_m10_session_log(s, d):
+    """Commands handed out once, timeouts, and the first of each phase, from the whole log."""
+    e = _session_events(_t(s, d, "events"))
+    until = e.agg(F.max(F.unix_millis("ts"))).first()[0] or 0
+    return sessions.sessions_log(e, until * 1000, _SILENCE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(_SESSIONS)
+def m3_m8_m10_session_stream(s, d):
+    """The same from a stream with state and timers, run to the end of what there is."""
+    stream = monitor.read_events(s, f"{d}/events*.parquet", _t(s, d, "events").schema)
+    return sessions.drain_sessions(_session_events(stream), shared_path(s, "sessions"), _SILENCE, "0 seconds").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT doc_id AS id, lang, n_chars, CASE WHEN coalesce(lang, '') IN ('fr', '') THEN 'lang' WHEN NOT coalesce(n_chars >= 500, false) THEN 'n_chars' END AS reason FROM documents")
+def s16_stream_writer(s, d):
+    """A stream of files is written with checks; what is rejected has the reason. Its only batch is then given again."""
+    path, schema = shared_path(s, "written"), _t(s, d, "documents").schema
+    rows = lambda df: df.select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    writer = monitor.Writer(path, "id", {"lang": ~F.col("lang").isin("fr", ""), "n_chars": F.col("n_chars") >= 500})
+    writer.start(rows(monitor.read_events(s, f"{d}/documents*.parquet", schema))).awaitTermination()
+    writer(rows(_t(s, d, "documents")).limit(1), 0)
+    written = monitor.read_written(s, path).withColumn("reason", F.lit(None).cast("string"))
+    return written.unionByName(monitor.read_rejected(s, path).select(written.columns))
+
+
 @query("SELECT n_nationkey AS session, CASE WHEN n_nationkey IN (SELECT user_id FROM events) THEN 'stop' END AS handed, CASE WHEN n_nationkey NOT IN (SELECT user_id FROM events) THEN 'stop' END AS pending_command FROM nation")
 def m10_pending_command(s, d):
     sessions = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("session"), F.lit("stop").alias("pending_command"))

@@ -241,3 +241,20 @@ def test_paths_and_negation_in_queries():
     assert fallback("사람이 없는 숲").excluded == ["사람"] and fallback("사람이 없는 숲").vector_query == "숲"
     assert fallback("고양이 말고 개").excluded == ["고양이"] and fallback("밤이 아닌 하늘").excluded == ["밤"]
     assert fallback("night other than city").excluded == ["city"] and parse_response('{"negative_query": "people"}', "사람 없는 숲").excluded == []
+
+
+def test_dhash_by_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for i, (w, h) in enumerate([(9, 8), (32, 20), (7, 3), (1, 1), (100, 41), (40, 40), (40, 40), (0, 4)]):
+        flat = [9] * (w * h) if i == 5 else [y * w + x for y in range(h) for x in range(w)] if i == 6 else [rng.randrange(256) for _ in range(w * h)]
+        rows.append((i, flat, w, h))
+    want = {}
+    for i, grey, w, h in rows:
+        if w and h:
+            area = lambda x, y: [grey[r * w + c] for r in range(y * h // 8, max((y + 1) * h // 8, y * h // 8 + 1)) for c in range(x * w // 9, max((x + 1) * w // 9, x * w // 9 + 1))]  # noqa: E731, B023
+            mean = lambda x, y: sum(area(x, y)) / len(area(x, y))  # noqa: E731, B023
+            value = sum(1 << y * 8 + x for y in range(8) for x in range(8) if mean(x, y) > mean(x + 1, y))
+            want[i] = value - (1 << 64) if value >> 63 else value
+    got = {r.i: r.h for r in spark.createDataFrame(rows, "i int, grey array<int>, w int, h int").select("i", V.dhash(F.col("grey"), F.col("w"), F.col("h")).alias("h")).collect()}
+    assert got == want | {7: None} and got[5] == 0 and got[6] == 0
+    assert one(spark, V.dhash(F.array(*(F.lit(9 - i % 9) for i in range(72))), F.lit(9), F.lit(8)))[0] == -1
