@@ -65,3 +65,18 @@ def active(now: Column, hours: Column, days: Column, zone: str | None = None) ->
     within = F.when(start <= end, (second >= start) & (second <= end)).otherwise((second >= start) | (second <= end))
     day = (F.size(F.coalesce(days, F.array().cast("array<int>"))) == 0) | F.array_contains(days, F.weekday(local) + 1)
     return F.coalesce(day, F.lit(True)) & F.when(F.coalesce(valid, F.lit(False)), within).otherwise(True)
+
+
+# Tiers whose text vectors are of one model, by that model; all share the visual one.
+TEXT_MODELS = {"standard": "small", "pro": "small", "ultra": "large"}
+
+
+def tier_action(stored: Column, current: Column, stored_dim: Column, current_dim: Column) -> Column:
+    """What moving a catalog to another tier asks for: none, mv_only (text vectors anew) or block.
+
+    An empty catalog (null tier) asks for nothing, an unknown tier blocks. Visual vectors of another length than the
+    tier's block too, where both lengths are known.
+    """
+    model = F.create_map(*(F.lit(x) for kv in TEXT_MODELS.items() for x in kv))
+    a, b = F.try_element_at(model, stored), F.try_element_at(model, current)
+    return F.when(stored.isNull(), "none").when(a.isNull() | b.isNull(), "block").when(F.coalesce(stored_dim != current_dim, F.lit(False)), "block").when(a == b, "none").otherwise("mv_only")

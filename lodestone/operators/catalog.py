@@ -44,6 +44,13 @@ def incomplete_roots(files: DataFrame, root: str, caption: str) -> DataFrame:
     return phase_stats(files, F.col(root), caption).where("done < total")
 
 
+def incomplete_totals(files: DataFrame, root: str, caption: str) -> DataFrame:
+    """phase_stats of the roots that aren't done, with incomplete, and total_files and total_incomplete over all roots."""
+    stats = phase_stats(files, F.col(root), caption).withColumn("incomplete", F.col("total") - F.col("done"))
+    whole = stats.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total_files"), F.coalesce(F.sum("incomplete"), F.lit(0)).alias("total_incomplete"))
+    return stats.where("incomplete > 0").crossJoin(F.broadcast(whole))  # one row
+
+
 def effective_root(root: str, path: str, name: str) -> Column:
     return root_of(F.col(root), F.col(path), F.col(name))
 
@@ -67,6 +74,13 @@ def duplicate_groups(files: DataFrame, key: str) -> DataFrame:
     return files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids")).where("n > 1")
 
 
+def duplicate_members(files: DataFrame, key: str) -> DataFrame:
+    """(key, n, place, id): the rows of each key that two or more have, numbered from 1 by id, a row each, so that no key's
+    ids are in one row or counted by one task."""
+    many = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return numbered(files.select(key, "id").join(many, key), [key], ["id"], "place").select(key, "n", "place", "id")
+
+
 def _one_per_key(patch: DataFrame, key: str) -> DataFrame:
     rows = patch.groupBy(key).agg(F.max_by(F.struct("*"), F.to_json(F.struct("*"))).alias("_r"))
     return rows.select("_r.*")
@@ -89,6 +103,20 @@ def upsert(base: DataFrame, patch: DataFrame, key: str, replace: list[str]) -> D
     return base.join(p, base[key] == F.col("_k"), "full_outer").select(*out)
 
 
+# What a new analysis of a file replaces. What users enter is never among it.
+ANALYSIS = (
+    "mc_caption", "ai_tags", "ocr_text", "dominant_color", "ai_style", "metadata", "parsed_at", "folder_path", "folder_depth", "folder_tags",
+    "image_type", "art_style", "color_palette", "scene_type", "time_of_day", "weather", "character_type", "item_type", "ui_type", "structured_meta",
+    "storage_root", "relative_path", "embedding_model", "embedding_version", "perceptual_hash", "dup_group_id",
+    "mode_tier", "caption_model", "text_embed_model", "runtime_version", "preprocess_params",
+)
+
+
+def insert_files(base: DataFrame, patch: DataFrame, now: Column, key: str = "file_path") -> DataFrame:
+    """base with analysed files: new ones whole, known ones with ANALYSIS replaced, null or not, and parsed now."""
+    return upsert(base, patch.withColumn("parsed_at", now), key, [c for c in ANALYSIS if c in base.columns])
+
+
 def patch_fields(base: DataFrame, patch: DataFrame, key: str, allowed: list[str]) -> DataFrame:
     """base with the allowed columns of patch where patch has a value; unknown keys and other columns are ignored."""
     columns, patch = [c for c in allowed if c in patch.columns], _one_per_key(patch, key)

@@ -168,14 +168,41 @@ def shape(rows: DataFrame) -> DataFrame:
     return rows.select("id", "place", score.alias("combined_score"), F.round(score / BEST_RRF * 100, 1).alias("percent"), *(F.col(f"{a}_score") for a in AXES), F.coalesce("quality", F.lit(0.0)).alias("quality"))
 
 
+# What a result row holds of its file, in this order.
+RESULT_COLUMNS = (
+    "id", "file_path", "file_name", "format", "width", "height", "mc_caption", "ai_tags", "ocr_text", "metadata", "thumbnail_url",
+    "user_note", "user_tags", "user_category", "user_rating", "folder_path", "folder_depth", "folder_tags", "storage_root", "relative_path",
+    "image_type", "art_style", "color_palette", "scene_type", "time_of_day", "weather", "character_type", "item_type", "ui_type",
+)
+
+
+def project(rows: DataFrame, *scores: str) -> DataFrame:
+    """The columns of a result, those that the catalog lacks as null, and the scores; no others are read."""
+    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS), *scores)
+
+
+def page_after(rows: DataFrame, key: str, last: tuple | None, size: int, id_column: str = "id") -> DataFrame:
+    """The next `size` rows by falling key, then id, after the last one's (key, id); from the start for None.
+
+    The place is a condition on the columns, which reaches the scan, so a page costs no more the further on it is, and
+    rows that come or go before it neither repeat others nor hide them. Rows of a null key come last.
+    """
+    if last is not None:
+        value, i = F.lit(last[0]), F.col(id_column) > F.lit(last[1])
+        after = (F.col(key).isNull() & i) if last[0] is None else (F.col(key) < value) | ((F.col(key) == value) & i) | F.col(key).isNull()
+        rows = rows.where(after)
+    return rows.orderBy(F.desc_nulls_last(key), id_column).limit(size)
+
+
 def by_metadata(corpus: Corpus, filters: dict, top_k: int) -> DataFrame:
     """Filters alone, the last parsed first."""
     return corpus.files.where(conditions(corpus.files, filters, True)).orderBy(F.desc("parsed_at"), "id").limit(top_k)
 
 
 def search(mode: str, corpus: Corpus, queries: dict[str, list[float]] | None = None, plan: Plan | None = None, top_k: int = 20, **how) -> DataFrame:
-    """The search of a mode: vector, meaning, structure, image, multi_image_and, multi_image_or, hybrid, metadata, fts
-    or triaxis. Unknown modes are refused."""
+    """The search of a mode: vector, meaning, structure, image, multi_image_and, multi_image_or, hybrid, metadata, fts,
+    similar and similar_structure (to the file how["id"], itself left out), image_text (how["vectors"] are images, the
+    text's vectors and plan as for triaxis) or triaxis. Unknown modes are refused."""
     queries, filters = queries or {}, how.get("user_filters") or {}
     one = {"vector": "V", "image": "V", "meaning": "S", "structure": "X"}
     if mode in one:
@@ -184,6 +211,11 @@ def search(mode: str, corpus: Corpus, queries: dict[str, list[float]] | None = N
     if mode in ("multi_image_and", "multi_image_or"):
         vectors = how["vectors"]
         return knn.nearest(corpus.vectors["V"], knn.mean_vector(vectors), top_k) if mode == "multi_image_and" else knn.nearest_to_any(corpus.vectors["V"], vectors, top_k)
+    if mode in ("similar", "similar_structure"):
+        return knn.similar_to(corpus.vectors["V" if mode == "similar" else "X"], how["id"], top_k, how.get("threshold", 0.0))
+    if mode == "image_text":
+        images = how.pop("vectors")
+        return composed(corpus, {**queries, "V": knn.mean_vector(images)}, plan, top_k, **how)
     if mode == "hybrid":
         able = corpus.files.where(conditions(corpus.files, filters, True)).select("id")
         return knn.nearest(corpus.vectors["V"].join(able, "id", "left_semi"), queries["V"], top_k, how.get("threshold", 0.0))

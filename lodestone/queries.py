@@ -7,6 +7,7 @@ labels the user's ratings, events the job log, conversations the layers, pages t
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import predicates as P
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import catalog, fusion, jobs, knn, reconcile, segments, textindex
+from lodestone.operators import catalog, fusion, jobs, knn, reconcile, search, segments, textindex, vectorindex
 from lodestone.operators.ranking import numbered
 from lodestone.plans.decompose import weights
 from lodestone.sources.shared import shared_path
@@ -76,6 +77,25 @@ def v6_similar_by_id(s, d):
     return knn.similar_to(_vectors(s, d), 3, 10).select("id", _R6("similarity"))
 
 
+_CELLS: dict[tuple[str, str], vectorindex.Cells] = {}
+
+
+def _cells(s, d):
+    """The vectors stored by cells, written by the first query of a session that asks for them."""
+    key = s.sparkContext.applicationId, d
+    if key not in _CELLS:
+        _CELLS[key] = vectorindex.write(_vectors(s, d), shared_path(s, "cells"))
+    return _CELLS[key]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT {i} AS q, vec_id AS id, round({_COS.format(i)}, 6) AS similarity FROM embeddings WHERE {_COS.format(i)} >= 0 ORDER BY {_COS.format(i)} DESC, vec_id LIMIT 10)" for i in QUERY_IDS))
+def v1_pruned_knn(s, d):
+    """The nearest of some vectors from the stored cells that may hold them."""
+    cells = _cells(s, d)
+    got = [cells.nearest(_vector(s, d, i), 10).select(F.lit(i).alias("q"), "id", _R6("similarity")) for i in QUERY_IDS]
+    return got[0].unionByName(got[1]).unionByName(got[2])
+
+
 @query("""WITH q AS (SELECT [x / sqrt(list_sum(list_transform(m, lambda y: y * y))) FOR x IN m] AS v FROM (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id IN (0, 1, 2)) GROUP BY i)))
 SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q WHERE list_cosine_similarity(embedding::DOUBLE[], v) >= 0 ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id LIMIT 10""")
 def v7_multi_vector_and(s, d):
@@ -286,6 +306,21 @@ def p20_t7_paging(s, d):
     return page.crossJoin(F.broadcast(o.agg(F.count("*").alias("total"))))  # one row
 
 
+@query("SELECT o_orderkey AS id, (rn - 1) // 40 AS page FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'F') WHERE rn <= 120")
+def t12_keyset_pages(s, d):
+    """Three pages, each after the last row of the one before."""
+    o = _t(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    pages, last = [], None
+    for i in range(3):
+        page = search.page_after(o, "price", last, 40)
+        end = page.orderBy("price", F.desc("id")).first()
+        pages.append(page.select("id", F.lit(i).cast("long").alias("page")))
+        if end is None:
+            break
+        last = end["price"], end["id"]
+    return reduce(DataFrame.unionByName, pages)
+
+
 # ------------------------------------------------------------------ catalog
 
 

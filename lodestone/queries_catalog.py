@@ -105,6 +105,36 @@ def r22_hybrid_mode(s, d):
     return search.search("hybrid", _corpus(s, d), _queries(s, d), top_k=10, user_filters={"image_type": "fr"}, threshold=0.02).select("id", _R6("similarity"))
 
 
+@query(f"SELECT 'similar' AS mode, * FROM (SELECT vec_id AS id, round({_COS.format(3)}, 6) AS similarity FROM embeddings WHERE vec_id <> 3 AND {_COS.format(3)} >= 0 ORDER BY {_COS.format(3)} DESC, vec_id LIMIT 10) UNION ALL SELECT 'similar_structure', * FROM (SELECT vec_id, round({_COS.format(4)}, 6) FROM embeddings WHERE vec_id <> 4 AND {_COS.format(4)} >= 0.05 ORDER BY {_COS.format(4)} DESC, vec_id LIMIT 10)")
+def r22_by_id_modes(s, d):
+    c = _corpus(s, d)
+    a = search.search("similar", c, top_k=10, id=3)
+    b = search.search("similar_structure", c, top_k=10, id=4, threshold=0.05)
+    parts = [x.select(F.lit(m).alias("mode"), "id", _R6("similarity")) for m, x in (("similar", a), ("similar_structure", b))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT text, count(*) OVER (PARTITION BY text) AS n, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS place, doc_id AS id FROM documents WHERE text IS NOT NULL QUALIFY n > 1")
+def a16_duplicate_members(s, d):
+    return catalog.duplicate_members(_files(s, d), "text")
+
+
+@query("""WITH f AS (SELECT coalesce(source, '') AS root, count(*) AS total, count(*) FILTER (doc_id % 7 <> 0 AND coalesce(text, '') <> '') AS mc, count(*) FILTER (doc_id IN (SELECT vec_id FROM embeddings)) AS vv FROM documents GROUP BY 1)
+SELECT root, total, least(mc, vv) AS done, total - least(mc, vv) AS incomplete, (SELECT sum(total) FROM f)::BIGINT AS total_files, (SELECT sum(total - least(mc, vv)) FROM f)::BIGINT AS total_incomplete FROM f WHERE total > least(mc, vv)""")
+def a6_incomplete_totals(s, d):
+    x = _axes(s, d).withColumn("root", F.coalesce("source", F.lit("")))
+    return catalog.incomplete_totals(x.withColumn("has_mv", F.col("has_vv")), "root", "caption").select("root", "total", "done", "incomplete", "total_files", "total_incomplete")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'none' WHEN c_custkey % 6 = 5 OR c_custkey % 5 = 4 OR c_custkey % 11 = 0 THEN 'block' WHEN (c_custkey % 6 IN (3, 4)) = (c_custkey % 5 = 3) THEN 'none' ELSE 'mv_only' END AS action FROM customer")
+def u22_tier_actions(s, d):
+    tiers = F.array(*map(F.lit, ("standard", "pro", "ultra", "ultra", "other")))
+    k = F.col("c_custkey")
+    now = F.element_at(F.array(*map(F.lit, ("standard", "pro", "pro", "ultra", "none"))), (k % 5 + 1).cast("int"))
+    stored = F.when(k % 6 > 0, F.element_at(tiers, (k % 6).cast("int")))
+    return _t(s, d, "customer").select(k.alias("id"), R.tier_action(stored, now, F.lit(768), F.when(k % 11 == 0, 64).otherwise(768)).alias("action"))
+
+
 @query(f"WITH {_ANY_SCRIPT}, hits AS (SELECT * FROM post WHERE token IN ('fur', 'src3', 'thand')), {_SCORE} SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
 def f6_stored_index(s, d):
     """An index that gets a third of the documents at first, then others, some of them changed; some go, segments merge."""

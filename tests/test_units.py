@@ -258,3 +258,46 @@ def test_dhash_by_brute_force(spark):
     got = {r.i: r.h for r in spark.createDataFrame(rows, "i int, grey array<int>, w int, h int").select("i", V.dhash(F.col("grey"), F.col("w"), F.col("h")).alias("h")).collect()}
     assert got == want | {7: None} and got[5] == 0 and got[6] == 0
     assert one(spark, V.dhash(F.array(*(F.lit(9 - i % 9) for i in range(72))), F.lit(9), F.lit(8)))[0] == -1
+
+
+def test_pruned_neighbours(spark, tmp_path):
+    """The rows of a scan from a part of the cells, where vectors lie in clusters; from all, if need be, where they don't."""
+    from lodestone.operators import knn, vectorindex
+
+    rng = random.Random(3)
+    heads = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(30)]
+    near = [(i, [x + rng.gauss(0, 0.05) for x in heads[i % 30]]) for i in range(900)]
+    near += [(900, near[0][1]), (901, [0.0] * 8), (902, None)]
+    loose = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    for name, rows in (("near", near), ("loose", loose)):
+        v = spark.createDataFrame(rows, "id long, embedding array<double>")
+        cells = vectorindex.write(v, str(tmp_path / name))
+        for q, k in ((rows[0][1], 15), (rows[7][1], 3), (loose[3][1], 40), ([0.0] * 8, 3)):
+            same = lambda df: [(r.id, round(r.similarity, 12)) for r in df.collect()]
+            assert same(cells.nearest(q, k)) == same(knn.nearest(v, q, k))
+        if name == "near":
+            assert len(cells.cell) > 20 and len(cells.needed(rows[7][1], 10)) < len(cells.cell) / 3
+    none = vectorindex.write(spark.createDataFrame([], "id long, embedding array<double>"), str(tmp_path / "none"))
+    assert none.nearest([1.0], 3).count() == 0
+
+
+def test_pages_while_rows_come(spark):
+    from lodestone.operators.search import page_after
+
+    rows = [(i, v) for i, v in enumerate([5.0, None, 3.0, 5.0, 1.0, 3.0, None, 2.0])]
+    seen, last, df = [], None, spark.createDataFrame(rows, "id long, s double")
+    for step in range(9):
+        page = page_after(df, "s", last, 2).collect()
+        seen += [r.id for r in page]
+        if not page:
+            break
+        last = page[-1].s, page[-1].id
+        df = df.unionByName(spark.createDataFrame([(100 + step, 9.0)], "id long, s double"))  # before the place
+    assert seen == [0, 3, 2, 5, 7, 4, 1, 6]
+
+
+def test_new_analysis_keeps_what_users_entered(spark):
+    base = spark.createDataFrame([("a", "old", "n", 3), ("b", "b", "m", None)], "file_path string, mc_caption string, user_note string, user_rating int")
+    patch = spark.createDataFrame([("a", None, "x", 5), ("c", "new", "y", 1)], "file_path string, mc_caption string, user_note string, user_rating int")
+    got = catalog.insert_files(base, patch, F.lit("now"))
+    assert sorted(map(tuple, got.collect())) == [("a", None, "n", 3), ("b", "b", "m", None), ("c", "new", "y", 1)]
