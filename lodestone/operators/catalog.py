@@ -82,8 +82,13 @@ def duplicate_members(files: DataFrame, key: str) -> DataFrame:
 
 
 def _one_per_key(patch: DataFrame, key: str) -> DataFrame:
-    rows = patch.groupBy(key).agg(F.max_by(F.struct("*"), F.to_json(F.struct("*"))).alias("_r"))
-    return rows.select("_r.*")
+    """The patch with one row of each key, the last as JSON. Keys alone are counted; only rows of repeated ones are compared."""
+    several = cut(patch.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_k"))
+    if several.isEmpty():
+        return patch
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    rows = patch.join(several, same, "left_semi").groupBy(key).agg(F.max_by(F.struct("*"), F.to_json(F.struct("*"))).alias("_r"))
+    return patch.join(several, same, "left_anti").unionByName(rows.select("_r.*"))
 
 
 def upsert(base: DataFrame, patch: DataFrame, key: str, replace: list[str]) -> DataFrame:

@@ -22,14 +22,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: st
     """
     plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
     sizes = df.groupBy(F.xxhash64(*keys).alias("_h") if keys else F.lit(0).cast("long").alias("_h")).agg(F.count("*").alias("_n"))
-    if keys:
-        sizes = cut(sizes)
     total, largest = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     limit = max(most, total >> 17)
     if largest <= limit:
         return df.withColumn(name, plain)
     key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
-    hot = F.broadcast(sizes.where(F.col("_n") > limit).select("_h"))
+    hot = F.broadcast(cut(sizes.where(F.col("_n") > limit).select("_h")))
     rows = df.withColumn("_h", key)
     many = rows.join(hot, "_h", "left_semi").drop("_h")
     width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // limit))

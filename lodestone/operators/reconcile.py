@@ -26,10 +26,12 @@ def sync_plan(disk: DataFrame, catalog: DataFrame) -> DataFrame:
     Equal paths are matched. Of the rest, the i-th disk path of a hash moved from the i-th catalog path; what is then
     over is new on disk or missing there.
     """
-    both = disk.select("path").join(catalog.select("path"), "path", "left_semi")
-    matched = both.join(disk, "path").select(F.lit("matched").alias("state"), "hash", F.col("path").alias("disk_path"), F.col("path").alias("catalog_path"))
-    d = nth(disk.join(both, "path", "left_anti"), "hash", ["path"]).select(F.col("hash").alias("h1"), F.col("rn").alias("r1"), F.col("path").alias("disk_path"))
-    c = nth(catalog.join(both, "path", "left_anti"), "hash", ["path"]).select(F.col("hash").alias("h2"), F.col("rn").alias("r2"), F.col("path").alias("catalog_path"))
+    both = disk.select(F.col("path").alias("disk_path"), F.col("hash").alias("h1")).join(catalog.select(F.col("path").alias("catalog_path"), F.col("hash").alias("h2")), F.col("disk_path") == F.col("catalog_path"), "full_outer")
+    # one join tells the three apart; its rows are read for each
+    both = cut(both)
+    matched = both.where("disk_path is not null and catalog_path is not null").select(F.lit("matched").alias("state"), F.col("h1").alias("hash"), "disk_path", "catalog_path")
+    d = nth(both.where("catalog_path is null").select("h1", "disk_path"), "h1", ["disk_path"]).withColumnRenamed("rn", "r1")
+    c = nth(both.where("disk_path is null").select("h2", "catalog_path"), "h2", ["catalog_path"]).withColumnRenamed("rn", "r2")
     rest = d.join(c, (F.col("h1") == F.col("h2")) & (F.col("r1") == F.col("r2")), "full_outer")
     state = F.when(F.col("catalog_path").isNull(), "new").when(F.col("disk_path").isNull(), "missing").otherwise("moved")
     return matched.unionByName(rest.select(state.alias("state"), F.coalesce("h1", "h2").alias("hash"), "disk_path", "catalog_path"))

@@ -88,9 +88,9 @@ def r7_single_axis(s, d):
     return rows.select("id", "rrf", F.round("first", 6).alias("combined_score"), place.cast("long").alias("idx"))
 
 
-@query(f"WITH x AS (SELECT vec_id AS id, {_COS.format(0)} AS vs FROM embeddings ORDER BY vec_id LIMIT 40) SELECT id, round(vs, 6) AS combined_score, round(vs / 0.01639 * 100, 1) AS percent, 0.0 AS quality FROM x")
+@query(f"WITH x AS (SELECT vec_id AS id, {_COS.format(0)} AS vs FROM embeddings) SELECT id, round(vs, 6) AS combined_score, round(vs / 0.01639 * 100, 1) AS percent, 0.0 AS quality FROM x")
 def r23_p24_shape(s, d):
-    v = knn.scored(_vectors(s, d).orderBy("id").limit(40), _vector(s, d, 0), None)
+    v = knn.scored(_vectors(s, d), _vector(s, d, 0), None)
     rows = v.select("id", F.lit(None).cast("double").alias("rrf"), F.col("similarity").alias("V_score"), *(F.lit(None).cast("double").alias(c) for c in ("S_score", "X_score", "M_score", "quality")), F.lit(1).alias("place"))
     return search.shape(rows).select("id", F.round("combined_score", 6).alias("combined_score"), "percent", "quality")
 
@@ -215,6 +215,16 @@ def u7_split_root(s, d):
     return _t(s, d, "pages").select(F.col("page_id").alias("id"), T.split_root(path).alias("r")).select("id", "r.*")
 
 
+@query(r"""SELECT page_id AS id, len(string_split(url, '/')) AS depth, CASE WHEN instr(url, '/assets/') > 0 THEN substr(url, 1, instr(url, '/assets/') - 1) ELSE regexp_extract(url, '^(.*)/[^/]*$', 1) END AS storage_root,
+CASE WHEN instr(url, '/assets/') > 0 THEN regexp_replace(substr(url, instr(url, '/assets/')), '^/+', '') ELSE regexp_extract(url, '([^/]*)$', 1) END AS relative_path,
+trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', ''), '[_-]+', ' ', 'g')) AS tags FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '/([^/]*)$', '/assets/\1') ELSE url END AS url FROM pages)""")
+def u5_u7_u8_url_parts(s, d):
+    """Roots, relative paths, depths and name tags of the pages' own urls."""
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "/([^/]*)$", "/assets/$1")).otherwise(F.col("url"))
+    x = _t(s, d, "pages").select(F.col("page_id").alias("id"), url.alias("url")).withColumn("r", T.split_root(F.col("url")))
+    return x.select("id", T.folder_depth(F.col("url")).cast("long").alias("depth"), "r.storage_root", "r.relative_path", T.name_tags(F.regexp_extract("url", "([^/]*)$", 1)).alias("tags"))
+
+
 @query("""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'c' || event_id WHEN 1 THEN 'd' || event_id WHEN 2 THEN 'e' || event_id WHEN 3 THEN 'plain ' || event_id ELSE '' END AS caption,
 CASE event_id % 5 WHEN 0 THEN 'ui' WHEN 4 THEN 'photo' ELSE 'other' END AS image_type, CASE event_id % 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n_tags FROM events""")
 def u17_json_repair(s, d):
