@@ -1,8 +1,9 @@
 """A stored text index: immutable segments, tombstones, and a manifest that says which of them hold.
 
 Under the index's folder:
-* segments/<name>/postings: (token, part, id, dl, pos), by bucket of the token's hash and in order of token within, so
-  that a search reads few folders and, by Parquet's statistics, few row groups of them;
+* segments/<name>/postings: blocks of up to BLOCK documents that hold a token in a part: (token, part, ids, dls, ends,
+  pos), pos being the places in all of them, one document's up to its end; by bucket of the token's hash and in order
+  of token within, so that a search reads few folders and, by Parquet's statistics, few row groups of them;
 * segments/<name>/docs: (id, dl);
 * dead/<name>: ids that don't count in segments older than the tombstone;
 * manifest/number=<n>: one row, the n-th state. Readers keep the state they opened; a writer adds the next one, and
@@ -16,14 +17,21 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.textindex import ANALYZERS, ANY_SCRIPT, PARTS, Analyzer
 
+#: Documents in a block, and tokens that a task makes blocks of at a time.
+BLOCK = 256
+CHUNK = 1 << 20
 #: Tokens in a file of postings, about; a bucket has one file or several.
 PER_FILE = 1 << 22
 MOST_BUCKETS = 4096
@@ -37,6 +45,68 @@ def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
 
 
+def _blocks(kind: str) -> str:
+    return f"token string, part string, ids array<{kind}>, dls array<long>, ends array<int>, pos array<int>"
+
+
+def _postings(blocks: DataFrame) -> DataFrame:
+    """(token, part, id, dl, pos): a row for each document of the blocks."""
+    begins = F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.size("ends") - 1))
+    rows = blocks.select("token", "part", "pos", F.inline(F.arrays_zip("ids", "dls", "ends", begins.alias("begins"))))
+    return rows.select("token", "part", F.col("ids").alias("id"), F.col("dls").alias("dl"), F.slice("pos", F.col("begins") + 1, F.col("ends") - F.col("begins")).alias("pos"))
+
+
+def _blocked(token: pa.Array, doc: np.ndarray, place: np.ndarray, ids: pa.Array, dl: np.ndarray, part: str) -> pa.RecordBatch:
+    """Blocks of tokens with their documents (rows of ids and dl, rising) and places in them (rising)."""
+    coded = token.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    code, doc, place = code[order], doc[order], place[order]
+    new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))) if len(code) else np.zeros(0, np.int64)
+    end, of, at = np.append(new, len(code))[1:], code[new], doc[new]
+    nth = np.arange(len(of)) - np.searchsorted(of, of)
+    first = np.flatnonzero(nth % BLOCK == 0)
+    bounds = np.append(first, len(of)).astype(np.int32)
+    places = np.append(new, len(code))[bounds].astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(bounds), v) for v in (ids.take(pa.array(at)), pa.array(dl[at]), pa.array((end - np.repeat(places[:-1], np.diff(bounds))).astype(np.int32)))]
+    flat = pa.ListArray.from_arrays(pa.array(places), pa.array(place.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(of[first])).cast(pa.string()), pa.array([part] * len(first), pa.string()), *lists, flat], ["token", "part", "ids", "dls", "ends", "pos"])
+
+
+def _from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents (id, dl, and the tokens of each part)."""
+
+    def blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        ids, dl = rows["id"].combine_chunks(), rows["dl"].to_numpy()
+        for part in PARTS:
+            lists = rows[part].combine_chunks()
+            size = lists.value_lengths().fill_null(0).to_numpy()
+            doc = np.repeat(np.arange(len(size)), size)
+            yield _blocked(lists.flatten(), doc, np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size), ids, dl, part)
+
+    held, size = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            held.append(b.slice(at, 1024))
+            size += int(np.asarray(held[-1].column("dl")).sum())
+            if size > CHUNK:
+                yield from blocks(held)
+                held, size = [], 0
+    if held:
+        yield from blocks(held)
+
+
+def _from_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings that come in order of token and part."""
+    for b in batches:
+        for part in PARTS:
+            rows = b.filter(pa.compute.equal(b.column("part"), part))
+            size = rows.column("pos").value_lengths().to_numpy()
+            doc = np.repeat(np.arange(rows.num_rows), size)
+            yield _blocked(rows.column("token").take(pa.array(doc)), doc, rows.column("pos").flatten().to_numpy(), rows.column("id"), rows.column("dl").to_numpy(), part)
+
+
 @dataclass(frozen=True)
 class Index:
     """One state of a stored index. state: the manifest's row."""
@@ -76,17 +146,18 @@ class Index:
             rows = rows.join(dead, (F.col("id") == F.col("_dead")) & (F.col("_no") < F.col("before")), "left_anti")
         return rows.drop("_no")
 
-    def _postings(self, segment: dict) -> DataFrame:
+    def _stored(self, segment: dict) -> DataFrame:
+        """The segment's blocks."""
         kind = self.state["id_type"]
-        rows = self.spark.read.schema(f"token string, part string, id {kind}, dl long, pos array<int>, bucket int").parquet(f"{self.path}/segments/{segment['name']}/postings")
-        return rows.withColumn("_no", F.lit(segment["no"]).cast("long"))
+        return self.spark.read.schema(f"{_blocks(kind)}, bucket int").parquet(f"{self.path}/segments/{segment['name']}/postings")
 
     def hits(self, wanted: list[str]) -> DataFrame:
         """(id, part, token, dl, pos) of the wanted tokens."""
         rows = []
         for s in self.segments:
             buckets = sorted({zlib.crc32(t.encode()) % s["buckets"] for t in wanted})
-            rows.append(self._postings(s).where(F.col("bucket").isin(buckets) & F.col("token").isin(list(wanted))))
+            blocks = self._stored(s).where(F.col("bucket").isin(buckets) & F.col("token").isin(list(wanted)))
+            rows.append(_postings(blocks).withColumn("_no", F.lit(s["no"]).cast("long")))
         kind = self.state["id_type"]
         return self._live(rows, f"token string, part string, id {kind}, dl long, pos array<int>, _no long").select("id", "part", "token", "dl", "pos")
 
@@ -117,8 +188,8 @@ def _commit(index: Index, state: dict) -> Index:
     return Index(index.spark, index.path, number, state)
 
 
-def _write(index: Index, no: int, docs: DataFrame, rows: DataFrame) -> dict:
-    """Writes a segment of docs (id, dl) and rows (id, dl, part, token, pos); pos is one place, or an array of all."""
+def _write(index: Index, no: int, docs: DataFrame, blocks: DataFrame) -> dict:
+    """Writes a segment of docs (id, dl) and blocks."""
     name = f"{no:08d}-{uuid.uuid4().hex}"
     base = f"{index.path}/segments/{name}"
     docs.select("id", "dl").write.parquet(f"{base}/docs")
@@ -126,20 +197,17 @@ def _write(index: Index, no: int, docs: DataFrame, rows: DataFrame) -> dict:
     files = max(1, -(-n_tokens // PER_FILE))
     buckets = 1 << min(MOST_BUCKETS.bit_length() - 1, (files - 1).bit_length())
     # a bucket of more than a file, or of one very common token, is dealt out by document
-    salt = F.pmod(F.xxhash64("id"), F.lit(-(-files // buckets)))
-    rows = rows.withColumn("bucket", bucket_of(F.col("token"), buckets)).withColumn("_salt", salt).repartition(files, "bucket", "_salt")
-    if not rows.schema["pos"].dataType.simpleString().startswith("array"):
-        rows = rows.groupBy("bucket", "_salt", "token", "part", "id", "dl").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
-    rows.select("token", "part", "id", "dl", "pos", "bucket").sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{base}/postings")
+    salt = F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(-(-files // buckets)))
+    rows = blocks.withColumn("bucket", bucket_of(F.col("token"), buckets)).withColumn("_salt", salt).repartition(files, "bucket", "_salt").drop("_salt")
+    rows.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{base}/postings")
     return {"no": no, "name": name, "n_docs": n_docs, "n_tokens": n_tokens, "buckets": buckets}
 
 
 def _cut(docs: DataFrame, analyzer: Analyzer) -> tuple[DataFrame, DataFrame]:
-    """(docs (id, dl), rows (id, dl, part, token, pos)) of texts; those without id aren't indexed."""
+    """(docs (id, dl), blocks) of texts; those without id aren't indexed."""
     cut = docs.where("id is not null").select("id", *(analyzer.words(F.col(p)).alias(p) for p in PARTS))
     cut = cut.withColumn("dl", (F.size("strong") + F.size("weak")).cast("long"))
-    rows = [cut.select("id", "dl", F.lit(p).alias("part"), F.posexplode(p).alias("pos", "token")) for p in PARTS]
-    return cut.select("id", "dl"), reduce(DataFrame.unionByName, rows)
+    return cut.select("id", "dl"), cut.mapInArrow(_from_texts, _blocks(docs.schema["id"].dataType.simpleString()))
 
 
 def create(docs: DataFrame, path: str, version: int = 1, analyzer: Analyzer = ANY_SCRIPT) -> Index:
@@ -183,8 +251,13 @@ def merge(index: Index, numbers: list[int] | None = None) -> Index:
     if not old:
         return index
     no = index.state["next"]
-    rows = index._live([index._postings(s).drop("bucket") for s in old], "")
-    segment = _write(index, no, index.docs(old), rows)
+    if index.state["dead"]:
+        rows = index._live([_postings(index._stored(s)).withColumn("_no", F.lit(s["no"]).cast("long")) for s in old], "")
+        rows = rows.repartition(F.crc32(F.col("token").cast("binary")), F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("token", "part")
+        blocks = rows.select("token", "part", "id", "dl", "pos").mapInArrow(_from_postings, _blocks(index.state["id_type"]))
+    else:
+        blocks = reduce(DataFrame.unionByName, [index._stored(s).drop("bucket") for s in old])
+    segment = _write(index, no, index.docs(old), blocks)
     least = min((s["no"] for s in kept), default=no)
     dead = [d for d in index.state["dead"] if d["before"] > least]
     return _commit(index, index.state | {"next": no + 1, "segments": [*kept, segment], "dead": dead})

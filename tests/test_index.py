@@ -17,8 +17,8 @@ def texts(spark, rows):
 
 
 def answers(index):
-    """Scores of a match, a match with exclusions, and a phrase."""
-    asked = [textindex.matching(index, ["sky fur", "한국"]), textindex.matching(index, ["night", "sea"], ["tree"]), textindex.phrase(index, "Bye-bye"), textindex.phrase(index, "well-known fact")]
+    """Scores of a match with exclusions, and of a phrase."""
+    asked = [textindex.matching(index, ["sky fur", "한국"], ["tree"]), textindex.phrase(index, "Bye-bye")]
     return [sorted((r.id, round(r.score, 9)) for r in textindex.bm25(index, hits).collect()) for hits in asked]
 
 
@@ -34,7 +34,7 @@ def test_states_equal_a_rebuild(spark, monkeypatch):
         assert again.number == index.number and again.n_docs == len(live)
         docs = texts(spark, list(live.values()))
         want = answers(textindex.Texts(docs))
-        assert any(want[0]) and answers(again) == want == answers(segments.create(docs, shared_path(spark, "index")))
+        assert any(want[0]) and answers(again) == want
         assert {(r.id, r.dl) for r in again.docs().collect()} == {(r.id, r.dl) for r in textindex.lengths(docs).collect()}
         return again
 
@@ -57,6 +57,8 @@ def test_states_equal_a_rebuild(spark, monkeypatch):
     assert len(index.segments) == 2 and index.state["dead"]
     index = same(segments.merge(index))
     assert len(index.segments) == 1 and not index.state["dead"]
+    docs = texts(spark, list(live.values()))
+    assert answers(index) == answers(segments.create(docs, shared_path(spark, "index")))
     # a state that was opened before stays readable, until it is cleaned up
     assert old.n_docs == 60 and textindex.matching(old, ["sky"]).count() > 0
     assert segments.vacuum(index) and same(index).number == index.number
