@@ -10,14 +10,14 @@ shingles of items of their size for the threshold get a fingerprint: others can'
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Texts, mix, shingles, sub_batches
+from lodestone.llm.common import Texts, cut, mix, shared_path, shingles, small, sub_batches
 
 WIDTH = 5
 PERCENT = 80
@@ -148,13 +148,13 @@ def _stretches(starts: np.ndarray, k: int) -> list[tuple[int, int]]:
 
 
 def item_blocks(benchmark: DataFrame, percent: int = PERCENT, most: int = BLOCK_BYTES, unnamed: bool = False) -> Iterator[Items]:
-    """The benchmark (item_id, text) in blocks of about `most` bytes, one at a time; the texts of one item_id are in
-    one block. Items without words match nothing. unnamed: items without item_id are in too, as item 0."""
+    """The benchmark (item_id, text) in blocks of about `most` bytes, one at a time, whatever ids its items have; an empty
+    one is a block too. Items without words match nothing. unnamed: items without item_id are in too, as item 0."""
     named = benchmark if unnamed else benchmark.where("item_id is not null")
     rows = named.select(F.coalesce(F.col("item_id").cast("long"), F.lit(0).cast("long")).alias("item_id"), "text").where(F.col("text").isNotNull())
     ids, texts, size = [], [], 0
-    for r in rows.orderBy("item_id").toLocalIterator():
-        if size > most and r["item_id"] != ids[-1]:
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        if size > most:
             yield Items(ids, texts, percent)
             ids, texts, size = [], [], 0
         ids.append(r["item_id"])
@@ -163,13 +163,28 @@ def item_blocks(benchmark: DataFrame, percent: int = PERCENT, most: int = BLOCK_
     yield Items(ids, texts, percent)
 
 
-def _hits(shared) -> Callable:
+def _each_block(rows: DataFrame, blocks: Iterator[Items], run: Callable, schema: str) -> DataFrame:
+    """What run(broadcast block) makes of rows, for several blocks: each is broadcast and used, and its rows are written,
+    before the next one is made."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "leaks")
+    for k, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(block)
+        rows.mapInArrow(run(shared), schema).write.parquet(f"{path}/block={k}")
+        shared.destroy()
+    return spark.read.schema(f"{schema}, block int").parquet(path).drop("block")
+
+
+def _hits(shared, *more: str) -> Callable:
+    """The best windows of each text and item of a block; more: columns of the rows that go along."""
+
     def run(batches):
         for batch in batches:
             for part in sub_batches(batch, "text"):
-                doc, found = part.column("doc_id"), shared.value.search(part.column("text"))
+                found = shared.value.search(part.column("text"))
                 row, item, sim, start, words = zip(*found, strict=True) if found else [()] * 5
-                yield pa.record_batch({"doc_id": doc.take(pa.array(row, pa.int64())), "item_id": pa.array(item, pa.int64()), "similarity": pa.array(sim, pa.float64()), "first_word": pa.array(start, pa.int64()), "n_words": pa.array(words, pa.int64())})
+                at = pa.array(row, pa.int64())
+                facts = {"item_id": pa.array(item, pa.int64()), "similarity": pa.array(sim, pa.float64()), "first_word": pa.array(start, pa.int64()), "n_words": pa.array(words, pa.int64())}
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(at), **facts, **{c: part.column(c).take(at) for c in more}})
 
     return run
 
@@ -185,26 +200,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     searched for each, and the best window is reported. Texts of any length are searched whole. Items without item_id
     or text, an empty benchmark or an empty table give no rows. Other columns are ignored. most: see item_blocks.
     """
-    sc, thin = docs.sparkSession.sparkContext, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in item_blocks(benchmark, percent, most):
-        found = thin.mapInArrow(_hits(sc.broadcast(block)), "doc_id long, item_id long, similarity double, first_word long, n_words long")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+    blocks = item_blocks(benchmark, percent, most)
+    first = next(blocks)
+    following = next(blocks, None)
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    if following is None:
+        return thin.mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(first)), schema)
+    # the texts of one item_id may be in several blocks: its best window is that of all of them
+    path = shared_path(docs.sparkSession, "searched")
+    thin.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = docs.sparkSession.read.schema("doc_id long, text string, row long").parquet(path)
+    found = _each_block(rows, chain([first, following], blocks), lambda shared: _hits(shared, "row"), f"{schema}, row long")
+    best = F.max(F.struct("similarity", (-F.col("first_word")).alias("at"), "n_words")).alias("b")
+    return found.groupBy("row", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.similarity", (-F.col("b.at")).alias("first_word"), "b.n_words")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, most: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no benchmark item (see contaminated), with item_id or without."""
-    sc = docs.sparkSession.sparkContext
-    for block in item_blocks(benchmark, percent, unnamed=True):
-        shared = sc.broadcast(block)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for part in sub_batches(batch, "text"):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[r[0] for r in shared.value.search(part.column("text"))]] = False
-                    yield part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    blocks = item_blocks(benchmark, percent, most, unnamed=True)
+    first = next(blocks)
+    following = next(blocks, None)
+    if following is None:
+        return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(first)), docs.schema)
+    path, schema = shared_path(docs.sparkSession, "searched"), docs.schema
+    docs.select(F.struct("*").alias("all"), "text", F.monotonically_increasing_id().alias("row")).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    gone = _each_block(rows.select(F.lit(None).cast("long").alias("doc_id"), "text", "row"), chain([first, following], blocks), lambda shared: _hits(shared, "row"), "doc_id long, item_id long, similarity double, first_word long, n_words long, row long")
+    gone = cut(gone.select("row").distinct())
+    left = rows.join(small(gone, gone.count(), 16), "row", "left_anti")
+    return left.select(*(F.col("all")[c].alias(c) for c in schema.names))
+
+
+def _kept(shared) -> Callable:
+    def run(batches):
+        for batch in batches:
+            for part in sub_batches(batch, "text"):
+                keep = np.ones(part.num_rows, bool)
+                keep[[r[0] for r in shared.value.search(part.column("text"))]] = False
+                yield part.filter(pa.array(keep))
+
+    return run

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from oracle import connect, spark_rows, sql_rows
 
 import corpus_pipeline
@@ -13,7 +14,7 @@ from lodestone.llm import neardup
 from lodestone.llm import queries as Q
 from lodestone.llm.common import Texts, cut, join_hot
 from lodestone.llm.components import components
-from lodestone.llm.decontaminate import clean_documents, contaminated
+from lodestone.llm.decontaminate import clean_documents, contaminated, item_blocks
 from lodestone.llm.exactdup import exact_groups, golomb_decode, golomb_encode, rice_parameter
 from lodestone.llm.htmltext import extract_pages, main_text, merge, page_wrapper, region
 from lodestone.llm.linedup import drop_repeated_lines
@@ -198,6 +199,20 @@ def test_decontamination_over_blocks(spark):
     assert contaminated(docs, bench.limit(0)).count() == 0 and clean_documents(docs, bench.limit(0)).count() == 3
 
 
+def test_decontamination_blocks_are_bounded(spark):
+    """However items are named, blocks are of one size, one at a time; what they find is what one block finds."""
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    size = bench.selectExpr("sum(octet_length(text))").first()[0]
+    for named in (bench, bench.withColumn("item_id", F.lit(None).cast("long")), bench.withColumn("item_id", F.lit(3).cast("long"))):
+        blocks = [len(b.ids) for b in item_blocks(named, most=size // 8, unnamed=True)]
+        assert 6 <= len(blocks) <= 10 and sum(blocks) == bench.count()
+        one, many = (sorted(map(tuple, contaminated(docs, named, most=m).collect())) for m in (size * 2, size // 3))
+        assert one == many and (one or named.where("item_id is not null").isEmpty())
+        ids = [sorted(r.doc_id for r in clean_documents(docs.withColumn("all", F.lit(1)).withColumn("row", F.lit(2)), named, most=m).collect()) for m in (size * 2, size // 3)]
+        assert ids[0] == ids[1] and 0 < len(ids[0]) < docs.count()
+    assert clean_documents(docs, bench, most=size // 3).schema.simpleString() == docs.schema.simpleString()
+
+
 def test_mixing_loses_no_words(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "s", k) for k in range(7)] + [(2, "x y z " * 10, "s", 9)], "doc_id long, text string, source string, k long")
     assert mixed_documents(docs).agg({"taken": "sum"}).first()[0] == mixed_sizes(docs).agg({"taken": "sum"}).first()[0] == 98
