@@ -46,14 +46,14 @@ def bucket_of(token: Column, buckets: int) -> Column:
 
 
 def _blocks(kind: str) -> str:
-    return f"token string, part string, ids array<{kind}>, dls array<long>, ends array<int>, pos array<int>"
+    return f"token string, part string, ids array<{kind}>, dls array<int>, ends array<int>, pos array<int>"
 
 
 def _postings(blocks: DataFrame) -> DataFrame:
     """(token, part, id, dl, pos): a row for each document of the blocks."""
     begins = F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.size("ends") - 1))
     rows = blocks.select("token", "part", "pos", F.inline(F.arrays_zip("ids", "dls", "ends", begins.alias("begins"))))
-    return rows.select("token", "part", F.col("ids").alias("id"), F.col("dls").alias("dl"), F.slice("pos", F.col("begins") + 1, F.col("ends") - F.col("begins")).alias("pos"))
+    return rows.select("token", "part", F.col("ids").alias("id"), F.col("dls").cast("long").alias("dl"), F.slice("pos", F.col("begins") + 1, F.col("ends") - F.col("begins")).alias("pos"))
 
 
 def _blocked(token: pa.Array, doc: np.ndarray, place: np.ndarray, ids: pa.Array, dl: np.ndarray, part: str) -> pa.RecordBatch:
@@ -68,7 +68,7 @@ def _blocked(token: pa.Array, doc: np.ndarray, place: np.ndarray, ids: pa.Array,
     first = np.flatnonzero(nth % BLOCK == 0)
     bounds = np.append(first, len(of)).astype(np.int32)
     places = np.append(new, len(code))[bounds].astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(bounds), v) for v in (ids.take(pa.array(at)), pa.array(dl[at]), pa.array((end - np.repeat(places[:-1], np.diff(bounds))).astype(np.int32)))]
+    lists = [pa.ListArray.from_arrays(pa.array(bounds), v) for v in (ids.take(pa.array(at)), pa.array(dl[at].astype(np.int32)), pa.array((end - np.repeat(places[:-1], np.diff(bounds))).astype(np.int32)))]
     flat = pa.ListArray.from_arrays(pa.array(places), pa.array(place.astype(np.int32)))
     return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(of[first])).cast(pa.string()), pa.array([part] * len(first), pa.string()), *lists, flat], ["token", "part", "ids", "dls", "ends", "pos"])
 
@@ -199,7 +199,7 @@ def _write(index: Index, no: int, docs: DataFrame, blocks: DataFrame) -> dict:
     # a bucket of more than a file, or of one very common token, is dealt out by document
     salt = F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(-(-files // buckets)))
     rows = blocks.withColumn("bucket", bucket_of(F.col("token"), buckets)).withColumn("_salt", salt).repartition(files, "bucket", "_salt").drop("_salt")
-    rows.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{base}/postings")
+    rows.sortWithinPartitions("bucket", "token").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
     return {"no": no, "name": name, "n_docs": n_docs, "n_tokens": n_tokens, "buckets": buckets}
 
 

@@ -68,6 +68,35 @@ def r20_search(s, d):
     return got.select("id", _R6("rrf"), _R6("quality"), "demoted", F.round("V_score", 6).alias("vector_score"), F.col("place").cast("long").alias("place"))
 
 
+def _four_axes(sql: str) -> str:
+    """The search of three axes with structure as the fourth, which borrows its weight from the visual one."""
+    norm = sql[sql.index("CASE WHEN v1 IS NULL") : sql.index(" AS nv,") + 7]
+    for old, new in (
+        (" AS neg FROM", f" AS neg, {_COS.format(6)} AS xsc FROM"),
+        ("m0 AS (SELECT", "x AS (SELECT id, xsc AS score FROM e WHERE xsc >= 0 ORDER BY xsc DESC, id LIMIT 50),\nm0 AS (SELECT"),
+        ("0.2 AS w", "0.13 AS w"),
+        ("row_number() OVER (ORDER BY score DESC, id) - 1 FROM m)", "row_number() OVER (ORDER BY score DESC, id) - 1 FROM m UNION ALL SELECT 'X', 0.07, id, score, row_number() OVER (ORDER BY score DESC, id) - 1 FROM x)"),
+        (" AS ms FROM r", " AS ms, max(score) FILTER (axis = 'X') AS xs FROM r"),
+        ("e.neg,", "e.neg, e.xsc,"),
+        (" AS m1,", " AS m1, coalesce(xs, xsc) AS x1,"),
+        (norm, norm + " " + norm.replace("v1", "x1").replace("nv", "nx")),
+        ("coalesce(0.2 * nv, 0)", "coalesce(0.13 * nv, 0) + coalesce(0.07 * nx, 0)"),
+        ("CASE WHEN nv IS NULL THEN 0 ELSE 0.2 END", "CASE WHEN nv IS NULL THEN 0 ELSE 0.13 END + CASE WHEN nx IS NULL THEN 0 ELSE 0.07 END"),
+    ):
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(_four_axes(f"WITH {_TRIAXIS}"))
+def r21_four_axes(s, d):
+    """An image and a text: all four axes, the visual one from the image."""
+    plan = Plan("p/src3", "semantic", keywords=["thand", "src3"], excluded=["idiot"], negative="idiot", filters={"image_type": "en"})
+    axes = {"S": _vector(s, d, 3)[:32], "X": [*_vector(s, d, 6), *[0.0] * 32]}
+    got = search.search("image_text", _searched(s, d), axes, plan, 10, vectors=[_vector(s, d, 0)], user_filters={"folder_path": "src"}, negative=_vector(s, d, 5), tokens=["thand"])
+    return got.select("id", _R6("rrf"), _R6("quality"), "demoted", F.round("V_score", 6).alias("vector_score"), F.col("place").cast("long").alias("place"))
+
+
 @query(f"SELECT vec_id AS id, round({_HALF.format(3)}, 6) AS similarity FROM embeddings WHERE {_HALF.format(3)} >= 0 ORDER BY {_HALF.format(3)} DESC, vec_id LIMIT 10")
 def v3_j2_knn_meaning(s, d):
     return search.search("meaning", _corpus(s, d), _queries(s, d), top_k=10).select("id", _R6("similarity"))
