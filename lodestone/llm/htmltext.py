@@ -40,30 +40,33 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?
 # HTML's element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark object q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # What is no content, by tag, by role, and by the first or last word of a class or id.
-DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg canvas object button select option textarea title head dialog menu input fieldset audio video map".split())
+DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea title head menu input".split())
 NOISE = frozenset("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+HOLDERS = {"header": "article", "footer": "blockquote"}
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 CONTENT = ("article", "main", "content", "post", "entry", "story", "body")
+_OPEN = re.compile(r"(?:^|\s)open(?=[\s=/]|$)", re.I)
 _WORDS = re.compile(r"[^0-9a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 def _kind(tag: str, attributes: str, titled: bool = False) -> tuple[str, bool]:
     """(label, whether it is no content). The label is the tag, with class, id and role where it has them.
 
-    titled: this is an article's own header, which holds its title.
+    titled: this is an article's own header, which holds its title, or a quotation's footer, which says whose it is.
     """
     if not attributes or attributes.isspace():
-        return tag, tag in DROPPED and not titled
+        return tag, (tag in DROPPED or tag == "dialog") and not titled
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     # a name is about its ends: `comment-list` and `site-header`, but not `story-comments-policy`, is no content
     names = [[w.lower() for w in _WORDS.split(x) if w] for k in ("class", "id", "role") for x in found.get(k, "").split()]
     words = {w for x in names for w in x}
     named = any(x and (x[0] in NOISE or x[-1] in NOISE) for x in names) and not titled or found.get("role", "").strip().lower() in ROLES
-    noise = tag in DROPPED and not titled or named and tag not in ("body", "html", "article", "main") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    closed = tag == "dialog" and not _OPEN.search(attributes)
+    noise = tag in DROPPED and not titled or closed or named and tag not in ("body", "html", "article", "main") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     # numbers in names tell pages apart, not parts of a page
     return tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit()), noise
 
@@ -113,7 +116,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             yield from pop(i)
         if tag in CLOSES and (i := top(CLOSES[tag], {"ul", "ol", "dl", "table", "select", "body"})) is not None:
             yield from pop(i)
-        label, noise = _kind(tag, m[3] or "", tag == "header" and any(x[0] == "article" for x in stack))
+        label, noise = _kind(tag, m[3] or "", tag in HOLDERS and any(x[0] == HOLDERS[tag] for x in stack))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n

@@ -305,6 +305,8 @@ def test_html_text(spark):
         "<div>" * 60 + "<article><p>deep</p></article></div><p>around": "deep",
         "<article>" + "x y " * 300_000 + "</article><p>z": " ".join(["x y"] * 300_000),
         "<header>site</header><article><header class='entry-header'><h1>T</h1><nav>n</nav></header><p>a</p><footer>f</footer></article>": "T\na",
+        "<article><fieldset>a</fieldset><p>b <object>c</object> <video>d</video></p><dialog open>e</dialog><dialog>no</dialog><dialog class=x>no</dialog></article>": "a\nb c d\ne",
+        "<article><blockquote><p>a</p><footer>- Author</footer></blockquote><footer>no</footer><button>OK</button></article>": "a\n- Author",
         "": "",
     }
     for page, text in cases.items():
