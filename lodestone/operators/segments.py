@@ -18,6 +18,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +33,8 @@ from lodestone.operators.textindex import ANALYZERS, ANY_SCRIPT, PARTS, Analyzer
 #: Documents in a block, and tokens that a task makes blocks of at a time.
 BLOCK = 256
 CHUNK = 1 << 20
+#: Texts of an Arrow batch.
+ROWS = 500
 #: Tokens in a file of postings, about; a bucket has one file or several.
 PER_FILE = 1 << 22
 MOST_BUCKETS = 4096
@@ -188,18 +191,32 @@ def _commit(index: Index, state: dict) -> Index:
     return Index(index.spark, index.path, number, state)
 
 
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most, as whole texts and their tokens are in each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _write(index: Index, no: int, docs: DataFrame, blocks: DataFrame) -> dict:
     """Writes a segment of docs (id, dl) and blocks."""
     name = f"{no:08d}-{uuid.uuid4().hex}"
     base = f"{index.path}/segments/{name}"
-    docs.select("id", "dl").write.parquet(f"{base}/docs")
+    with _batches(index.spark, ROWS):
+        docs.select("id", "dl").write.parquet(f"{base}/docs")
     n_docs, n_tokens = index.spark.read.schema(f"id {index.state['id_type']}, dl long").parquet(f"{base}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     files = max(1, -(-n_tokens // PER_FILE))
     buckets = 1 << min(MOST_BUCKETS.bit_length() - 1, (files - 1).bit_length())
     # a bucket of more than a file, or of one very common token, is dealt out by document
     salt = F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(-(-files // buckets)))
     rows = blocks.withColumn("bucket", bucket_of(F.col("token"), buckets)).withColumn("_salt", salt).repartition(files, "bucket", "_salt").drop("_salt")
-    rows.sortWithinPartitions("bucket", "token").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
+    with _batches(index.spark, ROWS):
+        rows.sortWithinPartitions("bucket", "token").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
     return {"no": no, "name": name, "n_docs": n_docs, "n_tokens": n_tokens, "buckets": buckets}
 
 
