@@ -4,8 +4,9 @@ Events are rows (session, ts, id, kind, value). A `command` waits for the sessio
 to; a later command replaces one that waits. A session whose heartbeats stop for longer than `silence` times out once,
 at the end of that time, and is back with its next heartbeat. Of `phase` events of one value the first counts.
 
-The stream keeps events until the watermark has passed them and takes them in order of (ts, id), so that its rows don't
-depend on the order in which events arrive, as long as none is later than the watermark allows.
+The stream keeps events until the watermark has passed them and takes them in order of (ts, id, kind, value), nulls
+first, so that its rows don't depend on the order in which events arrive, as long as none is later than the watermark
+allows. A command without value takes the place of one that waits, and nothing is handed.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ SILENCE_US = 180_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _in_order(e: tuple) -> tuple:
+    """What events (us, id, kind, value) are sorted by, nulls first."""
+    return tuple((x is not None, x) if x is not None else (False,) for x in e)
+
+
 def _ms(us: int) -> int:
     """The first millisecond that isn't before a microsecond."""
     return -(-us // 1000)
@@ -51,7 +57,7 @@ class Sessions(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # all that the watermark has passed, whichever timer comes first
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2]) if self.waiting.exists() else []
+        events = sorted((tuple(e) for e in self.waiting.get()), key=_in_order) if self.waiting.exists() else []
         due = [e for e in events if e[0] <= until]
         last, command = self.now.get() if self.now.exists() else (None, None)
         out = []
@@ -100,11 +106,12 @@ def drain_sessions(events: DataFrame, folder: str, silence_us: int = SILENCE_US,
 def sessions_log(events: DataFrame, until_us: int, silence_us: int = SILENCE_US) -> DataFrame:
     """The rows that the stream gives once its watermark is at until_us (a whole millisecond), of a finished log."""
     e = events.where("session is not null and ts is not null").withColumn("us", F.unix_micros("ts")).where(F.col("us") <= until_us)
-    w = Window.partitionBy("session").orderBy("us", "id")
+    w = Window.partitionBy("session").orderBy("us", "id", "kind", "value")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    beat, command = F.when(F.col("kind") == "heartbeat", F.struct("us", "id")), F.when(F.col("kind") == "command", F.struct("us", "id", "value"))
+    e = e.withColumn("_n", F.row_number().over(w))
+    beat, command = F.when(F.col("kind") == "heartbeat", F.col("_n")), F.when(F.col("kind") == "command", F.struct("_n", "value"))
     e = e.withColumns({"_b": F.last(beat, True).over(before), "_c": F.last(command, True).over(before)})
-    handed = e.where("kind = 'heartbeat' and _c is not null and (_b is null or (_c.us, _c.id) > (_b.us, _b.id))").select("session", "us", F.lit("handed").alias("what"), F.col("_c.value").alias("value"))
+    handed = e.where("kind = 'heartbeat' and _c is not null and (_b is null or _c._n > _b)").select("session", "us", F.lit("handed").alias("what"), F.col("_c.value").alias("value"))
     beats = e.where("kind = 'heartbeat'").withColumn("_next", F.lead("us").over(w))
     end = F.col("us") + silence_us
     silent = beats.where(end < F.least(F.coalesce("_next", F.lit(until_us)), F.lit(until_us))).select("session", end.alias("us"), F.lit("timeout").alias("what"), F.lit(None).cast("string").alias("value"))
