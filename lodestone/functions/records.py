@@ -26,14 +26,22 @@ def allowed(col: Column, keys: list[str]) -> Column:
     return F.map_filter(col, lambda k, v: k.isin(*keys) & v.isNotNull())
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value made once for each row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def repaired(raw: Column) -> Column:
     """Without code fences and trailing commas, keys in double quotes, brackets closed (braces first)."""
-    text = F.trim(raw)
-    fenced = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    text = F.regexp_replace(F.when(F.startswith(text, F.lit("```")), fenced).otherwise(text), r",\s*([}\]])", "$1")
-    lack = lambda a, b: F.greatest(F.lit(0), F.length(F.regexp_replace(text, f"[^{a}]", "")) - F.length(F.regexp_replace(text, f"[^{b}]", "")))
-    text = F.concat(text, F.repeat(F.lit("}"), lack("{", "}")), F.repeat(F.lit("]"), lack(r"\[", r"\]")))
-    return F.regexp_replace(text, r"'(\w+)'\s*:", '"$1":')
+
+    def bare(text: Column) -> Column:
+        fenced = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
+        return F.regexp_replace(F.when(F.startswith(text, F.lit("```")), fenced).otherwise(text), r",\s*([}\]])", "$1")
+
+    count = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    lack = lambda text, a, b: F.greatest(F.lit(0), count(text, a) - count(text, b))
+    closed = lambda text: F.concat(text, F.repeat(F.lit("}"), lack(text, "{", "}")), F.repeat(F.lit("]"), lack(text, "[", "]")))
+    return F.regexp_replace(_let(_let(F.trim(raw), bare), closed), r"'(\w+)'\s*:", '"$1":')
 
 
 def description(raw: Column) -> Column:
@@ -43,14 +51,17 @@ def description(raw: Column) -> Column:
     isn't to be found is the answer's text without JSON marks, CAPTION characters of it.
     """
     usable = lambda x: F.when(x["caption"].isNotNull() | x["image_type"].isNotNull(), x)
-    first, second = (usable(F.from_json(x, DESCRIPTION)) for x in (F.trim(raw), repaired(raw)))
+    parsed = lambda text: _let(F.from_json(text, DESCRIPTION), usable)
     text = lambda k: F.nullif(F.regexp_extract(raw, rf'"{k}"\s*:\s*"([^"]*)"', 1), F.lit(""))
     tags = F.regexp_extract_all(F.regexp_extract(raw, r'"tags"\s*:\s*\[([^\]]*)\]', 1), F.lit(r'"([^"]*)"'), F.lit(1))
     plain = F.substring(F.trim(F.regexp_replace(F.regexp_replace(raw, r'[{}\[\]":]', " "), r"\s+", " ")), 1, CAPTION)
     found = F.struct(text("image_type").alias("image_type"), F.coalesce(text("caption"), plain).alias("caption"), tags.alias("tags"), text("art_style").alias("art_style"), text("color_palette").alias("color_palette"))
-    x = F.coalesce(first, second, found)
-    fields = [F.coalesce(x[k], F.lit(v)).alias(k) for k, v in MINIMUM.items()]
-    return F.struct(*fields, F.coalesce(x["tags"], F.array().cast("array<string>")).alias("tags"))
+
+    def filled(x: Column) -> Column:
+        fields = [F.coalesce(x[k], F.lit(v)).alias(k) for k, v in MINIMUM.items()]
+        return F.struct(*fields, F.coalesce(x["tags"], F.array().cast("array<string>")).alias("tags"))
+
+    return _let(F.coalesce(parsed(F.trim(raw)), parsed(repaired(raw)), found), filled)
 
 
 def active(now: Column, hours: Column, days: Column, zone: str | None = None) -> Column:

@@ -301,3 +301,13 @@ def test_new_analysis_keeps_what_users_entered(spark):
     patch = spark.createDataFrame([("a", None, "x", 5), ("c", "new", "y", 1)], "file_path string, mc_caption string, user_note string, user_rating int")
     got = catalog.insert_files(base, patch, F.lit("now"))
     assert sorted(map(tuple, got.collect())) == [("a", None, "n", 3), ("b", "b", "m", None), ("c", "new", "y", 1)]
+
+
+def test_descriptions_are_parsed_once(spark):
+    """The plan parses an answer as it is and repaired, once each, whatever the number of fields; odd answers keep their values."""
+    from lodestone.functions.records import description
+
+    rows = ["{'caption': 'x', \"image_type\": \"ui\"", "  ```JSON\n{}\n```", '[{"caption": "a", "tags": ["b",]', None, "", '"caption": "q", "tags": ["r", "s"]', "{{["]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, raw string").select("i", description(F.col("raw")).alias("x")).select("i", "x.*")
+    assert [(r.caption, r.image_type, len(r.tags)) for r in got.orderBy("i").collect()] == [("x", "ui", 0), ("```JSON ```", "other", 0), ("a", "other", 1), ("", "other", 0), ("", "other", 0), ("q", "other", 2), ("", "other", 0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2
