@@ -75,12 +75,12 @@ def folded(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words of letters and digits of any script, in lower case and without diacritics."""
-    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def ascii_tokens(text: Column) -> Column:
     """Lower-cased words of letters a-z and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z]+"), "")
 
 
 def query_tokens(query: Column) -> Column:

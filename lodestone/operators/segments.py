@@ -3,13 +3,14 @@
 Under the index's folder:
 * segments/<name>/postings: blocks of up to BLOCK documents that hold a token in a part: (token, part, ids, dls, ends,
   pos), pos being the places in all of them, one document's up to its end; by bucket of the token's hash and in order
-  of token within, so that a search reads few folders and, by Parquet's statistics, few row groups of them;
-* segments/<name>/docs: (id, dl);
+  of token within, so that a search reads few folders and, by Parquet's statistics, few row groups of them. Rows of
+  bucket DOCS, without token, hold the documents themselves (ids, dls);
 * dead/<name>: ids that don't count in segments older than the tombstone;
 * manifest/number=<n>: one row, the n-th state. Readers keep the state they opened; a writer adds the next one, and
   fails if another did so first.
 
-Adding and deleting write what is new only; merging rewrites postings without cutting a text again.
+Adding and deleting write what is new only; merging rewrites postings without cutting a text again. Blocks shuffle once,
+a file's as one compressed batch of each chunk of tokens, and those of a token are joined where they arrive.
 """
 
 from __future__ import annotations
@@ -30,13 +31,18 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.textindex import ANALYZERS, ANY_SCRIPT, PARTS, Analyzer
 
-#: Documents in a block, and tokens that a task makes blocks of at a time.
+#: Documents in a block, and tokens that a task makes blocks of, or joins blocks of, at a time.
 BLOCK = 256
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+JOINED = 1 << 21
+#: Where the documents are.
+DOCS = -1
 #: Texts of an Arrow batch.
 ROWS = 500
 #: Tokens in a file of postings, about; a bucket has one file or several.
-PER_FILE = 1 << 22
+PER_FILE = 1 << 21
+#: Characters of a token, about.
+PER_TOKEN = 6
 MOST_BUCKETS = 4096
 #: So many segments of about one size are merged into one.
 FAN = 4
@@ -44,10 +50,6 @@ FAN = 4
 FEW = 1 << 20
 
 
-def bucket_of(token: Column, buckets: int) -> Column:
-    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
-
-
 def _blocks(kind: str) -> str:
     return f"token string, part string, ids array<{kind}>, dls array<int>, ends array<int>, pos array<int>"
 
@@ -76,38 +78,134 @@ def _blocked(token: pa.Array, doc: np.ndarray, place: np.ndarray, ids: pa.Array,
     return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(of[first])).cast(pa.string()), pa.array([part] * len(first), pa.string()), *lists, flat], ["token", "part", "ids", "dls", "ends", "pos"])
 
 
-def _from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents (id, dl, and the tokens of each part)."""
+def _doc_blocks(ids: pa.Array, dl: np.ndarray) -> pa.RecordBatch:
+    bounds = pa.array(np.unique(np.append(np.arange(0, len(ids), 64 * BLOCK), len(ids))).astype(np.int32))
+    n = len(bounds) - 1
+    none = pa.array([[]] * n, pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.ListArray.from_arrays(bounds, ids), pa.ListArray.from_arrays(bounds, pa.array(dl.astype(np.int32))), none, none], ["token", "part", "ids", "dls", "ends", "pos"])
+
 
-    def blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        ids, dl = rows["id"].combine_chunks(), rows["dl"].to_numpy()
-        for part in PARTS:
-            lists = rows[part].combine_chunks()
-            size = lists.value_lengths().fill_null(0).to_numpy()
-            doc = np.repeat(np.arange(len(size)), size)
-            yield _blocked(lists.flatten(), doc, np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size), ids, dl, part)
+@dataclass(frozen=True)
+class _Files:
+    """How blocks are dealt out to files and buckets. A bucket has several files where there are more files than buckets,
+    and a token that is a large part of all has as many as its part needs, by its blocks' first documents."""
+
+    files: int
+    buckets: int
+
+    def packed(self, blocks: pa.RecordBatch, total: int) -> Iterator[pa.RecordBatch]:
+        """(file, blocks): each file's blocks, with their buckets, as compressed Arrow. total: tokens of the chunk."""
+        if not blocks.num_rows:
+            return
+        coded = blocks.column("token").dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+        bucket = np.array([*(zlib.crc32(x.encode()) % self.buckets for x in names), DOCS], np.int32)[code]
+        step = max(1, self.files // self.buckets)
+        share = np.bincount(code, blocks.column("pos").value_lengths().to_numpy(), len(names) + 1)[code] / max(1, total)
+        spread = np.where(bucket == DOCS, self.files, step + (share * self.files).astype(np.int64))
+        salt, many = np.zeros(len(code), np.int64), np.flatnonzero(spread > 1)
+        first = blocks.column("ids").flatten().take(blocks.column("ids").offsets.slice(0, len(code)).take(pa.array(many)))
+        salt[many] = [zlib.crc32(str(x).encode()) for x in first.to_pylist()]
+        file = (bucket.astype(np.int64) * step + salt % spread) % self.files
+        order = np.argsort(file, kind="stable")
+        rows, file = blocks.append_column("bucket", pa.array(bucket)).take(pa.array(order)), file[order]
+        ends = np.append(np.flatnonzero(file[1:] != file[:-1]) + 1, len(file))
+        begins, out = np.append(0, ends[:-1]), []
+        for at, end in zip(begins, ends, strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(rows.slice(at, end - at))
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(file[begins].astype(np.int32)), pa.array(out, pa.binary())], ["file", "blocks"])
+
+    def from_texts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of documents (id, and the tokens of each part)."""
+
+        def blocks(held: list[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids, lists = rows["id"].combine_chunks(), {p: rows[p].combine_chunks() for p in PARTS}
+            sizes = {p: v.value_lengths().fill_null(0).to_numpy() for p, v in lists.items()}
+            dl = sum(sizes.values())
+            yield from self.packed(_doc_blocks(ids, dl), total)
+            for part, size in sizes.items():
+                doc = np.repeat(np.arange(len(size)), size)
+                yield from self.packed(_blocked(lists[part].flatten(), doc, np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size), ids, dl, part), total)
+
+        held, size = [], 0
+        for b in batches:
+            # few documents at a time, as each may be long
+            for at in range(0, b.num_rows, 64):
+                held.append(b.slice(at, 64))
+                size += sum(int(pa.compute.sum(held[-1].column(p).value_lengths()).as_py() or 0) for p in PARTS)
+                if size > CHUNK:
+                    yield from blocks(held, size)
+                    held, size = [], 0
+        if held:
+            yield from blocks(held, size)
+
+    def from_postings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of postings that come in order of token and part."""
+        for b in batches:
+            total = int(b.column("pos").value_lengths().to_numpy().sum())
+            for part in PARTS:
+                rows = b.filter(pa.compute.equal(b.column("part"), part))
+                size = rows.column("pos").value_lengths().to_numpy()
+                doc = np.repeat(np.arange(rows.num_rows), size)
+                yield from self.packed(_blocked(rows.column("token").take(pa.array(doc)), doc, rows.column("pos").flatten().to_numpy(), rows.column("id"), rows.column("dl").to_numpy(), part), total)
+
+    def from_blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from self.packed(b, int(b.column("pos").value_lengths().to_numpy().sum()))
+
+    def from_docs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from self.packed(_doc_blocks(b.column("id"), b.column("dl").to_numpy()), 0)
+
+
+def _joined(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Blocks with those of one token and part put together, up to BLOCK documents in each."""
+    code = rows.column("token").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    key = code.astype(np.int64) * len(PARTS) + (pa.compute.equal(rows.column("part"), PARTS[0]).to_numpy(zero_copy_only=False) == 0)
+    order = np.argsort(key, kind="stable")
+    rows, key = rows.take(pa.array(order)), key[order]
+    size = rows.column("ids").value_lengths().to_numpy()
+    ends, row = rows.column("ends").flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+    count = np.diff(ends, prepend=0)
+    begins = np.cumsum(size) - size
+    count[begins] = ends[begins]
+    of = key[row]
+    first = np.flatnonzero((np.arange(len(of)) - np.searchsorted(of, of)) % BLOCK == 0)
+    bounds = np.append(first, len(of)).astype(np.int32)
+    until = np.append(0, np.cumsum(count))
+    places = until[bounds].astype(np.int32)
+    held = (rows.column("ids").flatten(), rows.column("dls").flatten(), pa.array((until[1:] - np.repeat(places[:-1], np.diff(bounds))).astype(np.int32)))
+    lists = [pa.ListArray.from_arrays(pa.array(bounds), v) for v in held]
+    of_row = rows.take(pa.array(row[first]))
+    return pa.RecordBatch.from_arrays([of_row.column("token"), of_row.column("part"), *lists, pa.ListArray.from_arrays(pa.array(places), rows.column("pos").flatten()), of_row.column("bucket")], rows.schema.names)
+
+
+def _arrived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of packed files, about JOINED tokens at a time."""
+
+    def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        for b in rows:
+            docs = pa.compute.equal(b.column("bucket"), DOCS)
+            for out in (b.filter(docs), _joined(b.filter(pa.compute.invert(docs)))):
+                for at in range(0, out.num_rows, 1 << 14):
+                    yield out.slice(at, 1 << 14)
 
     held, size = [], 0
     for b in batches:
-        for at in range(0, b.num_rows, 1024):
-            held.append(b.slice(at, 1024))
-            size += int(np.asarray(held[-1].column("dl")).sum())
-            if size > CHUNK:
-                yield from blocks(held)
+        for packed in b.column("blocks"):
+            for rows in pa.ipc.open_stream(packed.as_buffer()):
+                held.append(rows)
+                size += int(rows.column("pos").value_lengths().to_numpy().sum())
+            if size > JOINED:
+                yield from joined(held)
                 held, size = [], 0
     if held:
-        yield from blocks(held)
-
-
-def _from_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of postings that come in order of token and part."""
-    for b in batches:
-        for part in PARTS:
-            rows = b.filter(pa.compute.equal(b.column("part"), part))
-            size = rows.column("pos").value_lengths().to_numpy()
-            doc = np.repeat(np.arange(rows.num_rows), size)
-            yield _blocked(rows.column("token").take(pa.array(doc)), doc, rows.column("pos").flatten().to_numpy(), rows.column("id"), rows.column("dl").to_numpy(), part)
+        yield from joined(held)
 
 
 @dataclass(frozen=True)
@@ -167,7 +265,9 @@ class Index:
     def docs(self, segments: list[dict] | None = None) -> DataFrame:
         """(id, dl) of the documents that count."""
         schema = f"id {self.state['id_type']}, dl long"
-        rows = [self.spark.read.schema(schema).parquet(f"{self.path}/segments/{s['name']}/docs").withColumn("_no", F.lit(s["no"]).cast("long")) for s in (self.segments if segments is None else segments)]
+        each = F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("dls").alias("dl")))
+        stored = [(s, self._stored(s).where(F.col("bucket") == DOCS).select(each)) for s in (self.segments if segments is None else segments)]
+        rows = [d.select("id", F.col("dl").cast("long").alias("dl"), F.lit(s["no"]).cast("long").alias("_no")) for s, d in stored]
         return self._live(rows, f"{schema}, _no long")
 
     def with_totals(self, rows: DataFrame) -> DataFrame:
@@ -203,28 +303,31 @@ def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _write(index: Index, no: int, docs: DataFrame, blocks: DataFrame) -> dict:
-    """Writes a segment of docs (id, dl) and blocks."""
-    name = f"{no:08d}-{uuid.uuid4().hex}"
-    base = f"{index.path}/segments/{name}"
-    with _batches(index.spark, ROWS):
-        docs.select("id", "dl").write.parquet(f"{base}/docs")
-    n_docs, n_tokens = index.spark.read.schema(f"id {index.state['id_type']}, dl long").parquet(f"{base}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+def _files(n_tokens: int) -> _Files:
     files = max(1, -(-n_tokens // PER_FILE))
-    buckets = 1 << min(MOST_BUCKETS.bit_length() - 1, (files - 1).bit_length())
-    # a bucket of more than a file, or of one very common token, is dealt out by document
-    salt = F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(-(-files // buckets)))
-    rows = blocks.withColumn("bucket", bucket_of(F.col("token"), buckets)).withColumn("_salt", salt).repartition(files, "bucket", "_salt").drop("_salt")
+    return _Files(files, 1 << min(MOST_BUCKETS.bit_length() - 1, (files - 1).bit_length()))
+
+
+def _write(index: Index, no: int, packed: DataFrame, to: _Files) -> dict:
+    """Writes a segment of packed blocks."""
+    name = f"{no:08d}-{uuid.uuid4().hex}"
     with _batches(index.spark, ROWS):
-        rows.sortWithinPartitions("bucket", "token").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
-    return {"no": no, "name": name, "n_docs": n_docs, "n_tokens": n_tokens, "buckets": buckets}
+        rows = packed.repartitionById(to.files, F.col("file")).select("blocks").mapInArrow(_arrived, f"{_blocks(index.state['id_type'])}, bucket int")
+        rows.sortWithinPartitions("bucket", "token").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{index.path}/segments/{name}/postings")
+    segment = {"no": no, "name": name, "buckets": to.buckets}
+    n_docs, n_tokens = Index(index.spark, index.path, 0, index.state | {"dead": []}).docs([segment]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return segment | {"n_docs": n_docs, "n_tokens": n_tokens}
+
+
+_PACKED = "file int, blocks binary"
 
 
-def _cut(docs: DataFrame, analyzer: Analyzer) -> tuple[DataFrame, DataFrame]:
-    """(docs (id, dl), blocks) of texts; those without id aren't indexed."""
-    cut = docs.where("id is not null").select("id", *(analyzer.words(F.col(p)).alias(p) for p in PARTS))
-    cut = cut.withColumn("dl", (F.size("strong") + F.size("weak")).cast("long"))
-    return cut.select("id", "dl"), cut.mapInArrow(_from_texts, _blocks(docs.schema["id"].dataType.simpleString()))
+def _cut(docs: DataFrame, analyzer: Analyzer) -> tuple[DataFrame, _Files]:
+    """Packed blocks of texts, and their files; those without id aren't indexed."""
+    docs = docs.where("id is not null")
+    size = reduce(Column.__add__, [F.coalesce(F.length(p), F.lit(0)).cast("long") for p in PARTS])
+    to = _files((docs.agg(F.sum(size)).first()[0] or 0) // PER_TOKEN)
+    return docs.select("id", *(analyzer.words(F.col(p)).alias(p) for p in PARTS)).mapInArrow(to.from_texts, _PACKED), to
 
 
 def create(docs: DataFrame, path: str, version: int = 1, analyzer: Analyzer = ANY_SCRIPT) -> Index:
@@ -268,13 +371,16 @@ def merge(index: Index, numbers: list[int] | None = None) -> Index:
     if not old:
         return index
     no = index.state["next"]
+    to = _files(sum(s["n_tokens"] for s in old))
+    stored = lambda s: index._stored(s).where(F.col("bucket") != DOCS)
     if index.state["dead"]:
-        rows = index._live([_postings(index._stored(s)).withColumn("_no", F.lit(s["no"]).cast("long")) for s in old], "")
+        rows = index._live([_postings(stored(s)).withColumn("_no", F.lit(s["no"]).cast("long")) for s in old], "")
         rows = rows.repartition(F.crc32(F.col("token").cast("binary")), F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("token", "part")
-        blocks = rows.select("token", "part", "id", "dl", "pos").mapInArrow(_from_postings, _blocks(index.state["id_type"]))
+        packed = rows.select("token", "part", "id", "dl", "pos").mapInArrow(to.from_postings, _PACKED)
     else:
-        blocks = reduce(DataFrame.unionByName, [index._stored(s).drop("bucket") for s in old])
-    segment = _write(index, no, index.docs(old), blocks)
+        packed = reduce(DataFrame.unionByName, [stored(s).drop("bucket") for s in old]).mapInArrow(to.from_blocks, _PACKED)
+    docs = index.docs(old).select("id", "dl").mapInArrow(to.from_docs, _PACKED)
+    segment = _write(index, no, packed.unionByName(docs), to)
     least = min((s["no"] for s in kept), default=no)
     dead = [d for d in index.state["dead"] if d["before"] > least]
     return _commit(index, index.state | {"next": no + 1, "segments": [*kept, segment], "dead": dead})

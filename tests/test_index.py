@@ -122,3 +122,32 @@ def test_the_query_gives_the_tokens(spark):
     corpus = search.Corpus(files, {"V": spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "id long, embedding array<double>")})
     quality = lambda **how: {r.id: r.quality for r in search.composed(corpus, {"V": [1.0, 0.0]}, Plan("(Sea) !"), 5, **how).collect()}
     assert quality() == quality(tokens=["sea"]) != quality(tokens=[]) == quality(tokens=["other"])
+
+
+def test_blocks_of_many_tasks_are_joined(spark):
+    """A token's documents come from eight tasks and are one block; documents are stored beside, without a folder of their own."""
+    docs = texts(spark, [(i, "src", f"word{i} night sky night") for i in range(80)]).repartition(8, "id")
+    index = segments.create(docs, shared_path(spark, "index"))
+    rows = index._stored(index.segments[0]).where("token = 'night'").collect()
+    assert len(rows) == 1 and sorted(rows[0].ids) == list(range(80)) and rows[0].ends == list(range(2, 162, 2)) and rows[0].pos == [1, 3] * 80
+    assert index._stored(index.segments[0]).where(F.col("bucket") == segments.DOCS).selectExpr("sum(size(ids))", "count(token)").first() == (80, 0)
+
+
+def test_a_very_frequent_token_has_many_files(monkeypatch):
+    """Its blocks are dealt out to a part of the files as large as its part of the words, in one bucket."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(segments, "CHUNK", 400)
+    rng, to = random.Random(5), segments._Files(64, 64)
+    rows = [[w for _ in range(20) for w in ("the", f"w{rng.randrange(10**6)}")] for _ in range(640)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 64)), pa.array([["x"]] * 64), pa.array(rows[i : i + 64])], ["id", "strong", "weak"]) for i in range(0, 640, 64)]
+    files, found = {}, []
+    for packed in to.from_texts(iter(batches)):
+        for file, held in zip(packed["file"].to_pylist(), packed["blocks"], strict=True):
+            for b in segments._arrived(iter([pa.RecordBatch.from_arrays([pa.array([held.as_py()])], ["blocks"])])):
+                for token, ids, pos, bucket in zip(*(b.column(c).to_pylist() for c in ("token", "ids", "pos", "bucket")), strict=True):
+                    if token == "the":
+                        files.setdefault(bucket, set()).add(file)
+                        found += ids
+                        assert pos == list(range(0, 40, 2)) * len(ids)
+    assert sorted(found) == list(range(640)) and len(files) == 1 and len(files.popitem()[1]) > 5
