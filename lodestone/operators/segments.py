@@ -33,12 +33,12 @@ from lodestone.operators.textindex import ANALYZERS, ANY_SCRIPT, PARTS, Analyzer
 
 #: Documents in a block, and tokens that a task makes blocks of, or joins blocks of, at a time.
 BLOCK = 256
-CHUNK = 1 << 18
+CHUNK = 1 << 19
 JOINED = 1 << 21
 #: Where the documents are.
 DOCS = -1
 #: Texts of an Arrow batch.
-ROWS = 200
+ROWS = 500
 #: Tokens in a file of postings, about; a bucket has one file or several.
 PER_FILE = 1 << 21
 #: Characters of a token, about.
@@ -140,7 +140,6 @@ class _Files:
                 if size > CHUNK:
                     yield from blocks(held, size)
                     held, size = [], 0
-                    pa.default_memory_pool().release_unused()
         if held:
             yield from blocks(held, size)
 
