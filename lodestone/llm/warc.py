@@ -11,10 +11,10 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, shared_path, small
+from lodestone.llm.common import shared_path, small
 
 #: Shorter payloads are stored in a response each: a revisit's headers would be no shorter.
 LEAST_BYTES = 100
@@ -22,12 +22,15 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
-    """page_id, record_type, refers_to, payload, payload_digest, header, alone: a WARC record for each row of pages."""
+    """page_id, record_type, refers_to, payload, payload_digest, payload_bytes, header, alone: a WARC record for each row of pages."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     firsts = base.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    # digests of copied payloads only: unless these are very many, no payload is shuffled here
-    firsts = cut(firsts)
+    # digests of copied payloads only: unless these are very many, no payload is shuffled here. Empty partitions leave
+    # no file, as they would in a checkpoint
+    saved = shared_path(pages.sparkSession, "warc-firsts")
+    firsts.write.parquet(saved)
+    firsts = pages.sparkSession.read.parquet(saved)
     base = base.join(small(firsts, firsts.count(), 120), "payload_digest", "left")
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
     base = base.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first")))
@@ -46,16 +49,17 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = DATE)
         line("Content-Length", F.when(again, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
     )
     alone = F.col("copies").isNull() & (F.col("payload_bytes") >= least_bytes)
-    return base.select("page_id", "record_type", "refers_to", "payload", "payload_digest", F.encode(header, "UTF-8").alias("header"), alone.alias("alone"))
+    return base.select("page_id", "record_type", "refers_to", "payload", "payload_digest", "payload_bytes", F.encode(header, "UTF-8").alias("header"), alone.alias("alone"))
 
 
 def write_archive(rows: DataFrame, path: str) -> None:
-    """Writes `headers` (page_id, header, digest of the block or null) and `payloads` (digest, bytes once) under path."""
+    """Writes `headers` (page_id, header, digest of the block or null) and `payloads` (digest, bytes once, their
+    number, whether they are alone) under path."""
     block = F.when(F.col("record_type") == "response", F.col("payload_digest"))
     rows.select("page_id", "header", block.alias("digest")).write.parquet(f"{path}/headers")
-    response = rows.where("record_type = 'response'").select(F.col("payload_digest").alias("digest"), "payload", "alone")
+    response = rows.where("record_type = 'response'").select(F.col("payload_digest").alias("digest"), "payload", "payload_bytes", "alone")
     # a payload without copies goes straight into the store; the rest are grouped with their bytes, partly beforehand
-    alone, rest = response.where("alone").drop("alone"), response.where("not alone").drop("alone").distinct()
+    alone, rest = response.where("alone"), response.where("not alone").distinct()
     alone.unionByName(rest).write.parquet(f"{path}/payloads")
 
 
@@ -68,13 +72,25 @@ def _verify(batches):
         yield batch
 
 
+def _record(payload: Column) -> Column:
+    return F.concat("header", F.unhex(F.lit("0D0A")), payload, F.unhex(F.lit("0D0A0D0A"))).alias("record")
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, record of the responses: headers with the blocks that they name."""
+    headers = spark.read.parquet(f"{path}/headers").where("digest is not null")
+    payloads = spark.read.parquet(f"{path}/payloads").select("digest", "payload").mapInArrow(_verify, "digest string, payload binary")
+    return headers.join(payloads, "digest", "left").select("page_id", _record(F.coalesce("payload", F.unhex(F.lit("")))))
+
+
+def read_revisits(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, record of the revisits. They have no block, so nothing is joined."""
+    return spark.read.parquet(f"{path}/headers").where("digest is null").select("page_id", _record(F.unhex(F.lit(""))))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record: the original records, as bytes."""
-    headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").mapInArrow(_verify, "digest string, payload binary")
-    both = headers.join(payloads, "digest", "left")
-    end = F.unhex(F.lit("0D0A0D0A"))
-    return both.select("page_id", F.concat("header", F.unhex(F.lit("0D0A")), F.coalesce("payload", F.unhex(F.lit(""))), end).alias("record"))
+    return read_responses(spark, path).unionByName(read_revisits(spark, path))
 
 
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*(.*)")
@@ -134,8 +150,9 @@ def archive_roundtrip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archive(records(pages), path)
-    parsed = parse_records(read_records(spark, path))
-    # a revisit's payload is as long as that of the response it names; only narrow rows meet
-    sizes = parsed.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= LEAST_BYTES)).groupBy(F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("size"))
-    revisits = parsed.where("record_type = 'revisit'").join(sizes, F.col("payload_digest") == F.col("d")).select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
-    return parsed.where("record_type = 'response'").select(revisits.columns).unionByName(revisits)
+    responses, revisits = parse_records(read_responses(spark, path)), parse_records(read_revisits(spark, path)).drop("payload_bytes")
+    # a revisit's payload is as long as that of the response it names; the store holds each digest once, and only the
+    # narrow columns of copied ones are read here
+    sizes = spark.read.parquet(f"{path}/payloads").where("not alone").select(F.col("digest").alias("payload_digest"), "payload_bytes")
+    revisits = revisits.join(small(sizes, sizes.count(), 120), "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return responses.select(revisits.columns).unionByName(revisits)

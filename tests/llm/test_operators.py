@@ -3,6 +3,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -407,6 +408,27 @@ def test_warc_round_trip(spark):
         parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nab\r\n\r\n")
 
 
+def test_warc_reads_its_archive_once(spark):
+    """The payloads are verified, joined and parsed once, revisits without a join; empty partitions leave no files."""
+    rows = [(i, "u", "x" * 200) for i in range(1, 40)] + [(i, "u", "y" * i) for i in range(99, 110)] + [(200, "u", ""), (201, "u", "")]
+    df, shared = spark.createDataFrame(rows, "page_id long, url string, html string"), Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.rglob("part-*"))
+    hold = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in hold}
+    try:
+        for k, v in hold.items():
+            spark.conf.set(k, v)
+        got = archive_roundtrip(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(set(shared.rglob("part-*")) - before) < 50
+    # _verify and _parsed over the responses, _parsed over the revisits
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+    want = [(i, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if 1 < i < 40 else "response", 1 if 1 < i < 40 else None, "u") for i, _, h in rows]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_pipeline(spark):
     docs, ids = spark.read.parquet(f"{SF}/documents.parquet"), []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
