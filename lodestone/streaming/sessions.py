@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,6 +29,11 @@ def _in_order(e: tuple) -> tuple:
     return tuple((x is not None, x) if x is not None else (False,) for x in e)
 
 
+def whole_ms(us: str | Column) -> Column:
+    """Microseconds rounded to whole milliseconds, halves away from zero."""
+    return F.round(us, -3)
+
+
 def _ms(us: int) -> int:
     """The first millisecond that isn't before a microsecond."""
     return -(-us // 1000)
