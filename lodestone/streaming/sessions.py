@@ -6,7 +6,8 @@ at the end of that time, and is back with its next heartbeat. Of `phase` events
 
 The stream keeps events until the watermark has passed them and takes them in order of (ts, id, kind, value), nulls
 first, so that its rows don't depend on the order in which events arrive, as long as none is later than the watermark
-allows. A command without value takes the place of one that waits, and nothing is handed.
+allows. A command without value takes the place of one that waits, and nothing is handed. Watermarks are whole
+milliseconds: event times are rounded for them (whole_ms), so that a last event beyond half a millisecond counts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from lodestone.streaming import monitor
 SILENCE_US = 180_000_000
 #: State with timers needs it.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: From year 1 to 1970. Spark's watermarks begin at 1970, so the stream's event times and timers are so much later.
+SHIFT_MS = 62_135_596_800_000
 
 
 def _in_order(e: tuple) -> tuple:
@@ -35,13 +38,13 @@ def whole_ms(us: str | Column) -> Column:
 
 
 def _ms(us: int) -> int:
-    """The first millisecond that isn't before a microsecond."""
-    return -(-us // 1000)
+    """The first millisecond that isn't before a microsecond, as timers have it."""
+    return -(-us // 1000) + SHIFT_MS
 
 
 class Sessions(StatefulProcessor):
     """A session's state: events that wait for the watermark, the last heartbeat (null after a timeout), the command that
-    waits, and the phases that are known. Times are microseconds, timers are milliseconds."""
+    waits, and the phases that are known. Times are microseconds, timers are milliseconds, SHIFT_MS later."""
 
     def __init__(self, silence_us: int = SILENCE_US):
         self.silence = silence_us
@@ -61,7 +64,7 @@ class Sessions(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # all that the watermark has passed, whichever timer comes first
-        until = timerValues.getCurrentWatermarkInMs() * 1000
+        until = (timerValues.getCurrentWatermarkInMs() - SHIFT_MS) * 1000
         events = sorted((tuple(e) for e in self.waiting.get()), key=_in_order) if self.waiting.exists() else []
         due = [e for e in events if e[0] <= until]
         last, command = self.now.get() if self.now.exists() else (None, None)
@@ -91,7 +94,8 @@ class Sessions(StatefulProcessor):
 
 def live_sessions_log(events: DataFrame, silence_us: int = SILENCE_US, late: str = "10 minutes") -> DataFrame:
     """(session, ts, what, value) of a stream of events; what is handed, timeout or phase. Null sessions and times go."""
-    rows = events.where("session is not null and ts is not null").select("session", "ts", F.unix_micros("ts").alias("us"), "id", "kind", "value")
+    rows = events.where("session is not null and ts is not null").withColumn("us", F.unix_micros("ts"))
+    rows = rows.select("session", F.timestamp_micros(whole_ms("us") + 1000 * SHIFT_MS).alias("ts"), "us", "id", "kind", "value")
     kind = events.schema["session"].dataType.simpleString()
     out = rows.withWatermark("ts", late).groupBy("session").transformWithState(Sessions(silence_us), f"session {kind}, us long, what string, value string", "append", "eventtime")
     return out.select("session", F.timestamp_micros("us").alias("ts"), "what", "value")
