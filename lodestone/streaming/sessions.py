@@ -44,7 +44,9 @@ def _ms(us: int) -> int:
 
 class Sessions(StatefulProcessor):
     """A session's state: events that wait for the watermark, the last heartbeat (null after a timeout), the command that
-    waits, and the phases that are known. Times are microseconds, timers are milliseconds, SHIFT_MS later."""
+    waits, its timer, and the phases that are known. Times are microseconds, timers are milliseconds, SHIFT_MS later.
+
+    A session has one timer, for the first of what waits and the end of the silence; each call sets the next."""
 
     def __init__(self, silence_us: int = SILENCE_US):
         self.silence = silence_us
@@ -52,23 +54,28 @@ class Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us long, id long, kind string, value string")
-        self.now = handle.getValueState("now", "last long, command string")
+        self.now = handle.getValueState("now", "last long, command string, timer long")
         self.phases = handle.getMapState("phases", "phase string", "id long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = [(r["us"], r["id"], r["kind"], r["value"]) for r in rows]
         self.waiting.appendList(new)
-        for at in {_ms(us) for us, *_ in new}:
+        last, command, timer = self.now.get() or (None, None, None)
+        at = _ms(min(e[0] for e in new))
+        if timer is None or at < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
             self.handle.registerTimer(at)
+            self.now.update((last, command, at))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # all that the watermark has passed, whichever timer comes first
+        # all that the watermark has passed
         until = (timerValues.getCurrentWatermarkInMs() - SHIFT_MS) * 1000
-        events = sorted((tuple(e) for e in self.waiting.get()), key=_in_order) if self.waiting.exists() else []
+        events = sorted((tuple(e) for e in self.waiting.get()), key=_in_order)
         due = [e for e in events if e[0] <= until]
-        last, command = self.now.get() if self.now.exists() else (None, None)
-        out = []
+        last, command, _ = self.now.get()
+        out, known = [], set()
         for us, i, kind, value in [*due, (until, None, "", None)]:
             if last is not None and last + self.silence < us:
                 out.append((last + self.silence, "timeout", None))
@@ -79,16 +86,22 @@ class Sessions(StatefulProcessor):
                 last, command = us, None
             elif kind == "command":
                 command = value
-            elif kind == "phase" and not self.phases.containsKey((value,)):
-                self.phases.updateValue((value,), (i,))
-                out.append((us, "phase", value))
+            elif kind == "phase" and value not in known:
+                known.add(value)
+                if not self.phases.containsKey((value,)):
+                    self.phases.updateValue((value,), (i,))
+                    out.append((us, "phase", value))
+        ahead = [_ms(e[0]) for e in events[len(due) : len(due) + 1]]
         if last is not None:
-            self.handle.registerTimer(_ms(last + self.silence + 1))
+            ahead.append(_ms(last + self.silence + 1))
+        timer = min(ahead, default=None)
+        if timer is not None:
+            self.handle.registerTimer(timer)
         if len(due) < len(events):
             self.waiting.put(events[len(due) :])
         elif due:
             self.waiting.clear()
-        self.now.update((last, command))
+        self.now.update((last, command, timer))
         return iter([Row(session=key[0], us=us, what=what, value=value) for us, what, value in out])
 
 

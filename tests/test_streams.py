@@ -44,6 +44,29 @@ def test_sessions_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
     assert kinds.count("timeout") > 4 and kinds.count("handed") > 8 and kinds.count("phase") == 12
 
 
+def test_a_session_has_one_timer():
+    """However many events wait: a call for each of them is what takes the time."""
+
+    class Handle:
+        timers, value = set(), None
+        getListState = getValueState = getMapState = lambda self, *_: self
+        appendList = lambda self, _: None
+        registerTimer, deleteTimer = timers.add, timers.discard
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    state = sessions.Sessions()
+    state.init(Handle())
+    for first in (5_000, 9_000, 2_000):
+        rows = [{"us": 1000 * k, "id": k, "kind": "heartbeat", "value": None} for k in range(first, first + 500)]
+        assert list(state.handleInputRows((1,), iter(rows), None)) == []
+    assert Handle.timers == {2_000 + sessions.SHIFT_MS}
+
+
 def test_writer_replays_and_rejects(spark, tmp_path):
     out = str(tmp_path / "table")
     write_one = monitor.Writer(out, "id", {"name": F.col("name").isNotNull(), "size": F.col("size") >= 0})
