@@ -311,3 +311,17 @@ def test_descriptions_are_parsed_once(spark):
     got = spark.createDataFrame(list(enumerate(rows)), "i int, raw string").select("i", description(F.col("raw")).alias("x")).select("i", "x.*")
     assert [(r.caption, r.image_type, len(r.tags)) for r in got.orderBy("i").collect()] == [("x", "ui", 0), ("```JSON ```", "other", 0), ("a", "other", 1), ("", "other", 0), ("", "other", 0), ("q", "other", 2), ("", "other", 0)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2
+
+
+def test_near_pairs_by_brute_force(spark):
+    """Copies meet in all pairs, whatever the blocks; repeated ids aren't paired with each other, nulls with nothing."""
+    rnd = random.Random(5)
+    kinds = [rnd.getrandbits(64) - (1 << 63) for _ in range(5)]
+    kinds += [k ^ 1 << 7 ^ 1 << 41 for k in kinds] + [0, -1]
+    data = [(i // 2 if i % 17 == 1 else i, kinds[i * i % 12]) for i in range(150)] + [(None, 0), (500, None), (501, 0), (501, 0)]
+    mask, items = (1 << 64) - 1, [(i, h) for i, h in data if i is not None and h is not None]
+    for within in (0, 2, 10):
+        want = sorted((a, b, d) for a, g in items for b, h in items if a < b and (d := ((g ^ h) & mask).bit_count()) <= within)
+        for block in (1, 7, 1024):
+            assert sorted(map(tuple, reconcile.near_pairs(spark.createDataFrame(data, "id long, hash long"), within, block=block).collect())) == want
+    assert reconcile.near_pairs(spark.createDataFrame([], "id long, hash long")).count() == 0
