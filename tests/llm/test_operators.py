@@ -117,6 +117,27 @@ def test_neardup_five_words_by_brute_force(spark):
         assert {r.doc_id: r.component_id for r in near_duplicates(docs, family=family).collect()} == {i: find(i) for i in sets}
 
 
+def test_neardup_by_any_number_of_passes(spark, monkeypatch):
+    """Filters that go through the driver a few bytes at a time, and ids that don't fit its lists, change no component."""
+    rng, texts = np.random.default_rng(12), {}
+    for i in range(60):
+        words = [f"w{w}" for w in rng.integers(4000, size=rng.integers(30, 90))]
+        for k in range(i % 4 + 1):
+            texts[10 * i + k] = " ".join(words[:-1] + [f"other{k}"] if k % 2 else words)
+    docs = spark.createDataFrame([*texts.items(), (5, None), (None, texts[10])], "doc_id long, text string")
+    want = {i: 10 * (i // 10) for i in texts} | {5: 5, None: None}
+    for at_a_time, known in ((16 << 20, 16 << 20), (64, 16 << 20), (1, 0)):
+        monkeypatch.setattr(neardup, "FILTER_BYTES", at_a_time)
+        monkeypatch.setattr(neardup, "KNOWN_BYTES", known)
+        sent = []
+        sc, plain = type(spark.sparkContext), type(spark.sparkContext).broadcast
+        monkeypatch.setattr(sc, "broadcast", lambda self, x: sent.append(x) or plain(self, x))
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, width=3, percent=85).collect()} == want
+        monkeypatch.setattr(sc, "broadcast", plain)
+        filters = [x for x in sent if len(x) == 4]
+        assert all(len(x[3]) <= at_a_time or len(x[1]) == 1 for x in filters) and (len(filters) > 1) == (at_a_time < 100)
+
+
 def test_neardup_splits_families_exactly(spark, monkeypatch):
     """Changed, cut and spliced copies of one passage, many of them too unlike the hub."""
     rng = np.random.default_rng(5)
