@@ -26,6 +26,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: From year 1 to 1970. Spark's watermarks begin at 1970, so the stream's event times and timers are so much later.
 SHIFT_MS = 62_135_596_800_000
 
+#: Events that stand in one entry of the state.
+PACK = 1 << 12
+
+
+def _packed(events: list[tuple]) -> list[tuple]:
+    """Events (us, id, kind, value) as entries of the state, a list of each field: an entry costs as much as many events."""
+    return [tuple(map(list, zip(*events[i : i + PACK], strict=True))) for i in range(0, len(events), PACK)]
+
 
 def _in_order(e: tuple) -> tuple:
     """What events (us, id, kind, value) are sorted by, nulls first."""
@@ -53,13 +61,13 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, id long, kind string, value string")
+        self.waiting = handle.getListState("waiting", "us array<long>, id array<long>, kind array<string>, value array<string>")
         self.now = handle.getValueState("now", "last long, command string, timer long")
         self.phases = handle.getMapState("phases", "phase string", "id long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = [(r["us"], r["id"], r["kind"], r["value"]) for r in rows]
-        self.waiting.appendList(new)
+        self.waiting.appendList(_packed(new))
         last, command, timer = self.now.get() or (None, None, None)
         at = _ms(min(e[0] for e in new))
         if timer is None or at < timer:
@@ -72,7 +80,7 @@ class Sessions(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # all that the watermark has passed
         until = (timerValues.getCurrentWatermarkInMs() - SHIFT_MS) * 1000
-        events = sorted((tuple(e) for e in self.waiting.get()), key=_in_order)
+        events = sorted((e for entry in self.waiting.get() for e in zip(*entry, strict=True)), key=_in_order)
         due = [e for e in events if e[0] <= until]
         last, command, _ = self.now.get()
         out, known = [], set()
@@ -98,7 +106,7 @@ class Sessions(StatefulProcessor):
         if timer is not None:
             self.handle.registerTimer(timer)
         if len(due) < len(events):
-            self.waiting.put(events[len(due) :])
+            self.waiting.put(_packed(events[len(due) :]))
         elif due:
             self.waiting.clear()
         self.now.update((last, command, timer))
